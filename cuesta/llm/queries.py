@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, minhash, quality, toxicity
+from . import bpe, decontaminate, langid, linededup, lm, media, minhash, pii, quality, toxicity
 from ._spark import held_out, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -20,6 +20,10 @@ def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out("doc_id", 5, 0))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,12 +39,35 @@ def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out("doc_id", 7, 2))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out("doc_id", 5, 0))
 
 
+def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.described_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_id, op2_quality_ranking, op4_bpe_transducer, op5_decontamination, op6_minhash_near_duplicates, op9_toxicity]
+    own = [
+        op1_language_id,
+        op2_quality_ranking,
+        op3_line_dedup,
+        op4_bpe_transducer,
+        op5_decontamination,
+        op6_minhash_near_duplicates,
+        op7_language_model,
+        op8_personal_data,
+        op9_toxicity,
+        op10_media_chunks,
+    ]
     return {f.__name__: f for f in own}
 
 
