@@ -8,11 +8,13 @@ circularly by k, gives coordinate k of the signature (C-MinHash).  Bands of
 with which a pair at the threshold is missed with probability under ``miss``.
 
 Copies (equal word sequences) form a class and are never compared.  Within a
-bucket every class is compared with the least one on the full sets; classes
-that do not end up in that one's component are then compared with every class
-of the bucket outside their own component.  So every pair of a bucket is
-either in one component already or verified: no bucket is capped, and no link
-between components is lost, yet a bucket of n near copies costs n comparisons.
+bucket every class is compared with its lead (the class that meets most others
+in its buckets) on the full sets; classes that do not end up in the lead's
+component are then compared, in blocks of sets, with all classes that share the
+lead.  So every pair of a bucket is either in one component already or
+compared: no bucket is capped, no link between components is lost, and n near
+copies of one text cost n comparisons.  Only classes that fail with their lead
+cost more, in a task for each pair of blocks.
 
 Defined cases: null, empty and blank texts have an empty set and stand alone;
 repeated rows form a class; a row without doc_id takes part, gets its
@@ -25,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import dropped, stored
@@ -33,6 +35,7 @@ from ._text import NOT_SPACE, Words, chunks, mix64, run_hashes, text_bytes
 from .components import components
 
 BLOCK = 1 << 14
+BLOCK_SETS = 256
 SEED_SCATTER = np.uint32(0x5BD1E995)
 
 
@@ -169,6 +172,54 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
+def residual_links(placed: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK_SETS) -> DataFrame:
+    """Links (a, b) between members of a group (the buckets of one lead) in different components.
+
+    placed(lead, lead_label, id, label, n) lists the members.  The ones outside
+    their lead's component meet all members, in blocks of about ``block`` sets
+    each: a task compares two blocks and returns true links only.
+    """
+    sizes = placed.groupBy("lead").agg(F.count("*").alias("size"), F.count_if(F.col("label") != F.col("lead_label")).alias("open")).where("open > 0")
+
+    def parts(of: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col(of) / block)).cast("int")
+
+    grouped = placed.join(sizes, "lead").select("*", parts("open").alias("rows"), parts("size").alias("columns"))
+    side = F.col("label") != F.col("lead_label")
+    rows = grouped.where(side).select("lead", F.lit(0).alias("side"), "id", "label", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
+    columns = grouped.select("lead", F.lit(1).alias("side"), "id", "label", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("columns")).cast("int").alias("j"))
+    cells = rows.union(columns.select("lead", "side", "id", "label", "i", "j")).join(sets, "id")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        side = cell["side"].to_numpy()
+        ids, labels = cell["id"].to_numpy(), cell["label"].to_numpy()
+        lists = cell["set"].combine_chunks()
+        starts = lists.offsets.to_numpy()
+        values, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        sizes = np.diff(starts)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place = np.full(len(ids), -1)
+        place[one] = np.arange(len(one))
+        place[two] = np.arange(len(two))
+        shared = np.zeros((len(one), len(two)), dtype=np.float32)
+        width = 1 << 13
+        for lo in range(0, len(values), width):  # dense products over bounded runs of shingles
+            at = np.flatnonzero((code >= lo) & (code < lo + width))
+            bits = [np.zeros((len(x), min(width, len(values) - lo)), dtype=np.float32) for x in (one, two)]
+            for k in (0, 1):
+                on = at[side[owner[at]] == k]
+                bits[k][place[owner[on]], code[on] - lo] = 1
+            shared += bits[0] @ bits[1].T
+        shared = np.rint(shared).astype(np.int64)
+        union = sizes[one][:, None] + sizes[two][None, :] - shared
+        x, y = np.nonzero((100 * shared >= percent * union) & (labels[one][:, None] != labels[two][None, :]))
+        a, b = ids[one[x]], ids[two[y]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return cells.groupBy("lead", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-5) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, kept) of each row of docs(doc_id, text).
 
@@ -186,8 +237,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         .where("id is not null")
     )
     members = classes.select("id", "n", F.explode("bands").alias("key"))
-    leads = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").drop("size")
-    buckets = stored(members.join(leads, "key").select("key", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    filled = stored(members.join(sizes, "key"))
+    known = filled.groupBy("id").agg((-F.sum("size")).alias("rank"))
+    ranked = filled.join(known, "id").select("key", "id", "n", "rank")
+    leads = ranked.groupBy("key").agg(F.min(F.struct("rank", "id", "n")).alias("lead"))
+    buckets = stored(ranked.join(leads, "key").select("key", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
 
     def in_length(n, m):
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
@@ -201,20 +256,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         return labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
 
     placed = stored(
-        buckets.join(label("id"), "id", "left")
-        .join(label("lead"), "lead", "left")
-        .select("key", "id", "n", "lead", F.coalesce("id_label", "id").alias("label"), F.coalesce("lead_label", "lead").alias("lead_label"))
-    )
-    rest = placed.where("label <> lead_label").select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-    others = placed.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("label").alias("yl"), F.col("lead"))
-    second = (
-        rest.join(others, "key")
-        .where("xl <> yl and y <> lead")
-        .where(in_length(F.col("xn"), F.col("yn")))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        buckets.select("lead", "id", "n")
         .distinct()
+        .join(label("id"), "id", "left")
+        .join(label("lead"), "lead", "left")
+        .select("id", "n", "lead", F.coalesce("id_label", "id").alias("label"), F.coalesce("lead_label", "lead").alias("lead_label"))
     )
-    more = stored(verified(second, sets, percent))
+    more = stored(residual_links(placed, sets, percent))
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links)
