@@ -336,11 +336,15 @@ def _joined(column: str):
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == F.lit(kind)))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
     found = find(docs, learn(docs))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [_count(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
