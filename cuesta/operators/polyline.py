@@ -33,7 +33,8 @@ def densify(points: DataFrame, spacing: float) -> DataFrame:
         raise ValueError("the spacing must be positive")
     s = segments(points).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("length") / float(spacing)).cast("int")))
     first = F.col("seq") == F.min("seq").over(Window.partitionBy("trace_id"))
-    steps = F.sequence(F.when(first, F.lit(0)).otherwise(F.lit(1)), F.col("n"))
+    s = s.withColumn("from", F.when(first, F.lit(0)).otherwise(F.lit(1)))
+    steps = F.sequence(F.col("from"), F.col("n"))
     t = F.col("k") / F.col("n")
     return s.select("*", F.explode(steps).alias("k")).select("trace_id", "seq", "k", (F.col("x") + (F.col("x2") - F.col("x")) * t).alias("x"), (F.col("y") + (F.col("y2") - F.col("y")) * t).alias("y"))
 

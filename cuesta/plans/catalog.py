@@ -1,4 +1,4 @@
-"""The registry of this engine's queries."""
+"""The registry of this engine's queries: name, DataFrame plan and, where SQL can express it, the oracle."""
 
 from __future__ import annotations
 
@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesta.plans.fixtures import tables
+from cuesta.plans import attitudes, directions, rasters, scenes, scoring, terrain
+from cuesta.plans.fixtures import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_ALL: dict[str, tuple[Query, str | None]] = {}
+for _module in (terrain, rasters, attitudes, directions, scenes, scoring):
+    _ALL |= _module.QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables(spark, sf_dir)["fx_att"]
+    return attitudes.attitudes(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: oracle(sql) for name, (_, sql) in _ALL.items() if sql is not None}
