@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAN = F.lit(float("nan"))
@@ -41,6 +41,11 @@ def ratio(a: Name, b: Name) -> Column:
     return F.when(b == 0, NAN).otherwise(a / F.when(b != 0, b))
 
 
+def held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that filters above are not pushed through, so that a large expression is not copied into each use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def modulo(c: Column, n: float) -> Column:
     """c modulo n in [0, n)."""
     return F.pmod(c, F.lit(float(n)))

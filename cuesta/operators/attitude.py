@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cuesta.functions.angles import azimuth, doubled, mean_strike, strike_difference
 from cuesta.functions.grid import Transform
-from cuesta.functions.numeric import NAN, finite, modulo, or_nan
+from cuesta.functions.numeric import NAN, finite, held, modulo, or_nan
 from cuesta.functions.symmetric import eigenvalues2, eigenvalues3, eigenvector3
 from cuesta.operators.polyline import lengths, sample_trace
 
@@ -32,9 +32,9 @@ def fit_planes(samples: DataFrame, least: int = 3) -> DataFrame:
     m = centred.groupBy("trace_id").agg(*products, F.count("*").cast("int").alias("n_samples"), (F.max("z") - F.min("z")).alias("relief")).where(F.col("n_samples") >= least)
     names = [F.col(c) for c in ("xx", "yy", "zz", "xy", "xz", "yz")]
     one, two, three = eigenvalues3(*names)
-    m = m.withColumns({"l1": F.greatest(one, F.lit(0.0)), "l2": F.greatest(two, F.lit(0.0)), "l3": F.greatest(three, F.lit(0.0)), "_l": three})
+    m = held(m, {"l1": F.greatest(one, F.lit(0.0)), "l2": F.greatest(two, F.lit(0.0)), "l3": F.greatest(three, F.lit(0.0)), "_l": three})
     nx, ny, nz = eigenvector3(F.col("_l"), *names)
-    m = m.withColumns({"nx": nx, "ny": ny, "nz": nz})
+    m = held(m, {"nx": nx, "ny": ny, "nz": nz})
     up = F.when(F.col("nz") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     m = m.withColumns({"nx": up * F.col("nx"), "ny": up * F.col("ny"), "nz": up * F.col("nz")})
     big, small = eigenvalues2(F.col("xx"), F.col("xy"), F.col("yy"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesta.functions.angles import equal_area_vector, line_vector, pole, vector_line
-from cuesta.functions.numeric import NAN, finite, modulo
+from cuesta.functions.numeric import NAN, finite, held, modulo
 from cuesta.functions.symmetric import eigenvalues3, eigenvector3
 
 
@@ -54,11 +54,11 @@ def principal(vectors: DataFrame, *keys: str) -> DataFrame:
     t = orientation_tensor(vectors, *keys)
     names = [F.col(c) for c in ("xx", "yy", "zz", "xy", "xz", "yz")]
     s = eigenvalues3(*names)
-    t = t.withColumns({f"s{i + 1}": F.greatest(v, F.lit(0.0)) for i, v in enumerate(s)})
+    t = held(t, {f"s{i + 1}": F.greatest(v, F.lit(0.0)) for i, v in enumerate(s)})
     k, c = woodcock(F.col("s1"), F.col("s2"), F.col("s3"))
     lines = {}
-    for i in (1, 3):  # columns of their own, or the expressions would be repeated in every use
-        t = t.withColumns({f"_{n}{i}": v for n, v in zip("xyz", eigenvector3(F.col(f"s{i}"), *names), strict=True)})
+    for i in (1, 3):
+        t = held(t, {f"_{n}{i}": v for n, v in zip("xyz", eigenvector3(F.col(f"s{i}"), *names), strict=True)})
         lines[i] = vector_line(f"_x{i}", f"_y{i}", f"_z{i}")
     return t.select(*keys, "n", "s1", "s2", "s3", k.alias("k"), c.alias("c"), *(v.alias(f"{what}{i}") for i, pair in lines.items() for what, v in zip(("trend", "plunge"), pair, strict=True)))
 

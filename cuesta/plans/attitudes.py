@@ -13,8 +13,8 @@ from cuesta.plans.fixtures import tables
 #: The world frame of the derived grid.
 GT = (0.0, 10.0, 0.0, 480.0, 0.0, -10.0)
 SEGMENTS = "s AS (SELECT trace_id, seq, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM fx_vert WINDOW w AS (PARTITION BY trace_id ORDER BY seq))"
-DENSE = f"{SEGMENTS}, n AS (SELECT *, greatest(1, CAST(ceil(sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y))/30) AS INTEGER)) AS n FROM s WHERE x2 IS NOT NULL), d AS (SELECT trace_id, seq, CAST(k AS INTEGER) AS k, x+(x2-x)*k/n AS x, y+(y2-y)*k/n AS y FROM n, range(0, 200) g(k) WHERE k <= n AND (k > 0 OR seq = 1))"
-SAMPLED = f"{DENSE}, p AS (SELECT *, (480-y)/10-0.5 AS pr, x/10-0.5 AS pc FROM d), z AS (SELECT p.*, CAST(floor(pr) AS INTEGER) AS r0, CAST(floor(pc) AS INTEGER) AS c0 FROM p), b AS (SELECT z.trace_id, z.seq, z.k, z.x, z.y, a.z*(1-(pr-r0))*(1-(pc-c0))+e.z*(1-(pr-r0))*(pc-c0)+f.z*(pr-r0)*(1-(pc-c0))+g.z*(pr-r0)*(pc-c0) AS z FROM z JOIN fx_dem a ON a.r=r0 AND a.c=c0 JOIN fx_dem e ON e.r=r0 AND e.c=c0+1 JOIN fx_dem f ON f.r=r0+1 AND f.c=c0 JOIN fx_dem g ON g.r=r0+1 AND g.c=c0+1), v AS (SELECT * FROM b WHERE isfinite(z))"
+DENSE = f"{SEGMENTS}, n AS (SELECT *, greatest(1, CAST(ceil(sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y))/30) AS INTEGER)) AS n FROM s WHERE x2 IS NOT NULL), d AS (SELECT trace_id, seq, CAST(k AS INTEGER) AS k, x+(x2-x)*(k/n) AS x, y+(y2-y)*(k/n) AS y FROM n, range(0, 200) g(k) WHERE k <= n AND (k > 0 OR seq = 1))"
+SAMPLED = f"{DENSE}, p AS (SELECT *, ((y-480)*10)/(-100)-0.5 AS pr, (x*(-10))/(-100)-0.5 AS pc FROM d), z AS (SELECT p.*, CAST(floor(pr) AS INTEGER) AS r0, CAST(floor(pc) AS INTEGER) AS c0 FROM p), b AS (SELECT z.trace_id, z.seq, z.k, z.x, z.y, (a.z+(e.z-a.z)*(pc-c0))+((f.z+(g.z-f.z)*(pc-c0))-(a.z+(e.z-a.z)*(pc-c0)))*(pr-r0) AS z FROM z JOIN fx_dem a ON a.r=r0 AND a.c=c0 JOIN fx_dem e ON e.r=r0 AND e.c=c0+1 JOIN fx_dem f ON f.r=r0+1 AND f.c=c0 JOIN fx_dem g ON g.r=r0+1 AND g.c=c0+1), v AS (SELECT * FROM b WHERE isfinite(z))"
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -66,8 +66,8 @@ def monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(hydrology.monotonicity(v), 5)
 
 
-MONOTONICITY = f"""WITH p AS (SELECT *, (480-y)/10-0.5 AS pr, x/10-0.5 AS pc FROM fx_vert), i AS (SELECT *, CAST(floor(pr) AS INTEGER) AS r0, CAST(floor(pc) AS INTEGER) AS c0 FROM p),
- z AS (SELECT i.trace_id, i.seq, a.z*(1-(pr-r0))*(1-(pc-c0))+e.z*(1-(pr-r0))*(pc-c0)+f.z*(pr-r0)*(1-(pc-c0))+g.z*(pr-r0)*(pc-c0) AS z FROM i JOIN fx_dem a ON a.r=r0 AND a.c=c0 JOIN fx_dem e ON e.r=r0 AND e.c=c0+1 JOIN fx_dem f ON f.r=r0+1 AND f.c=c0 JOIN fx_dem g ON g.r=r0+1 AND g.c=c0+1),
+MONOTONICITY = f"""WITH p AS (SELECT *, ((y-480)*10)/(-100)-0.5 AS pr, (x*(-10))/(-100)-0.5 AS pc FROM fx_vert), i AS (SELECT *, CAST(floor(pr) AS INTEGER) AS r0, CAST(floor(pc) AS INTEGER) AS c0 FROM p),
+ z AS (SELECT i.trace_id, i.seq, (a.z+(e.z-a.z)*(pc-c0))+((f.z+(g.z-f.z)*(pc-c0))-(a.z+(e.z-a.z)*(pc-c0)))*(pr-r0) AS z FROM i JOIN fx_dem a ON a.r=r0 AND a.c=c0 JOIN fx_dem e ON e.r=r0 AND e.c=c0+1 JOIN fx_dem f ON f.r=r0+1 AND f.c=c0 JOIN fx_dem g ON g.r=r0+1 AND g.c=c0+1),
  s AS (SELECT *, abs(z - lag(z) OVER (PARTITION BY trace_id ORDER BY seq)) AS d FROM z WHERE isfinite(z))
  SELECT trace_id, {r('CASE WHEN count(*) >= 3 THEN CASE WHEN sum(d) > 0 THEN abs(arg_max(z, seq)-arg_min(z, seq))/sum(d) ELSE 1 END END', 'monotonicity', 5)} FROM s GROUP BY trace_id"""
 

@@ -1,4 +1,7 @@
-"""Comparable output: doubles rounded to six places, NaN and infinities as NULL, no negative zero."""
+"""Comparable output: doubles rounded to six places, NaN and infinities as NULL, no negative zero.
+
+The engines round exact ties differently; both sides add TIE first.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +11,11 @@ from pyspark.sql import functions as F
 from cuesta.functions.numeric import Name, col, finite
 
 
+TIE = 1e-10
+
+
 def rounded(c: Name, places: int = 6) -> Column:
-    return F.when(finite(c), F.round(col(c), places) + F.lit(0.0))
+    return F.when(finite(c), F.round(col(c) + F.lit(TIE), places) + F.lit(0.0))
 
 
 def comparable(df: DataFrame, places: int = 6) -> DataFrame:
@@ -19,4 +25,4 @@ def comparable(df: DataFrame, places: int = 6) -> DataFrame:
 
 def r(sql: str, name: str, places: int = 6) -> str:
     """The same for an expression of the oracle."""
-    return f"(CASE WHEN isfinite(CAST({sql} AS DOUBLE)) THEN round(CAST({sql} AS DOUBLE), {places}) + 0.0 END) AS {name}"
+    return f"(CASE WHEN isfinite(CAST({sql} AS DOUBLE)) THEN round(CAST({sql} AS DOUBLE) + {TIE}, {places}) + 0.0 END) AS {name}"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesta.functions.numeric import finite
-from cuesta.operators import hydrology, regions
+from cuesta.operators import hydrology, kernels, normalise, regions
 from cuesta.plans.compare import comparable, r
 from cuesta.plans.fixtures import tables
 
@@ -114,7 +114,36 @@ PROXIMITY = f"""WITH RECURSIVE {D8}, w(r, c) AS (SELECT r, c FROM fx_dem WHERE i
  j AS (SELECT p.r, p.c, min({{'d': (p.r-ch.r)*(p.r-ch.r)+(p.c-ch.c)*(p.c-ch.c), 'r': ch.r, 'c': ch.c}}) AS b FROM fx_dem p, ch GROUP BY p.r, p.c)
  SELECT j.r, j.c, b.d <= 4 AS near, {r('((degrees(atan2(ch.dc, -ch.dr)) % 360) + 360) % 360', 'azimuth')}, {r('exp(-sqrt(b.d)/3)', 'penalty')} FROM j JOIN ch ON ch.r = b.r AND ch.c = b.c"""
 
+
+
+def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(kernels.fill_depressions(_dem(spark, sf_dir)).select("r", "c", "z"))
+
+
+def gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(kernels.gaussian_gradient(_dem(spark, sf_dir)).select("r", "c", "gx", "gy"))
+
+
+def tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(kernels.structure_tensor(_dem(spark, sf_dir), ["z"]).drop("grid_id"))
+
+
+def simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(kernels.simplify(tables(spark, sf_dir)["fx_vert"], 50.0))
+
+
+def least_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least cost from the grid's centre over stretched heights."""
+    p = normalise.cost_norm(_dem(spark, sf_dir), "z", finite("z"), "cost").withColumn("cost", F.col("cost") + 0.1)
+    return comparable(kernels.cost_to_all(p, (24, 24)).select("r", "c", "distance"))
+
+
 QUERIES = {
+    "a5_simplified": (simplified, None),
+    "e1_gradient": (gradient, None),
+    "e5_tensor": (tensor, None),
+    "h4_filled": (filled, None),
+    "l11_least_cost": (least_cost, None),
     "c1_components": (components, COMPONENTS),
     "c2_dilation": (dilation, DILATION),
     "c3_closing": (closing, CLOSING),
