@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cuesta.functions.numeric import NAN, Name, col, finite, modulo
+from cuesta.functions.numeric import nan, Name, col, finite, modulo
 
 
 def azimuth(x: Column, y: Column) -> Column:
@@ -28,11 +28,11 @@ def doubled(strike: Name) -> tuple[Column, Column]:
 def mean_strike(sin2: Column, cos2: Column) -> Column:
     """Doubled-angle mean from the means of sin and cos; NaN where they cancel or are missing."""
     r = F.hypot(sin2, cos2)
-    return F.when(r >= 1e-12, modulo(F.degrees(F.atan2(sin2, cos2)) / 2, 180)).otherwise(NAN)
+    return F.when(r >= 1e-12, modulo(F.degrees(F.atan2(sin2, cos2)) / 2, 180)).otherwise(nan())
 
 
 def resultant(sin2: Column, cos2: Column) -> Column:
-    return F.coalesce(F.hypot(sin2, cos2), NAN)
+    return F.coalesce(F.hypot(sin2, cos2), nan())
 
 
 def circular_deviation(r: Column) -> Column:
@@ -55,7 +55,7 @@ def vector_line(x: Name, y: Name, z: Name, lower: bool = True) -> tuple[Column,
     u, v, w = sign * x / size, sign * y / size, sign * z / size
     trend = F.when(F.hypot(u, v) < 1e-12, F.lit(0.0)).otherwise(azimuth(u, v))
     plunge = F.degrees(F.asin(F.least(F.greatest(-w, F.lit(-1.0)), F.lit(1.0))))
-    return F.when(ok, trend).otherwise(NAN), F.when(ok, plunge).otherwise(NAN)
+    return F.when(ok, trend).otherwise(nan()), F.when(ok, plunge).otherwise(nan())
 
 
 def pole(strike: Name, dip: Name) -> tuple[Column, Column]:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NAN = F.lit(float("nan"))
 Name = Column | str
 
 
+def nan() -> Column:
+    return F.lit(float("nan"))
+
+
 def col(c: Name) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -26,7 +29,7 @@ def known(c: Name) -> Column:
 
 
 def or_nan(c: Column) -> Column:
-    return F.coalesce(c, NAN)
+    return F.coalesce(c, nan())
 
 
 def clip(c: Name, lo: float, hi: float) -> Column:
@@ -38,7 +41,7 @@ def clip(c: Name, lo: float, hi: float) -> Column:
 def ratio(a: Name, b: Name) -> Column:
     """a / b, NaN where b is 0."""
     a, b = col(a), col(b)
-    return F.when(b == 0, NAN).otherwise(a / F.when(b != 0, b))
+    return F.when(b == 0, nan()).otherwise(a / F.when(b != 0, b))
 
 
 def held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

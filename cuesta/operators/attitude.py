@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cuesta.functions.angles import azimuth, doubled, mean_strike, strike_difference
 from cuesta.functions.grid import Transform
-from cuesta.functions.numeric import NAN, finite, held, modulo, or_nan
+from cuesta.functions.numeric import nan, finite, held, modulo, or_nan
 from cuesta.functions.symmetric import eigenvalues2, eigenvalues3, eigenvector3
 from cuesta.operators.polyline import lengths, sample_trace
 
@@ -181,8 +181,8 @@ def windowed_deviations(attitudes: DataFrame, radius: float, least: int = 2) ->
     return joined.select(
         "id",
         F.coalesce("n", F.lit(0)).alias("n"),
-        F.when(enough, strike_difference("strike", mean_strike(F.col("s"), F.col("c")))).otherwise(NAN).alias("strike_dev"),
-        F.when(enough, F.abs(F.col("dip") - F.col("dip_mid"))).otherwise(NAN).alias("dip_dev"),
+        F.when(enough, strike_difference("strike", mean_strike(F.col("s"), F.col("c")))).otherwise(nan()).alias("strike_dev"),
+        F.when(enough, F.abs(F.col("dip") - F.col("dip_mid"))).otherwise(nan()).alias("dip_dev"),
     )
 
 

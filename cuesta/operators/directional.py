@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesta.functions.angles import equal_area_vector, line_vector, pole, vector_line
-from cuesta.functions.numeric import NAN, finite, held, modulo
+from cuesta.functions.numeric import nan, finite, held, modulo
 from cuesta.functions.symmetric import eigenvalues3, eigenvector3
 
 
@@ -26,12 +26,12 @@ def fisher_mean(vectors: DataFrame, *keys: str, confidence: float = 0.95) -> Dat
     n, length = F.col("n"), F.col("resultant")
     some = length > 1e-12
     gap = n - length
-    kappa = F.when(~some | (n < 2), NAN).when(gap <= 1e-12, F.lit(float("inf"))).otherwise((n - 1) / F.when(gap > 1e-12, gap))
+    kappa = F.when(~some | (n < 2), nan()).when(gap <= 1e-12, F.lit(float("inf"))).otherwise((n - 1) / F.when(gap > 1e-12, gap))
     power = F.pow(F.lit(1 / (1 - confidence)), 1 / F.when(n > 1, n - 1)) - 1
     cosine = 1 - gap / F.when(some, length) * power
-    alpha = F.when(~some | (n < 2), NAN).otherwise(F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))))
+    alpha = F.when(~some | (n < 2), nan()).otherwise(F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))))
     trend, plunge = vector_line("x", "y", "z", lower=False)
-    csd = F.when(F.col("kappa") > 0, 81 / F.sqrt("kappa")).otherwise(NAN)
+    csd = F.when(F.col("kappa") > 0, 81 / F.sqrt("kappa")).otherwise(nan())
     m = m.withColumn("kappa", kappa)
     return m.select(*keys, "n", "resultant", trend.alias("trend"), plunge.alias("plunge"), "kappa", alpha.alias("alpha"), csd.alias("csd"))
 
@@ -45,7 +45,7 @@ def orientation_tensor(vectors: DataFrame, *keys: str, normalize: bool = True) -
 def woodcock(s1: Column, s2: Column, s3: Column) -> tuple[Column, Column]:
     """(K, C): shape and strength of a fabric; K is infinite for a pure cluster and NaN without any fabric."""
     a, b, c = (F.ln(F.greatest(s, F.lit(1e-12))) for s in (s1, s2, s3))
-    k = F.when(F.abs(b - c) >= 1e-12, (a - b) / F.when(F.abs(b - c) >= 1e-12, b - c)).when(a - b > 1e-12, F.lit(float("inf"))).otherwise(NAN)
+    k = F.when(F.abs(b - c) >= 1e-12, (a - b) / F.when(F.abs(b - c) >= 1e-12, b - c)).when(a - b > 1e-12, F.lit(float("inf"))).otherwise(nan())
     return k, a - c
 
 
@@ -79,7 +79,7 @@ def fold_axis(planes: DataFrame, *keys: str, weak: float = 0.3) -> DataFrame:
     p = principal(poles(planes.where(finite("strike") & finite("dip"))), *keys)
     fabric = F.when(F.col("n") < 3, "undefined").when(F.col("c") < weak, "weak").when(F.col("k") < 1, "girdle").otherwise("cluster")
     few = F.col("n") < 3
-    return p.select(*keys, "n", *(F.when(few, NAN).otherwise(F.col(f"{w}3")).alias(w) for w in ("trend", "plunge")), "k", "c", fabric.alias("fabric"))
+    return p.select(*keys, "n", *(F.when(few, nan()).otherwise(F.col(f"{w}3")).alias(w) for w in ("trend", "plunge")), "k", "c", fabric.alias("fabric"))
 
 
 def rose_bins(strikes: DataFrame, width: int = 10) -> DataFrame:

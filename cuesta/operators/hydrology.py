@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuesta.functions.angles import azimuth
-from cuesta.functions.numeric import NAN, finite, known, or_nan
+from cuesta.functions.numeric import nan, finite, known, or_nan
 from cuesta.operators.fixpoint import settled
 from cuesta.operators.regions import AT, dilate, distance
 from cuesta.operators.stencils import nine
@@ -19,7 +19,7 @@ STEPS = [(-1, -1, 1), (-1, 0, 2), (-1, 1, 3), (0, -1, 4), (0, 1, 6), (1, -1, 7),
 
 def flow_directions(pixels: DataFrame) -> DataFrame:
     """(grid_id, r, c, z, dr, dc): the step of steepest strict descent, the first of equals; NULL at sinks and nodata."""
-    p = nine(pixels.select(*AT, "z"), outside=NAN)
+    p = nine(pixels.select(*AT, "z"), outside=nan())
     options = [F.struct(((F.col("z5") - F.col(f"z{k}")) / (math.sqrt(2) if i and j else 1.0)).alias("drop"), F.lit(-n).alias("o"), F.lit(i).alias("i"), F.lit(j).alias("j")) for n, (i, j, k) in enumerate(STEPS)]
     best = F.array_max(F.filter(F.array(*options), lambda s: ~F.isnan(s["drop"]) & (s["drop"] > 0)))
     return p.withColumn("_b", best).select(*AT, "z", F.col("_b.i").alias("dr"), F.col("_b.j").alias("dc"))
@@ -103,4 +103,4 @@ def monotonicity(samples: DataFrame) -> DataFrame:
     s = samples.where(finite("z")).withColumn("_d", F.abs(F.col("z") - F.lag("z").over(along)))
     out = s.groupBy("trace_id").agg(F.count("*").alias("n"), F.sum("_d").alias("up"), F.abs(F.max_by("z", "seq") - F.min_by("z", "seq")).alias("net"))
     share = F.when(F.col("up") > 0, F.col("net") / F.when(F.col("up") > 0, F.col("up"))).otherwise(1.0)
-    return out.select("trace_id", F.when(F.col("n") >= 3, share).otherwise(NAN).alias("monotonicity"))
+    return out.select("trace_id", F.when(F.col("n") >= 3, share).otherwise(nan()).alias("monotonicity"))

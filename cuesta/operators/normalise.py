@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuesta.functions.numeric import NAN, clip, finite, known
+from cuesta.functions.numeric import nan, clip, finite, known
 from cuesta.functions.spectral import SPECTRAL_BANDS, STRETCHED
 
 KEYS = ["grid_id", "r", "c"]
@@ -26,7 +26,7 @@ def percentile_stretch(pixels: DataFrame, band: str, lo: float = 2, hi: float =
     z = F.col(band)
     span = F.col("_hi") - F.col("_lo")
     scaled = F.when(span > 0, clip((z - F.col("_lo")) / F.when(span > 0, span), 0, 1)).otherwise(F.lit(0.0))
-    out = F.when(F.col("_lo").isNull(), z).when(finite(z), scaled).otherwise(NAN)
+    out = F.when(F.col("_lo").isNull(), z).when(finite(z), scaled).otherwise(nan())
     return pixels.join(limits(pixels, known(band), lo, hi), "grid_id").withColumn(name or band, out).drop("_lo", "_hi")
 
 
@@ -43,10 +43,10 @@ def cost_norm(pixels: DataFrame, band: str, valid: Column, name: str, lo: float
 
 
 def stretch_u8(pixels: DataFrame, band: str, lo: float = 2, hi: float = 98, name: str | None = None) -> DataFrame:
-    """pixels with the band as a byte, truncated; NaN gives 0."""
+    """pixels with the band as a byte, truncated (within 1e-9 of a step counts as that step); NaN gives 0."""
     z = F.col(band)
     top = F.when(F.col("_hi") <= F.col("_lo"), F.col("_lo") + 1).otherwise(F.col("_hi"))
-    byte = F.floor(clip((z - F.col("_lo")) / (top - F.col("_lo")), 0, 1) * 255)
+    byte = F.floor(clip((z - F.col("_lo")) / (top - F.col("_lo")), 0, 1) * 255 + 1e-9)
     out = F.when(finite(z) & F.col("_lo").isNotNull(), byte).otherwise(0).cast("smallint")
     return pixels.join(limits(pixels, known(band), lo, hi), "grid_id").withColumn(name or band, out).drop("_lo", "_hi")
 
@@ -76,7 +76,7 @@ def assemble(layers: Mapping[str, DataFrame], normalize: bool = True) -> DataFra
     whole = reduce(lambda a, b: a & b, [finite(n) for n in layers])
     torn = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in layers])
     error = F.raise_error("the layers do not cover the same pixels").cast("double")
-    return joined.select(*KEYS, *(F.when(torn, error).when(whole, F.col(n)).otherwise(NAN).alias(n) for n in layers))
+    return joined.select(*KEYS, *(F.when(torn, error).when(whole, F.col(n)).otherwise(nan()).alias(n) for n in layers))
 
 
 def weighted_response(pixels: DataFrame, bands: Sequence[str], weights: Sequence[float] | None = None) -> DataFrame:
@@ -89,14 +89,14 @@ def weighted_response(pixels: DataFrame, bands: Sequence[str], weights: Sequence
         out = percentile_stretch(out, b)
     whole = reduce(lambda a, b: a & b, [finite(b) for b in bands])
     total = reduce(lambda a, b: a + b, [F.col(b) * float(w) for b, w in zip(bands, weights, strict=True)])
-    return out.select(*KEYS, F.when(whole, total / float(sum(weights))).otherwise(NAN).alias("response"))
+    return out.select(*KEYS, F.when(whole, total / float(sum(weights))).otherwise(nan()).alias("response"))
 
 
 def nan_mean(columns: Sequence[str]) -> Column:
     """Mean of the finite columns of a row; NaN if there is none."""
     n = reduce(lambda a, b: a + b, [finite(c).cast("int") for c in columns])
     total = reduce(lambda a, b: a + b, [F.when(finite(c), F.col(c)).otherwise(0.0) for c in columns])
-    return F.when(n > 0, total / F.when(n > 0, n)).otherwise(NAN)
+    return F.when(n > 0, total / F.when(n > 0, n)).otherwise(nan())
 
 
 def gdal_cells(band: str, nodata: float = -9999.0) -> Column:
@@ -107,4 +107,4 @@ def gdal_cells(band: str, nodata: float = -9999.0) -> Column:
 def read_cells(band: str, nodata: float | None) -> Column:
     """A stored value as a grid cell: nodata becomes NaN."""
     value = F.col(band).cast("double")
-    return value if nodata is None else F.when(value == nodata, NAN).otherwise(value)
+    return value if nodata is None else F.when(value == nodata, nan()).otherwise(value)

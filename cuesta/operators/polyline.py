@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cuesta.functions.grid import Transform, world_to_pixels
-from cuesta.functions.numeric import NAN, finite, half_even, modulo
+from cuesta.functions.numeric import nan, finite, half_even, modulo
 
-ALONG = Window.partitionBy("trace_id").orderBy("seq")
+
+def along() -> WindowSpec:
+    return Window.partitionBy("trace_id").orderBy("seq")
 
 
 def segments(points: DataFrame) -> DataFrame:
     """One row per segment: trace_id, seq, (x, y) to (x2, y2) and its length."""
     out = points.select("trace_id", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    out = out.withColumn("x2", F.lead("x").over(ALONG)).withColumn("y2", F.lead("y").over(ALONG)).where("x2 is not null")
+    out = out.withColumn("x2", F.lead("x").over(along())).withColumn("y2", F.lead("y").over(along())).where("x2 is not null")
     return out.withColumn("length", F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")))
 
 
 def lengths(points: DataFrame) -> DataFrame:
     """(trace_id, length); a trace of one point has length 0."""
-    step = F.hypot(F.col("x") - F.lag("x").over(ALONG), F.col("y") - F.lag("y").over(ALONG))
+    step = F.hypot(F.col("x") - F.lag("x").over(along()), F.col("y") - F.lag("y").over(along()))
     return points.withColumn("_d", step).groupBy("trace_id").agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("length"))
 
 
@@ -64,7 +66,7 @@ def sample_bilinear(points: DataFrame, pixels: DataFrame, gt: Transform, z: str
     fr, fc = F.col("_r") - F.col("r0"), F.col("_c") - F.col("c0")
     top = F.col("z00") + (F.col("z01") - F.col("z00")) * fc
     low = F.col("z10") + (F.col("z11") - F.col("z10")) * fc
-    value = F.coalesce(top + (low - top) * fr, NAN)
+    value = F.coalesce(top + (low - top) * fr, nan())
     return at.join(q, on, "left").select(*points.columns, value.alias("z"))
 
 
@@ -89,7 +91,7 @@ def sample_along(points: DataFrame, pixels: DataFrame, height: int, width: int,
 def per_trace(samples: DataFrame, least: int = 5) -> DataFrame:
     """(trace_id, n, mean, median) of v; NaN with fewer than ``least`` samples."""
     out = samples.groupBy("trace_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"))
-    return out.select("trace_id", "n", *(F.when(F.col("n") >= least, F.col(c)).otherwise(NAN).alias(c) for c in ("mean", "median")))
+    return out.select("trace_id", "n", *(F.when(F.col("n") >= least, F.col(c)).otherwise(nan()).alias(c) for c in ("mean", "median")))
 
 
 def burn(points: DataFrame, height: int, width: int) -> DataFrame:

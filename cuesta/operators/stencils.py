@@ -9,23 +9,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cuesta.functions.angles import azimuth
-from cuesta.functions.numeric import NAN, Name, clip, col, finite, or_nan
+from cuesta.functions.numeric import nan, Name, clip, col, finite, or_nan
 
-ROW = Window.partitionBy("grid_id", "r").orderBy("c")
-COLUMN = Window.partitionBy("grid_id", "c").orderBy("r")
+
+def along_row() -> WindowSpec:
+    return Window.partitionBy("grid_id", "r").orderBy("c")
+
+
+def along_column() -> WindowSpec:
+    return Window.partitionBy("grid_id", "c").orderBy("r")
 
 
 def nine(pixels: DataFrame, z: str = "z", outside: Column | None = None) -> DataFrame:
     """pixels with z1..z9 (NW..SE, z5 the centre); past the edge the edge repeats, or ``outside`` stands."""
     edge = F.col(z) if outside is None else outside
-    rows = pixels.withColumn("_w", F.coalesce(F.lag(z).over(ROW), edge)).withColumn("_e", F.coalesce(F.lead(z).over(ROW), edge))
+    rows = pixels.withColumn("_w", F.coalesce(F.lag(z).over(along_row()), edge)).withColumn("_e", F.coalesce(F.lead(z).over(along_row()), edge))
     line = F.struct(F.col("_w").alias("w"), F.col(z).alias("m"), F.col("_e").alias("e"))
     none = line if outside is None else F.struct(outside.alias("w"), outside.alias("m"), outside.alias("e"))
-    rows = rows.withColumn("_n", F.coalesce(F.lag(line).over(COLUMN), none)).withColumn("_s", F.coalesce(F.lead(line).over(COLUMN), none))
+    rows = rows.withColumn("_n", F.coalesce(F.lag(line).over(along_column()), none)).withColumn("_s", F.coalesce(F.lead(line).over(along_column()), none))
     z9 = ["_n.w", "_n.m", "_n.e", "_w", z, "_e", "_s.w", "_s.m", "_s.e"]
     return rows.select(*pixels.columns, *(F.col(c).alias(f"z{i + 1}") for i, c in enumerate(z9)))
 
@@ -44,7 +49,7 @@ def gradients(px: float, py: float | None = None) -> tuple[Column, Column]:
     fx = ((z[3] + 2 * z[6] + z[9]) - (z[1] + 2 * z[4] + z[7])) / (8 * px)
     fy = ((z[1] + 2 * z[2] + z[3]) - (z[7] + 2 * z[8] + z[9])) / (8 * py)
     ok = finite(z[5])
-    return F.when(ok, fx).otherwise(NAN), F.when(ok, fy).otherwise(NAN)
+    return F.when(ok, fx).otherwise(nan()), F.when(ok, fy).otherwise(nan())
 
 
 def slope(px: float, py: float | None = None, degrees: bool = True) -> Column:
@@ -56,7 +61,7 @@ def slope(px: float, py: float | None = None, degrees: bool = True) -> Column:
 def aspect(px: float, py: float | None = None) -> Column:
     """Azimuth of the way down; NaN on flat ground."""
     fx, fy = gradients(px, py)
-    return F.when((fx == 0) & (fy == 0), NAN).otherwise(azimuth(-fx, -fy))
+    return F.when((fx == 0) & (fy == 0), nan()).otherwise(azimuth(-fx, -fy))
 
 
 def hillshade(px: float, py: float | None = None, azimuth: float = 315.0, altitude: float = 45.0) -> Column:
@@ -95,13 +100,13 @@ def curvature(px: float, py: float | None = None, kind: str = "total") -> Column
         out = F.when(steep == 0, F.lit(0.0)).otherwise(2 * (d * g * g + e * h * h + f * g * h) / F.when(steep != 0, steep))
     else:
         raise ValueError(f"unknown kind of curvature: {kind}")
-    return F.when(finite(z[5]), out).otherwise(NAN)
+    return F.when(finite(z[5]), out).otherwise(nan())
 
 
 def box_sum(pixels: DataFrame, value: Column, radius: int, name: str) -> DataFrame:
     """pixels with the sum of value over the (2 radius + 1) square; cells past the edge repeat the edge's."""
     out = pixels.withColumn("_v", value)
-    for window, at in ((ROW, "c"), (COLUMN, "r")):
+    for window, at in ((along_row(), "c"), (along_column(), "r")):
         whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         low, high = F.min(at).over(whole), F.max(at).over(whole)
         out = out.withColumn(
@@ -121,7 +126,7 @@ def tpi(pixels: DataFrame, radius: int = 5, z: str = "z", name: str = "tpi") ->
     out = box_sum(pixels, F.when(ok, F.col(z)).otherwise(0.0), radius, "_sum")
     out = box_sum(out, F.when(ok, 1.0).otherwise(0.0), radius, "_count")
     mean = F.col("_sum") / F.when(F.col("_count") > 0, F.col("_count"))
-    return out.withColumn(name, F.when(ok, or_nan(F.col(z) - mean)).otherwise(NAN)).drop("_sum", "_count")
+    return out.withColumn(name, F.when(ok, or_nan(F.col(z) - mean)).otherwise(nan())).drop("_sum", "_count")
 
 
 #: Terrain bands by name, as expressions of the pixel size over z1..z9.

@@ -97,7 +97,7 @@ def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STRETCHES = f"""WITH q AS (SELECT quantile_cont(z, 0.02) AS lo, quantile_cont(z, 0.98) AS hi FROM fx_dem WHERE isfinite(z)),
  s AS (SELECT r, c, isfinite(z) AS ok, least(greatest(((CASE WHEN isfinite(z) THEN z ELSE 0 END)-lo)/(hi-lo), 0), 1) AS v FROM fx_dem, q)
- SELECT r, c, {r('CASE WHEN ok THEN v END', 'stretched')}, CASE WHEN ok THEN CAST(floor(v*255) AS INTEGER) ELSE 0 END AS byte, {r('v', 'cost')} FROM s"""
+ SELECT r, c, {r('CASE WHEN ok THEN v END', 'stretched')}, CASE WHEN ok THEN CAST(floor(v*255 + 1e-9) AS INTEGER) ELSE 0 END AS byte, {r('v', 'cost')} FROM s"""
 
 
 def band_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
