@@ -7,18 +7,23 @@ itself stays or not.  Lines of fewer than ``min_words`` distinct words always
 stay.
 
 Lines with equal sets form a class, led by its first line; a class is compared
-as one.  Words are ordered by rarity (their bucket in a fixed-size frequency
-table, then hash); two similar sets share a word among the first
-n - ceil(t n) + 1 of each (prefix filter), their sizes differ by a factor of t
-at most (length filter), and what can still be shared after the common word's
-positions must suffice (positional filter).  Survivors are verified on their
-whole sets.
+as one.  Words are 32-bit hashes, so a verdict could differ from that on the
+strings only if two words of one comparison collide.  Words are ordered by
+rarity (the count of their bucket in a frequency table of fixed size, then
+hash); two similar sets share a word among the first n - ceil(t n) + 1 of each
+(prefix filter), their sizes differ by a factor of t at most (length filter),
+what can still be shared from the common word's positions on must suffice
+(positional filter), and so must what 64-bit maps of the sets leave possible
+(bits in which they differ are words that they do not share).  Survivors are
+verified on their whole sets.
 
 Each word's posting list is used twice.  First every class meets only the
 earliest class of its lists, which settles groups of near copies at a cost
 that grows with their size, not its square.  Then the classes still unsettled
 meet all earlier classes of their lists, so nothing is missed.
 
+The text is split into words once; later steps read the stored hashes.
+
 Defined cases: null texts stay null and empty ones empty; rows that share a
 doc_id count as one document, in which equal line numbers do not remove each
 other; rows without doc_id come last; columns other than text stay as they are.
@@ -26,20 +31,18 @@ other; rows without doc_id come last; columns other than text stay as they are.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import dropped, stored
 
 LAST_ID = (1 << 63) - 1
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
 
 
 def _words(line: Column) -> Column:
-    """Distinct 64-bit word hashes of a line."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    """Distinct 32-bit word hashes of a line, ascending."""
+    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != ""), lambda w: F.hash(w))))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -48,98 +51,105 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _rarity(sets: DataFrame) -> bytes:
-    """Frequency classes (eighths of a doubling would overflow a byte: quarters) of the word buckets: BUCKETS bytes."""
-    counts = sets.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count("*").alias("c")).collect()
+    """Frequency class (thirds of a doubling) of each of the BUCKETS word buckets, a byte each."""
+    counts = sets.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count("*").alias("c"))
+    graded = counts.select("b", F.least(F.lit(126), (3 * F.log2(F.col("c") + 1)).cast("int")).alias("g"))
     table = bytearray(BUCKETS)
-    for r in counts:
-        table[r["b"]] = min(126, int(3 * math.log2(r["c"] + 1)))
+    for r in graded.groupBy(F.shiftright("b", 12)).agg(F.collect_list("b").alias("b"), F.collect_list("g").alias("g")).toLocalIterator():
+        for b, g in zip(r["b"], r["g"], strict=True):
+            table[b] = g
     return bytes(table)
 
 
 def _ordered(words: Column, rarity: bytes) -> Column:
-    """Word keys, rarest first: the frequency class in the top byte, then 56 bits of the hash."""
+    """Word keys, rarest first: the frequency class above the 32 bits of the hash."""
 
     def key(w: Column) -> Column:
-        group = F.ascii(F.substring(F.lit(rarity), w.bitwiseAND(BUCKETS - 1).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(group.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
+        group = F.ascii(F.substring(F.lit(rarity), w.bitwiseAND(BUCKETS - 1) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(group.cast("long"), 32).bitwiseOR(w.cast("long").bitwiseAND(0xFFFFFFFF))
 
     return F.sort_array(F.transform(words, key))
 
 
+def _bitmap(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20).bitwiseAND(63))))
+
+
 def _need(n: Column, m: Column, percent: int) -> Column:
     """Least overlap of sets of n and m words that are similar enough."""
     return F.ceil((percent * (n + m)) / F.lit(100.0 + percent) - 1e-9)
 
 
+def _alike(one: str, two: str, percent: int) -> Column:
+    """Whether two postings may belong to similar sets: by their lengths, positions and bitmaps."""
+    a, b = F.col(f"{one}n"), F.col(f"{two}n")
+    need = _need(a, b, percent)
+    apart = F.bit_count(F.col(f"{one}bits").bitwiseXOR(F.col(f"{two}bits")))
+    length = 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return length & (F.least(a - F.col(f"{one}i"), b - F.col(f"{two}i")) >= need) & (a + b - 2 * need >= apart)
+
+
 def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
     """(dk, ln, k) of every line to remove from docs(doc_id, text); k is the line's set key."""
-    spark = docs.sparkSession
     sets = lines(docs).select("dk", "ln", _words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
-    rarity = _rarity(sets)
-    keyed = sets.select("dk", "ln", _ordered(F.col("words"), rarity).alias("words")).select("dk", "ln", F.xxhash64("words").alias("k"), F.xxhash64("words", F.lit(1)).alias("k2"), "words")
-    members = stored(keyed.select("dk", "ln", "k", "k2"))
+    whole = stored(sets.select("dk", "ln", F.xxhash64("words").alias("k"), F.hash("words", F.lit(1)).alias("k2"), "words"))
     classes = stored(
-        keyed.groupBy("k", "k2")
-        .agg(F.min(F.struct("dk", "ln")).alias("at"), F.first("words").alias("words"), F.count("*").alias("copies"))
-        .select("at", "words", "copies", "k", "k2", F.size("words").alias("n"))
+        whole.groupBy("k", "k2")
+        .agg(F.min(F.struct("dk", "ln")).alias("at"), F.first("words").alias("words"))
+        .select("at.dk", "at.ln", "k", "k2", F.size("words").alias("n"), "words")
     )
-    copies = members.join(classes.where("copies > 1").select("k", "k2", "at"), ["k", "k2"]).where(F.struct("dk", "ln") != F.col("at")).select("dk", "ln", "k")
+    members = stored(whole.select("dk", "ln", "k", "k2"))
+    dropped(docs.sparkSession, whole)
 
     # Posting lists of prefix words; classes whose size admits only equal sets need none.
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
     posted = (
         classes.where(F.floor(F.col("n") * 100.0 / percent + 1e-9) > F.col("n"))
-        .select("at", "n", F.posexplode(F.slice("words", F.lit(1), prefix.cast("int"))).alias("i", "w"))
-        .select("w", "at", "n", "i")
+        .select("dk", "ln", "n", _bitmap(F.col("words")).alias("bits"), F.slice(_ordered(F.col("words"), _rarity(classes)), F.lit(1), prefix.cast("int")).alias("prefix"))
+        .select("dk", "ln", "n", "bits", F.posexplode("prefix").alias("i", "w"))
     )
     by_word = Window.partitionBy("w")
-    shared = stored(posted.select("*", F.min(F.struct("at", "n", "i")).over(by_word).alias("lead"), F.count("*").over(by_word).alias("size")).where("size > 1").drop("size"))
+    shared = stored(posted.select("*", F.min(F.struct("dk", "ln", "n", "i", "bits")).over(by_word).alias("lead"), F.count("*").over(by_word).alias("size")).where("size > 1").drop("size"))
 
-    def alike(n: str, m: str, i: str, j: str) -> Column:
-        a, b = F.col(n), F.col(m)
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (1 + F.least(a - F.col(i), b - F.col(j)) - 1 >= _need(a, b, percent))
-
-    first = shared.where(F.col("at") > F.col("lead.at")).where(alike("n", "lead.n", "i", "lead.i")).select(F.col("lead.at").alias("a"), F.col("at").alias("b")).distinct()
-    first = stored(first)
+    led = shared.select("dk", "ln", "n", "i", "bits", *(F.col(f"lead.{c}").alias(f"a_{c}") for c in ("dk", "ln", "n", "i", "bits")))
+    first = led.where("dk <> a_dk or ln <> a_ln").where(_alike("a_", "", percent)).select("a_dk", "a_ln", "dk", "ln").distinct()
     settled = stored(_similar(first, classes, percent))
-    open_ = shared.join(settled.select(F.col("b").alias("at")).distinct(), "at", "left_anti").select("w", F.col("at").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("lead.at").alias("lead_at"))
-    second = (
-        open_.join(shared.select("w", F.col("at").alias("a"), "n", "i"), "w")
-        .where("a < b and a <> lead_at")
-        .where(alike("n", "m", "i", "j"))
-        .select("a", "b")
-        .distinct()
-    )
-    late = _similar(stored(second), classes, percent)
-    gone = settled.select("b").union(late.select("b")).distinct().join(classes.select(F.col("at").alias("b"), "k"), "b").select("b.dk", "b.ln", "k")
-    out = stored(copies.union(gone).distinct())
-    dropped(spark, members, shared, first)
+    open_ = shared.join(settled, ["dk", "ln"], "left_anti")
+    earlier = shared.select("w", *(F.col(c).alias(f"a_{c}") for c in ("dk", "ln", "n", "i", "bits")))
+    before = F.struct("a_dk", "a_ln") < F.struct("dk", "ln")
+    not_lead = (F.col("a_dk") != F.col("lead.dk")) | (F.col("a_ln") != F.col("lead.ln"))
+    second = stored(open_.join(earlier, "w").where(before & not_lead & _alike("a_", "", percent)).select("a_dk", "a_ln", "dk", "ln").distinct())
+    gone = settled.union(_similar(second, classes, percent)).distinct()
+    stay = classes.select("dk", "ln", "k", "k2").join(gone, ["dk", "ln"], "left_anti")
+    out = stored(members.join(stay, ["dk", "ln", "k", "k2"], "left_anti").select("dk", "ln", "k").distinct())
+    dropped(docs.sparkSession, members, classes, shared, settled, second)
     return out
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class leaders whose whole sets are similar enough."""
-    one = classes.select(F.col("at").alias("a"), F.col("words").alias("wa"))
-    two = classes.select(F.col("at").alias("b"), F.col("words").alias("wb"))
-    both = pairs.join(two, "b").join(one, "a").withColumn("o", F.size(F.array_intersect("wa", "wb")))
-    return both.where((100 + percent) * F.col("o") >= percent * (F.size("wa") + F.size("wb"))).select("a", "b")
+    """(dk, ln) of the later classes in pairs(a_dk, a_ln, dk, ln) whose whole sets are similar enough."""
+    two = classes.select("dk", "ln", F.col("words").alias("wb"))
+    one = classes.select(F.col("dk").alias("a_dk"), F.col("ln").alias("a_ln"), F.col("words").alias("wa"))
+    both = pairs.join(two, ["dk", "ln"]).join(one, ["a_dk", "a_ln"]).withColumn("o", F.size(F.array_intersect("wa", "wb")))
+    return both.where((100 + percent) * F.col("o") >= percent * (F.size("wa") + F.size("wb"))).select("dk", "ln").distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
     """docs with the removed lines taken out of text; one row for each of docs, other columns unchanged."""
     gone = removed_lines(docs.select("doc_id", "text"), percent, min_words)
-    by_doc = gone.groupBy("dk").agg(F.collect_set("ln").alias("_gone"), F.collect_set("k").alias("_keys"))
-    keyed = docs.withColumn("_dk", F.coalesce("doc_id", F.lit(LAST_ID)))
-    split = F.split("text", "\n")
-    kept = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return keyed.join(by_doc, F.col("_dk") == F.col("dk"), "left").select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    by_doc = gone.groupBy("dk").agg(F.collect_set("ln").alias("gone"))
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # docs may have columns of any name
+    whole, doc_id = (F.col(f"c{docs.columns.index(c)}") for c in ("text", "doc_id"))
+    kept = F.filter(F.split(whole, "\n"), lambda _, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(kept, "\n"))
+    joined = numbered.join(by_doc, F.coalesce(doc_id, F.lit(LAST_ID)) == F.col("dk"), "left")
+    return joined.select(*(text if c == "text" else F.col(f"c{i}") for i, c in enumerate(docs.columns))).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     """Per document: n_lines, n_removed and the removed line numbers, ascending and comma-joined."""
     gone = removed_lines(docs.select("doc_id", "text"), **options).groupBy("dk").agg(F.array_sort(F.collect_set("ln")).alias("gone"))
-    count = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("dk"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    count = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("dk"), F.coalesce(1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("n_lines"))
     return count.join(gone, "dk", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed")
     )
