@@ -198,8 +198,10 @@ class Transducer:
 
     def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each piece."""
-        if len(self.states) > self.max_states or len(self.asked) > 4 * self.max_states:
+        if len(self.states) > self.max_states:
             self._forget()
+        if len(self.asked) > 4 * self.max_states:
+            self.asked.clear()
         out: list[list[int] | None] = []
         for piece in pieces:
             whole = self.ranks.get(piece)
@@ -366,23 +368,22 @@ class StreamDecoder:
         return state
 
     def feed(self, ids: list[int] | np.ndarray) -> bytes:
-        data = self.held + b"".join(map(self.tokens.__getitem__, ids))
-        if not self.held and self.plain[ids].all():
-            return data  # each token is whole characters
-        odd = data.isascii()
-        state, cut = 0, len(data)
-        if not odd:
-            at, done = 0, 0
-            while at < len(data):
-                state = self.table[state][data[at]]
-                at += 1
-                if state == BAD:  # passed on as it is; the machine starts anew
-                    state = 0
-                if state == 0:
-                    done = at
-            cut = done
-        self.held, self.state = data[cut:], state
-        return data[:cut]
+        parts = [self.held, *map(self.tokens.__getitem__, ids)]
+        data = b"".join(parts)
+        # A token of whole characters leaves the machine between characters, whatever came before:
+        # only what follows the last such token can end inside one.
+        whole = np.flatnonzero(self.plain[ids])
+        done = at = len(data) - sum(map(len, parts[whole[-1] + 2 :])) if len(whole) else 0
+        state = 0
+        while at < len(data):
+            state = self.table[state][data[at]]
+            at += 1
+            if state == BAD:  # passed on as it is; the machine starts anew
+                state = 0
+            if state == 0:
+                done = at
+        self.held, self.state = data[done:], state
+        return data[:done]
 
     def finish(self) -> bytes:
         rest, self.held, self.state = self.held, b"", 0
