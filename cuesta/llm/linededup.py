@@ -1,9 +1,9 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line's set holds its distinct words (lower-cased, split at white space).  A
-line is removed if a line earlier in the corpus, by (doc_id, line number), has
-a set with Jaccard similarity of ``percent`` / 100 or more, whether that line
-itself stays or not.  Lines of fewer than ``min_words`` distinct words always
+line is removed if a line earlier in the corpus, by (row, line number), has a
+set with Jaccard similarity of ``percent`` / 100 or more, whether that line
+itself stays or not; rows are ordered by doc_id, then by a hash of their text.  Lines of fewer than ``min_words`` distinct words always
 stay.
 
 Lines with equal sets form a class, led by its first line; a class is compared
@@ -22,11 +22,13 @@ earliest class of its lists, which settles groups of near copies at a cost
 that grows with their size, not its square.  Then the classes still unsettled
 meet all earlier classes of their lists, so nothing is missed.
 
-The text is split into words once; later steps read the stored hashes.
+The text is split into words once; later steps read the stored hashes.  Rows
+are told apart by a number given as they are first stored, never by doc_id, and
+classes by one that follows the order of their first lines.
 
 Defined cases: null texts stay null and empty ones empty; rows that share a
-doc_id count as one document, in which equal line numbers do not remove each
-other; rows without doc_id come last; columns other than text stay as they are.
+doc_id, or have none, are documents of their own; rows without doc_id come
+last; columns other than text stay as they are.
 """
 
 from __future__ import annotations
@@ -36,7 +38,6 @@ from pyspark.sql import functions as F
 
 from ._spark import dropped, stored
 
-LAST_ID = (1 << 63) - 1
 BUCKETS = 1 << 18
 
 
@@ -45,9 +46,15 @@ def _words(line: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != ""), lambda w: F.hash(w))))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(dk, ln, line) of docs(doc_id, text)."""
-    return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("dk"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs, stored once with a number rid for each row."""
+    return stored(docs.withColumn("rid", F.monotonically_increasing_id()))
+
+
+def lines(rows: DataFrame) -> DataFrame:
+    """(at, rid, ln, line) of rows(rid, doc_id, text); at orders the rows, those without doc_id last."""
+    at = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    return rows.where("text is not null").select(at.alias("at"), "rid", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
 
 
 def _rarity(sets: DataFrame) -> bytes:
@@ -89,67 +96,74 @@ def _alike(one: str, two: str, percent: int) -> Column:
     return length & (F.least(a - F.col(f"{one}i"), b - F.col(f"{two}i")) >= need) & (a + b - 2 * need >= apart)
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
-    """(dk, ln, k) of every line to remove from docs(doc_id, text); k is the line's set key."""
-    sets = lines(docs).select("dk", "ln", _words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
-    whole = stored(sets.select("dk", "ln", F.xxhash64("words").alias("k"), F.hash("words", F.lit(1)).alias("k2"), "words"))
+def _sets(rows: DataFrame, min_words: int) -> DataFrame:
+    """The stored word set of each line of rows(rid, doc_id, text), with its two set keys."""
+    sets = lines(rows).select("at", "rid", "ln", _words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    return stored(sets.select("at", "rid", "ln", F.xxhash64("words").alias("k"), F.hash("words", F.lit(1)).alias("k2"), "words"))
+
+
+def _removed(whole: DataFrame, percent: int) -> DataFrame:
+    """(rid, ln) of every line to remove; drops the table of _sets."""
+    spark = whole.sparkSession
     classes = stored(
         whole.groupBy("k", "k2")
-        .agg(F.min(F.struct("dk", "ln")).alias("at"), F.first("words").alias("words"))
-        .select("at.dk", "at.ln", "k", "k2", F.size("words").alias("n"), "words")
+        .agg(F.min(F.struct("at", "rid", "ln")).alias("first"), F.first("words").alias("words"))
+        .orderBy("first")
+        .select(F.monotonically_increasing_id().alias("c"), "first.rid", "first.ln", F.size("words").alias("n"), "words")
     )
-    members = stored(whole.select("dk", "ln", "k", "k2"))
-    dropped(docs.sparkSession, whole)
+    members = stored(whole.select("rid", "ln"))
+    dropped(spark, whole)
 
     # Posting lists of prefix words; classes whose size admits only equal sets need none.
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
     posted = (
         classes.where(F.floor(F.col("n") * 100.0 / percent + 1e-9) > F.col("n"))
-        .select("dk", "ln", "n", _bitmap(F.col("words")).alias("bits"), F.slice(_ordered(F.col("words"), _rarity(classes)), F.lit(1), prefix.cast("int")).alias("prefix"))
-        .select("dk", "ln", "n", "bits", F.posexplode("prefix").alias("i", "w"))
+        .select("c", "n", _bitmap(F.col("words")).alias("bits"), F.slice(_ordered(F.col("words"), _rarity(classes)), F.lit(1), prefix.cast("int")).alias("prefix"))
+        .select("c", "n", "bits", F.posexplode("prefix").alias("i", "w"))
     )
     by_word = Window.partitionBy("w")
-    shared = stored(posted.select("*", F.min(F.struct("dk", "ln", "n", "i", "bits")).over(by_word).alias("lead"), F.count("*").over(by_word).alias("size")).where("size > 1").drop("size"))
+    shared = stored(posted.select("*", F.min(F.struct("c", "n", "i", "bits")).over(by_word).alias("lead"), F.count("*").over(by_word).alias("size")).where("size > 1").drop("size"))
 
-    led = shared.select("dk", "ln", "n", "i", "bits", *(F.col(f"lead.{c}").alias(f"a_{c}") for c in ("dk", "ln", "n", "i", "bits")))
-    first = led.where("dk <> a_dk or ln <> a_ln").where(_alike("a_", "", percent)).select("a_dk", "a_ln", "dk", "ln").distinct()
+    led = shared.select("c", "n", "i", "bits", *(F.col(f"lead.{c}").alias(f"a_{c}") for c in ("c", "n", "i", "bits")))
+    first = led.where("c <> a_c").where(_alike("a_", "", percent)).select("a_c", "c").distinct()
     settled = stored(_similar(first, classes, percent))
-    open_ = shared.join(settled, ["dk", "ln"], "left_anti")
-    earlier = shared.select("w", *(F.col(c).alias(f"a_{c}") for c in ("dk", "ln", "n", "i", "bits")))
-    before = F.struct("a_dk", "a_ln") < F.struct("dk", "ln")
-    not_lead = (F.col("a_dk") != F.col("lead.dk")) | (F.col("a_ln") != F.col("lead.ln"))
-    second = stored(open_.join(earlier, "w").where(before & not_lead & _alike("a_", "", percent)).select("a_dk", "a_ln", "dk", "ln").distinct())
+    open_ = shared.join(settled, "c", "left_anti")
+    earlier = shared.select("w", *(F.col(c).alias(f"a_{c}") for c in ("c", "n", "i", "bits")))
+    second = stored(open_.join(earlier, "w").where((F.col("a_c") < F.col("c")) & (F.col("a_c") != F.col("lead.c")) & _alike("a_", "", percent)).select("a_c", "c").distinct())
     gone = settled.union(_similar(second, classes, percent)).distinct()
-    stay = classes.select("dk", "ln", "k", "k2").join(gone, ["dk", "ln"], "left_anti")
-    out = stored(members.join(stay, ["dk", "ln", "k", "k2"], "left_anti").select("dk", "ln", "k").distinct())
-    dropped(docs.sparkSession, members, classes, shared, settled, second)
+    stay = classes.select("c", "rid", "ln").join(gone, "c", "left_anti")
+    out = stored(members.join(stay, ["rid", "ln"], "left_anti"))
+    dropped(spark, members, classes, shared, settled, second)
     return out
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(dk, ln) of the later classes in pairs(a_dk, a_ln, dk, ln) whose whole sets are similar enough."""
-    two = classes.select("dk", "ln", F.col("words").alias("wb"))
-    one = classes.select(F.col("dk").alias("a_dk"), F.col("ln").alias("a_ln"), F.col("words").alias("wa"))
-    both = pairs.join(two, ["dk", "ln"]).join(one, ["a_dk", "a_ln"]).withColumn("o", F.size(F.array_intersect("wa", "wb")))
-    return both.where((100 + percent) * F.col("o") >= percent * (F.size("wa") + F.size("wb"))).select("dk", "ln").distinct()
+    """(c) of the later classes in pairs(a_c, c) whose whole sets are similar enough."""
+    two = classes.select("c", F.col("words").alias("wb"))
+    one = classes.select(F.col("c").alias("a_c"), F.col("words").alias("wa"))
+    both = pairs.join(two, "c").join(one, "a_c").withColumn("o", F.size(F.array_intersect("wa", "wb")))
+    return both.where((100 + percent) * F.col("o") >= percent * (F.size("wa") + F.size("wb"))).select("c").distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
     """docs with the removed lines taken out of text; one row for each of docs, other columns unchanged."""
-    gone = removed_lines(docs.select("doc_id", "text"), percent, min_words)
-    by_doc = gone.groupBy("dk").agg(F.collect_set("ln").alias("gone"))
-    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # docs may have columns of any name
+    rows = _numbered(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))))  # docs may have columns of any name
     whole, doc_id = (F.col(f"c{docs.columns.index(c)}") for c in ("text", "doc_id"))
+    gone = _removed(_sets(rows.select("rid", doc_id.alias("doc_id"), whole.alias("text")), min_words), percent)
+    by_row = gone.groupBy("rid").agg(F.collect_set("ln").alias("gone"))
     kept = F.filter(F.split(whole, "\n"), lambda _, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(kept, "\n"))
-    joined = numbered.join(by_doc, F.coalesce(doc_id, F.lit(LAST_ID)) == F.col("dk"), "left")
+    joined = rows.join(by_row, "rid", "left")
     return joined.select(*(text if c == "text" else F.col(f"c{i}") for i, c in enumerate(docs.columns))).toDF(*docs.columns)
 
 
-def digest(docs: DataFrame, **options) -> DataFrame:
+def digest(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
     """Per document: n_lines, n_removed and the removed line numbers, ascending and comma-joined."""
-    gone = removed_lines(docs.select("doc_id", "text"), **options).groupBy("dk").agg(F.array_sort(F.collect_set("ln")).alias("gone"))
-    count = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("dk"), F.coalesce(1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("n_lines"))
-    return count.join(gone, "dk", "left").select(
+    rows = _numbered(docs.select("doc_id", "text"))
+    whole = _sets(rows, min_words)
+    count = stored(rows.select("rid", "doc_id", F.coalesce(1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("n_lines")))
+    dropped(docs.sparkSession, rows)
+    gone = _removed(whole, percent).groupBy("rid").agg(F.array_sort(F.collect_set("ln")).alias("gone"))
+    return count.join(gone, "rid", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed")
     )
