@@ -3,8 +3,8 @@
 A line's set holds its distinct words (lower-cased, split at white space).  A
 line is removed if a line earlier in the corpus, by (row, line number), has a
 set with Jaccard similarity of ``percent`` / 100 or more, whether that line
-itself stays or not; rows are ordered by doc_id, then by a hash of their text.  Lines of fewer than ``min_words`` distinct words always
-stay.
+itself stays or not; rows are ordered by doc_id, then by a hash of their text.
+Only lines without a word, which have no similarity, always stay.
 
 Lines with equal sets form a class, led by its first line; a class is compared
 as one.  Words are 32-bit hashes, so a verdict could differ from that on the
@@ -96,9 +96,9 @@ def _alike(one: str, two: str, percent: int) -> Column:
     return length & (F.least(a - F.col(f"{one}i"), b - F.col(f"{two}i")) >= need) & (a + b - 2 * need >= apart)
 
 
-def _sets(rows: DataFrame, min_words: int) -> DataFrame:
+def _sets(rows: DataFrame) -> DataFrame:
     """The stored word set of each line of rows(rid, doc_id, text), with its two set keys."""
-    sets = lines(rows).select("at", "rid", "ln", _words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    sets = lines(rows).select("at", "rid", "ln", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
     return stored(sets.select("at", "rid", "ln", F.xxhash64("words").alias("k"), F.hash("words", F.lit(1)).alias("k2"), "words"))
 
 
@@ -145,11 +145,11 @@ def _similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * F.col("o") >= percent * (F.size("wa") + F.size("wb"))).select("c").distinct()
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with the removed lines taken out of text; one row for each of docs, other columns unchanged."""
     rows = _numbered(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))))  # docs may have columns of any name
     whole, doc_id = (F.col(f"c{docs.columns.index(c)}") for c in ("text", "doc_id"))
-    gone = _removed(_sets(rows.select("rid", doc_id.alias("doc_id"), whole.alias("text")), min_words), percent)
+    gone = _removed(_sets(rows.select("rid", doc_id.alias("doc_id"), whole.alias("text"))), percent)
     by_row = gone.groupBy("rid").agg(F.collect_set("ln").alias("gone"))
     kept = F.filter(F.split(whole, "\n"), lambda _, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(kept, "\n"))
@@ -157,10 +157,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataF
     return joined.select(*(text if c == "text" else F.col(f"c{i}") for i, c in enumerate(docs.columns))).toDF(*docs.columns)
 
 
-def digest(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
+def digest(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per document: n_lines, n_removed and the removed line numbers, ascending and comma-joined."""
     rows = _numbered(docs.select("doc_id", "text"))
-    whole = _sets(rows, min_words)
+    whole = _sets(rows)
     count = stored(rows.select("rid", "doc_id", F.coalesce(1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("n_lines")))
     dropped(docs.sparkSession, rows)
     gone = _removed(whole, percent).groupBy("rid").agg(F.array_sort(F.collect_set("ln")).alias("gone"))
