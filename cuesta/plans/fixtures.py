@@ -18,7 +18,7 @@ SELECT o_orderkey AS id, CAST((o_orderkey*37)%10000 AS DOUBLE) AS x, CAST((o_ord
 """
 FX_VERT = """
 SELECT o_custkey AS trace_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS seq,
- CAST(10+((o_orderkey*13)%4600)/10.0 AS DOUBLE) AS x, CAST(10+((o_orderkey*29)%4600)/10.0 AS DOUBLE) AS y FROM orders WHERE o_custkey<200
+ CAST(10+((o_orderkey*13)%4600)/10.0 AS DOUBLE) AS x, CAST(10+((o_orderkey*29)%4600)/10.0 AS DOUBLE) AS y FROM orders
 """
 FX_SCENE = """
 SELECT o_orderkey AS ord, o_custkey%20 AS aoi, CAST(o_orderdate AS DATE) AS d, CAST((o_orderkey*31)%100 AS DOUBLE) AS cloud FROM orders
