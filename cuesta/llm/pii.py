@@ -8,8 +8,8 @@ potentials are log-linear in shape features; neighbouring candidates share a
 chain potential, and candidates of a document with equal or similar content,
 however far apart, share a skip potential.  Loopy belief propagation gives
 each node's marginals; a candidate that is no base span becomes one more span
-if its marginal for a kind is at least ``sure`` and it hangs together with a
-base span of that kind.
+if its marginal for a kind is at least ``sure``, whether its document has base
+spans or not.
 
 Weights are learned from the base spans of all documents as labels: shapes,
 neighbours and skip pairs are counted in one pass, which leaves a table as
@@ -17,7 +17,7 @@ large as the number of different shapes.  Skip edges tie each occurrence to
 the last and to the first alike, so their number is linear in the candidates.
 
 Defined cases: null and empty texts have no spans; repeated rows give equal
-results; documents without a digit or @ are not looked at further.
+results; documents without a digit, @ or spelled-out @ are not looked at further.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOOSE = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[ ().-]*+[0-9])*+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[\[(]at[\])]) ?[A-Za-z0-9.-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)*")
 _WORTH = re.compile(r"[0-9@]").search
+_CANDIDATES = re.compile(r"[0-9@]|[\[(]at[\])]").search
 
 Span = tuple[str, int, int]
 
@@ -100,6 +101,7 @@ class Node:
         if address:
             plain = re.sub(r" ?[\[(]at[\])] ?", "@", re.sub(r" ?[\[(]dot[\])] ?", ".", s)).replace(" ", "").lower()
             self.key = "a" + plain
+            s = plain  # spelled out or not, an address has one shape
         else:
             self.key = "d" + digits if len(digits) >= 7 else ""
         before = text[max(0, start - 12) : start].split()
@@ -227,32 +229,16 @@ class Field:
 
     def more(self, text: str, base: list[Span]) -> list[Span]:
         """Spans that the field adds to the base ones."""
-        if not base:
+        if not _CANDIDATES(text):
             return []
         items = nodes(text, base)
         if all(n.base for n in items):
             return []
-        skips = skip_edges(items)
-        near: dict[int, set[int]] = {}
-        for a, b in skips:
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        held: list[set[int]] = [set() for _ in items]  # kinds of base spans that a node hangs together with
-        for i, n in enumerate(items):
-            if n.base:
-                queue = [i]
-                while queue:
-                    for j in near.get(queue.pop(), ()):
-                        if n.label not in held[j]:
-                            held[j].add(n.label)
-                            queue.append(j)
-        if not any(held[i] for i, n in enumerate(items) if not n.base):
-            return []
-        p = self.marginals(items, skips)
+        p = self.marginals(items, skip_edges(items))
         out = []
         for i, n in enumerate(items):
             label = int(p[i, 1:].argmax()) + 1
-            if not n.base and label in held[i] and p[i, label] >= self.sure:
+            if not n.base and p[i, label] >= self.sure:
                 out.append((LABELS[label], n.start, n.end))
         return out
 
@@ -270,7 +256,7 @@ def learn(docs: DataFrame, **options) -> Field:
         chain, skip = np.zeros((5, 5), dtype=np.int64), np.zeros((5, 5), dtype=np.int64)
         for batch in batches:
             for text in _each_text(batch.column(0)):
-                if not _WORTH(text):
+                if not _CANDIDATES(text):
                     continue
                 items = nodes(text, base_spans(text))
                 shapes.update((n.shape, n.label) for n in items)
@@ -314,7 +300,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 for text in _each_text(part.column(at)):
                     base = base_spans(text)
                     both[0].append(base)
-                    both[1].append(sorted(base + shared.value.more(text, base), key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if base else base)
+                    both[1].append(sorted(base + shared.value.more(text, base), key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
                 lists = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in row] for row in rows], arrow) for rows in both]
                 yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=[*(f"c{i}" for i in range(len(names))), "base", "spans"])
 
