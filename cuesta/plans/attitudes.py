@@ -22,9 +22,9 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def attitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strike and dip of every trace, gated and classified."""
+    """Strike and dip of every trace with their uncertainties, gated and classified."""
     t = _tables(spark, sf_dir)
-    fits = attitude.fit_traces(t["fx_vert"], t["fx_dem"], GT, 30.0)
+    fits = attitude.fit_traces(t["fx_vert"], t["fx_dem"], GT, 30.0, sigma_z=2.0)
     return comparable(fits.withColumn("morphology", morphology("dip")), 4)
 
 

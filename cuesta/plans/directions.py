@@ -69,7 +69,7 @@ PROJECTIONS = f"""WITH p AS (SELECT id, (strike+270) % 360 AS t, 90-dip AS q FRO
 
 
 def great_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(directional.great_circles(_planes(spark, sf_dir), 19))
+    return comparable(directional.great_circles(_planes(spark, sf_dir)))
 
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
