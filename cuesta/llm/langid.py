@@ -145,15 +145,14 @@ class LanguageFilters:
         return names, np.clip(score, 0, 1)
 
 
-def fit(docs: DataFrame, n: int = 4, rate: float = 1e-5, least: int = 2, sure: int = 20_000) -> LanguageFilters:
+def fit(docs: DataFrame, n: int = 4, rate: float = 1e-5) -> LanguageFilters:
     """Filters of the languages in docs(lang, text).
 
-    An n-gram is kept for a language if it makes up ``rate`` of it; if a
-    language has more than ``sure`` n-grams, it must also occur ``least`` times.
+    An n-gram is kept for a language if it makes up ``rate`` of it.
     """
     counts = stored(gram_counts(docs, n))
     totals = counts.groupBy("lang").agg(F.sum("c").alias("all"))
-    kept = counts.join(F.broadcast(totals.where("lang is not null")), "lang").where(F.col("c") >= F.col("all") * rate).where((F.col("all") < sure) | (F.col("c") >= least))
+    kept = counts.join(F.broadcast(totals.where("lang is not null")), "lang").where(F.col("c") >= F.col("all") * rate)
     got = kept.select("lang", "gram", "all").toArrow()
     langs, grams_, alls = np.array(got["lang"].to_pylist(), dtype=object), got["gram"].to_numpy().view(np.uint64), got["all"].to_numpy()
     known = {x: grams_[langs == x] for x in set(langs)}
