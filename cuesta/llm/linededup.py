@@ -1,155 +1,438 @@
-"""Line deduplication by an exact set-similarity join, in DataFrame operations only.
-
-A line's set holds its distinct words (lower-cased, split at white space).  A
-line is removed if a line earlier in the corpus, by (row, line number), has a
-set with Jaccard similarity of ``percent`` / 100 or more, whether that line
-itself stays or not; rows are ordered by doc_id, then by a hash of their text.
-Only lines without a word, which have no similarity, always stay.
-
-Lines with equal sets form a class, led by its first line; a class is compared
-as one.  Words are 32-bit hashes, so a verdict could differ from that on the
-strings only if two words of one comparison collide.  Words are ordered by
-rarity (the count of their bucket in a frequency table of fixed size, then
-hash); two similar sets share a word among the first n - ceil(t n) + 1 of each
-(prefix filter), their sizes differ by a factor of t at most (length filter),
-what can still be shared from the common word's positions on must suffice
-(positional filter), and so must what 64-bit maps of the sets leave possible
-(bits in which they differ are words that they do not share).  Survivors are
-verified on their whole sets.
-
-Each word's posting list is used twice.  First every class meets only the
-earliest class of its lists, which settles groups of near copies at a cost
-that grows with their size, not its square.  Then the classes still unsettled
-meet all earlier classes of their lists, so nothing is missed.
-
-The text is split into words once; later steps read the stored hashes.  Rows
-are told apart by a number given as they are first stored, never by doc_id, and
-classes by one that follows the order of their first lines.
+"""Line deduplication by an exact set-similarity join.
+
+A line's set holds its distinct words (lower-cased, split at ASCII white
+space).  A line is removed if a line earlier in the corpus has a set with
+Jaccard similarity of ``percent`` / 100 or more, whether that line itself stays
+or not.  Documents are ordered by doc_id (null last), then by a hash of their
+text; lines by their place in the document.  Only lines without a word, which
+have no similarity, always stay.
+
+1. The text is split once, in document order.  A stored row of each line holds
+   its number ``lid`` (ascending with that order), its words as 48-bit hashes, a
+   256-bit map of them and a 128-bit key of the set.  Lines with equal keys form
+   a class, led by its first line; the others of the class are removed.
+2. Every task counts its words in ``1 << BITS`` buckets; the sums, a byte a
+   bucket on a logarithmic scale, order words by rarity.
+3. Similar sets of n and m words share one of the first n - ceil(t n) + 1 words
+   of each (prefix filter).  Postings of these words are gathered by a hash of
+   the word, as one row of arrays for each of the parts.  A word that its bucket
+   shows to be unique needs none.
+4. Within a part, postings of one word are compared by size (length filter), by
+   what can still be shared after the common word (positional filter) and by
+   128-bit maps of the sets, whose differing bits are words not shared.
+5. The pairs left meet the same test on the wider maps, and then are verified on
+   their whole sets: first the earliest candidate of each line, which settles
+   most copies, then all others of the lines still open.  A part gives ``FEW`` candidates of a line at most, and
+   marks a line that has more; if it is still open after those, its words are
+   joined with all postings of them, row by row, so nothing is missed.
+6. Words in more than ``HOT`` lines are joined by Spark row by row as well:
+   every class against the first of the word's, then the open ones against all
+   earlier ones; both are joins that a hot word does not hold in one task.
+
+The split and the arrays are NumPy over Arrow batches: in DataFrame functions
+alone this did not meet the limits of time and disk (see README).
 
 Defined cases: null texts stay null and empty ones empty; rows that share a
-doc_id, or have none, are documents of their own; rows without doc_id come
-last; columns other than text stay as they are.
+doc_id, or have none, are documents of their own; columns other than text stay
+as they are, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._spark import dropped, stored
-
-BUCKETS = 1 << 18
-
-
-def _words(line: Column) -> Column:
-    """Distinct 32-bit word hashes of a line, ascending."""
-    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != ""), lambda w: F.hash(w))))
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs, stored once with a number rid for each row."""
-    return stored(docs.withColumn("rid", F.monotonically_increasing_id()))
-
-
-def lines(rows: DataFrame) -> DataFrame:
-    """(at, rid, ln, line) of rows(rid, doc_id, text); at orders the rows, those without doc_id last."""
-    at = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    return rows.where("text is not null").select(at.alias("at"), "rid", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-
-
-def _rarity(sets: DataFrame) -> bytes:
-    """Frequency class (thirds of a doubling) of each of the BUCKETS word buckets, a byte each."""
-    counts = sets.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count("*").alias("c"))
-    graded = counts.select("b", F.least(F.lit(126), (3 * F.log2(F.col("c") + 1)).cast("int")).alias("g"))
-    table = bytearray(BUCKETS)
-    for r in graded.groupBy(F.shiftright("b", 12)).agg(F.collect_list("b").alias("b"), F.collect_list("g").alias("g")).toLocalIterator():
-        for b, g in zip(r["b"], r["g"], strict=True):
-            table[b] = g
-    return bytes(table)
-
-
-def _ordered(words: Column, rarity: bytes) -> Column:
-    """Word keys, rarest first: the frequency class above the 32 bits of the hash."""
-
-    def key(w: Column) -> Column:
-        group = F.ascii(F.substring(F.lit(rarity), w.bitwiseAND(BUCKETS - 1) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(group.cast("long"), 32).bitwiseOR(w.cast("long").bitwiseAND(0xFFFFFFFF))
-
-    return F.sort_array(F.transform(words, key))
-
-
-def _bitmap(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20).bitwiseAND(63))))
+from ._text import NOT_SPACE, Words, chunks, mix64, text_bytes
+
+BITS = 20
+BLOCK = 1 << 12
+HOT = 1 << 14
+FEW = 8
+PART = 1 << 18  # postings of a part, about
+STEP = 1 << 21  # pairs compared at once
+HEAD, COUNTS = -1, -2  # values of ln in rows that are no lines
+MAPS = [f"s{j}" for j in range(4)]
+
+M48, M40 = np.uint64((1 << 48) - 1), np.uint64((1 << 40) - 1)
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes; ends are the n + 1 boundaries in data."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 48-bit hashes of a column of sets, and the boundaries of its rows."""
+    raw, ends = text_bytes(column)
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view(np.uint64).ravel(), ends // 6
+
+
+def _line_sets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes ascending within a line, boundaries) of runs of at most 65,536 of the lines at offsets."""
+    for lo in range(0, len(offsets) - 1, 1 << 16):
+        hi = min(lo + (1 << 16), len(offsets) - 1)
+        words = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], NOT_SPACE)
+        keys = (words.row.astype(np.uint64) << np.uint64(48)) | (words.hash >> np.uint64(16))
+        keys.sort()
+        if len(keys):
+            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        yield keys & M48, np.searchsorted(keys >> np.uint64(48), np.arange(hi - lo + 1))
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """The stored rows of rows(rid, doc_id, text): a head for each row, its lines with words, and each task's word counts."""
+    id_type = rows.schema["doc_id"].dataType
+    fields = [T.StructField("rid", T.LongType()), T.StructField("ln", T.IntegerType()), T.StructField("doc_id", id_type), T.StructField("lid", T.LongType())]
+    fields += [T.StructField("n", T.IntegerType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("words", T.BinaryType())]
+    fields += [T.StructField(c, T.LongType()) for c in MAPS]
+    schema = T.StructType(fields)
+
+    def split(batches):
+        counts, lid = np.zeros(1 << BITS, np.int64), TaskContext.get().partitionId() << 36
+        for batch in batches:
+            rid, ids = np.asarray(batch.column(0)), batch.column(1)
+            raw, offsets = text_bytes(pc.utf8_lower(batch.column(2)))
+            null = np.asarray(batch.column(2).is_null())
+            for lo, hi in chunks(offsets):
+                part, ends = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                breaks = np.flatnonzero(part == 10)
+                doc = np.concatenate([np.arange(hi - lo), np.searchsorted(ends[1:], breaks, side="right")])
+                starts = np.concatenate([ends[:-1], breaks + 1])
+                order = np.lexsort((starts, doc))
+                doc, starts = doc[order], starts[order]
+                first = np.searchsorted(doc, np.arange(hi - lo + 1))
+                n_lines = np.where(null[lo:hi], 0, np.diff(first))
+                yield pa.RecordBatch.from_arrays([pa.array(rid[lo:hi]), pa.array(np.full(hi - lo, HEAD, np.int32)), ids.slice(lo, hi - lo), pa.nulls(hi - lo, pa.int64()), pa.array(n_lines.astype(np.int32)), *(pa.nulls(hi - lo, t) for t in (pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4))], names=schema.names)
+                at = 0
+                for words, bounds in _line_sets(part, np.append(starts, len(part))):
+                    size = np.diff(bounds)
+                    some = np.flatnonzero(size)
+                    if len(some):
+                        begins = bounds[some]
+                        counts += np.bincount((words & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
+                        keys = [np.add.reduceat(mix64(words ^ np.uint64(c)), begins).view(np.int64) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+                        place = words >> np.uint64(40)
+                        flag = np.uint64(1) << (place & np.uint64(63))
+                        maps = [np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == j, flag, np.uint64(0)), begins).view(np.int64) for j in range(4)]
+                        m, of = len(some), doc[at + some]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(rid[lo + of]), pa.array((at + some - first[of]).astype(np.int32)), pa.nulls(m, ids.type), pa.array(lid + np.arange(m)), pa.array(size[some].astype(np.int32)), *(pa.array(k) for k in keys), _binary(words.view(np.uint8).reshape(-1, 8)[:, :6], np.append(begins, bounds[-1]) * 6), *(pa.array(c) for c in maps)],
+                            names=schema.names,
+                        )
+                        lid += m
+                    at += len(size)
+        blocks = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        if len(some):
+            m = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(m, COUNTS, np.int32)), pa.nulls(m, ids.type), *(pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())), pa.array([b.tobytes() for b in blocks[some]], pa.binary()), *(pa.nulls(m, pa.int64()) for _ in MAPS)], names=schema.names)
+
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    return stored(rows.select("rid", "doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(split, schema))
+
+
+def _rarity(split: DataFrame) -> np.ndarray:
+    """A byte for each bucket: 0 for a word in one line only, else 1 + 3 log2 of the lines."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[block] = total.get(block, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
+        graded = [_grade(c).tobytes() for c in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(graded, pa.binary())], names=["block", "grades"])
+
+    counted = split.where(F.col("ln") == COUNTS).select(F.col("rid").alias("block"), "words").repartition(16, "block")
+    out = np.zeros(1 << BITS, np.uint8)
+    for r in counted.mapInArrow(add, "block long, grades binary").collect():  # 1 << BITS bytes in all
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["grades"], np.uint8)
+    return out
 
 
-def _need(n: Column, m: Column, percent: int) -> Column:
+def _grade(count):
+    return np.where(count > 1, np.minimum(255, 1 + 3 * np.log2(np.maximum(count, 1))), 0).astype(np.uint8)
+
+
+def _prefixes(batch: pa.RecordBatch, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Postings of a batch of (lid, n, k1, words): word, grade, lid, n, place, two halves of a 128-bit map, k1."""
+    lid, n, k = (np.asarray(batch.column(j)) for j in range(3))
+    words, ends = _hashes(batch.column(3))
+    place = words >> np.uint64(41)
+    flag = np.uint64(1) << (place & np.uint64(63))
+    maps = [np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == j, flag, np.uint64(0)), ends[:-1]) for j in range(2)]
+    row = np.repeat(np.arange(len(n)), n)
+    keys = (row.astype(np.uint64) << np.uint64(48)) | (rarity[(words & np.uint64((1 << BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (words & M40)
+    keys.sort()
+    spot = np.arange(len(keys)) - ends[:-1][row]
+    grade = ((keys >> np.uint64(40)) & np.uint64(255)).astype(np.uint8)
+    lone = np.zeros(len(n), bool)
+    lone[np.unique(k, return_index=True)[1]] = True  # copies within the batch post once, by the first
+    lone &= n * 100 // percent > n  # other sizes admit equal sets only
+    keep = lone[row] & (grade > 0) & (spot < (n + (-n * percent) // 100 + 1)[row])
+    at = row[keep]
+    return keys[keep] & M40, grade[keep], lid[at], n[at], spot[keep].astype(np.int32), maps[0][at], maps[1][at], k[at]
+
+
+COLUMNS = (("w", np.uint32), ("lid", np.int64), ("n", np.int32), ("i", np.int32), ("bits", np.uint64), ("more", np.uint64), ("k", np.int64))
+
+
+def _slices(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1 << 15):
+            if batch.num_rows:
+                yield batch.slice(lo, 1 << 15)
+
+
+def _posted(lines: DataFrame, rarity: np.ndarray, percent: int, parts: int) -> DataFrame:
+    """A row (part and an array of each of COLUMNS) for every part of the words in at most HOT lines."""
+    hot = _grade(np.array([HOT]))[0]
+    schema = "part int, " + ", ".join(f"{name} binary" for name, _ in COLUMNS)
+
+    def gathered(held):
+        word, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
+        spread = mix64(word)
+        part = (spread % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        arrays = [pa.array(part[begins])]
+        for (_, kind), values in zip(COLUMNS, (spread >> np.uint64(32), *rest), strict=True):
+            flat = values.astype(kind)[order]
+            arrays.append(_binary(flat.view(np.uint8), np.append(begins, len(flat)) * flat.itemsize))
+        return pa.RecordBatch.from_arrays(arrays, names=["part", *(name for name, _ in COLUMNS)])
+
+    def post(batches):
+        held, size = [], 0
+        for batch in _slices(batches):
+            word, grade, *rest = _prefixes(batch, rarity, percent)
+            cold = grade <= hot
+            held.append([word[cold], *(c[cold] for c in rest)])
+            size += int(cold.sum())
+            if size >= 1 << 20:
+                yield gathered(held)
+                held, size = [], 0
+        if size:
+            yield gathered(held)
+
+    def merged(batches):
+        part, held = None, []
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([b"".join(c)], pa.binary()) for c in zip(*held, strict=True))], names=["part", *(name for name, _ in COLUMNS)])
+
+        for batch in batches:
+            for values in zip(*(batch.column(j).to_pylist() for j in range(1 + len(COLUMNS))), strict=True):
+                if held and values[0] != part:
+                    yield row()
+                    held = []
+                part = values[0]
+                held.append(values[1:])
+        if held:
+            yield row()
+
+    return lines.mapInArrow(post, schema).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merged, schema)
+
+
+def _need(n, m, percent: int):
     """Least overlap of sets of n and m words that are similar enough."""
-    return F.ceil((percent * (n + m)) / F.lit(100.0 + percent) - 1e-9)
+    return (percent * (n + m) + 99 + percent) // (100 + percent)
+
+
+def _part_pairs(arrays: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, ...]:
+    """(b, a, more): candidate pairs of a part, b being the later line; more if b has others."""
+    w, k = arrays["w"].astype(np.uint64), arrays["k"].view(np.uint64)
+    order = np.argsort((w << np.uint64(32)) | (k >> np.uint64(32)))
+    w, k = w[order], k[order]
+    begins = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (k[1:] != k[:-1])]))
+    lid = np.minimum.reduceat(arrays["lid"][order], begins)  # copies of a line: by the first
+    order, w, k = order[begins], w[begins], k[begins]
+    n, i, bits, more = (arrays[c][order] for c in ("n", "i", "bits", "more"))
+    by = (w << np.uint64(32)) | n.astype(np.uint64)
+    order = np.argsort(by)
+    by, lid, n, i, bits, more, k = by[order], lid[order], n[order].astype(np.int64), i[order].astype(np.int64), bits[order], more[order], k[order]
+    last = np.searchsorted(by, (by & ~np.uint64(0xFFFFFFFF)) | (n * 100 // percent).astype(np.uint64), side="right")
+    many = last - np.arange(len(by)) - 1
+    total = np.concatenate([[0], np.cumsum(many)])
+    found: list[tuple[np.ndarray, ...]] = []
+    size = lo = 0
+    while lo < len(by):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + STEP, side="right")) - 1)
+        one = np.repeat(np.arange(lo, hi), many[lo:hi])
+        two = np.arange(len(one)) - np.repeat(total[lo:hi] - total[lo], many[lo:hi]) + one + 1
+        need = _need(n[one], n[two], percent)
+        both = n[one] + n[two]
+        good = both - 2 * need >= np.bitwise_count(bits[one] ^ bits[two]).astype(np.int64) + np.bitwise_count(more[one] ^ more[two])
+        good &= np.minimum(n[one] - i[one], n[two] - i[two]) >= need
+        good &= k[one] != k[two]
+        x, y = lid[one[good]], lid[two[good]]
+        b, a = np.maximum(x, y), np.minimum(x, y)
+        if len(b):
+            found.append((b, a, np.zeros(len(b), bool)))
+            size += len(b)
+            if size > 2 * STEP:
+                found = [_fewest(found)]
+                size = len(found[0][0])
+        lo = hi
+    return _fewest(found) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+
+
+def _fewest(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct pairs, the FEW earliest of each later line, marked if that line has more."""
+    b, a, more = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((a, b))
+    b, a, more = b[order], a[order], more[order]
+    new = np.concatenate([[True], (b[1:] != b[:-1]) | (a[1:] != a[:-1])])
+    head = np.concatenate([[True], b[1:] != b[:-1]])
+    marked = np.logical_or.reduceat(more, np.flatnonzero(head))
+    line = (np.cumsum(head) - 1)[new]
+    b, a = b[new], a[new]
+    begins = np.searchsorted(line, np.arange(line[-1] + 2))
+    marked |= np.diff(begins) > FEW
+    few = np.arange(len(b)) - begins[line] < FEW
+    return b[few], a[few], marked[line[few]]
+
+
+def _candidates(posted: DataFrame, percent: int) -> DataFrame:
+    """(b, a, more) of every part of posted(part, arrays)."""
+
+    def pairs(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                arrays = {name: np.frombuffer(batch.column(j + 1)[r].as_buffer(), kind) for j, (name, kind) in enumerate(COLUMNS)}
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _part_pairs(arrays, percent)], names=["b", "a", "more"])
+
+    return posted.mapInArrow(pairs, "b long, a long, more boolean")
+
+
+def _rows(lines: DataFrame, rarity: np.ndarray, wanted: np.ndarray, percent: int) -> DataFrame:
+    """Stored postings (w, k, lid, n, i, bits, more) of the words in wanted buckets, one of each class."""
+
+    def post(batches):
+        for batch in _slices(batches):
+            word, _, lid, n, place, bits, more, k = _prefixes(batch, rarity, percent)
+            at = wanted[(word & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (word.view(np.int64), k, lid, n, place, bits.view(np.int64), more.view(np.int64))], names=["w", "k", "lid", "n", "i", "bits", "more"])
+
+    rows = lines.mapInArrow(post, "w long, k long, lid long, n int, i int, bits long, more long")
+    return stored(rows.groupBy("w", "k").agg(F.min("lid").alias("lid"), F.min("n").alias("n"), F.min("i").alias("i"), F.min("bits").alias("bits"), F.min("more").alias("more")))
+
+
+def _buckets(lines: DataFrame, rarity: np.ndarray, percent: int) -> np.ndarray:
+    """Which buckets hold a prefix word of lines(lid, n, k1, words): a bit for each comes to the driver."""
+
+    def seen(batches):
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_prefixes(batch, rarity, percent)[0] & np.uint64((1 << BITS) - 1)).view(np.int64))], names=["b"])
+
+    bits = F.expr("bitmap_construct_agg(b & 32767)").alias("bits")
+    out = np.zeros(1 << BITS, bool)
+    for r in lines.mapInArrow(seen, "b long").groupBy(F.expr("b >> 15").alias("at")).agg(bits).collect():
+        flags = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").astype(bool)
+        out[r["at"] << 15 : (r["at"] + 1) << 15] = flags
+    return out
 
 
 def _alike(one: str, two: str, percent: int) -> Column:
-    """Whether two postings may belong to similar sets: by their lengths, positions and bitmaps."""
+    """The filters of _part_pairs on columns n, i, bits of two rows."""
     a, b = F.col(f"{one}n"), F.col(f"{two}n")
-    need = _need(a, b, percent)
-    apart = F.bit_count(F.col(f"{one}bits").bitwiseXOR(F.col(f"{two}bits")))
+    need = F.ceil((percent * (a + b)) / F.lit(100.0 + percent) - 1e-9)
+    apart = sum((F.bit_count(F.col(f"{one}{c}").bitwiseXOR(F.col(f"{two}{c}"))) for c in ("bits", "more")), F.lit(0))
     length = 100 * F.least(a, b) >= percent * F.greatest(a, b)
     return length & (F.least(a - F.col(f"{one}i"), b - F.col(f"{two}i")) >= need) & (a + b - 2 * need >= apart)
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """The stored word set of each line of rows(rid, doc_id, text), with its two set keys."""
-    sets = lines(rows).select("at", "rid", "ln", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
-    return stored(sets.select("at", "rid", "ln", F.xxhash64("words").alias("k"), F.hash("words", F.lit(1)).alias("k2"), "words"))
-
-
-def _removed(whole: DataFrame, percent: int) -> DataFrame:
-    """(rid, ln) of every line to remove; drops the table of _sets."""
-    spark = whole.sparkSession
-    classes = stored(
-        whole.groupBy("k", "k2")
-        .agg(F.min(F.struct("at", "rid", "ln")).alias("first"), F.first("words").alias("words"))
-        .orderBy("first")
-        .select(F.monotonically_increasing_id().alias("c"), "first.rid", "first.ln", F.size("words").alias("n"), "words")
-    )
-    members = stored(whole.select("rid", "ln"))
-    dropped(spark, whole)
-
-    # Posting lists of prefix words; classes whose size admits only equal sets need none.
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    posted = (
-        classes.where(F.floor(F.col("n") * 100.0 / percent + 1e-9) > F.col("n"))
-        .select("c", "n", _bitmap(F.col("words")).alias("bits"), F.slice(_ordered(F.col("words"), _rarity(classes)), F.lit(1), prefix.cast("int")).alias("prefix"))
-        .select("c", "n", "bits", F.posexplode("prefix").alias("i", "w"))
-    )
-    by_word = Window.partitionBy("w")
-    shared = stored(posted.select("*", F.min(F.struct("c", "n", "i", "bits")).over(by_word).alias("lead"), F.count("*").over(by_word).alias("size")).where("size > 1").drop("size"))
-
-    led = shared.select("c", "n", "i", "bits", *(F.col(f"lead.{c}").alias(f"a_{c}") for c in ("c", "n", "i", "bits")))
-    first = led.where("c <> a_c").where(_alike("a_", "", percent)).select("a_c", "c").distinct()
-    settled = stored(_similar(first, classes, percent))
-    open_ = shared.join(settled, "c", "left_anti")
-    earlier = shared.select("w", *(F.col(c).alias(f"a_{c}") for c in ("c", "n", "i", "bits")))
-    second = stored(open_.join(earlier, "w").where((F.col("a_c") < F.col("c")) & (F.col("a_c") != F.col("lead.c")) & _alike("a_", "", percent)).select("a_c", "c").distinct())
-    gone = settled.union(_similar(second, classes, percent)).distinct()
-    stay = classes.select("c", "rid", "ln").join(gone, "c", "left_anti")
-    out = stored(members.join(stay, ["rid", "ln"], "left_anti"))
-    dropped(spark, members, classes, shared, settled, second)
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(b) of the later lines of pairs(a, b) whose whole sets are similar enough."""
+
+    def verify(batches):
+        for batch in _slices(batches):
+            (one, ends), (two, tails) = _hashes(batch.column(1)), _hashes(batch.column(2))
+            n, m = np.diff(ends), np.diff(tails)
+            rows = np.arange(len(n), dtype=np.uint64) << np.uint64(48)
+            keys = np.concatenate([np.repeat(rows, n) | one, np.repeat(rows, m) | two])
+            keys.sort()
+            both = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array((100 + percent) * both >= percent * (n + m)))], names=["b"])
+
+    two = sets.select(F.col("lid").alias("b"), F.col("words").alias("wb"))
+    one = sets.select(F.col("lid").alias("a"), F.col("words").alias("wa"))
+    return pairs.join(two, "b").join(one, "a").select("b", "wa", "wb").mapInArrow(verify, "b long").distinct()
+
+
+def _against(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
+    """Stored candidate pairs (b, a) of postings that share a word."""
+    two = earlier.select("w", *(F.col(c).alias(f"a_{c}") for c in ("lid", "n", "i", "bits", "more")))
+    pairs = later.join(two, "w").where(F.col("a_lid") < F.col("lid")).where(_alike("a_", "", percent))
+    return stored(pairs.select(F.col("lid").alias("b"), F.col("a_lid").alias("a")).distinct())
+
+
+def _removed(split: DataFrame, percent: int) -> DataFrame:
+    """The stored (rid, ln) of every line to remove; drops the table of _split."""
+    spark = split.sparkSession
+    lines = split.where("ln >= 0")
+    text = lines.select("lid", "n", "k1", "words")
+    rarity = _rarity(split)
+    words, rows = lines.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    few = stored(_candidates(_posted(text, rarity, percent, 1 + (words * (100 - percent) // 100 + rows) // PART), percent))
+    hot = _rows(text, rarity, rarity > _grade(np.array([HOT]))[0], percent)
+    led = _against(hot, hot.join(hot.groupBy("w").agg(F.min("lid").alias("lid")), ["w", "lid"]), percent)
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        """The stored sets of the lines of pairs(a, b)."""
+        asked = pairs.select(F.col("b").alias("lid")).union(pairs.select("a")).distinct()
+        return stored(text.select("lid", "words").join(asked, "lid", "left_semi"))
+
+    def narrowed(pairs: DataFrame) -> DataFrame:
+        """The stored distinct pairs that the wide maps leave possible."""
+        one, two = (lines.select(F.col("lid").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", *MAPS))) for c in "ab")
+        apart = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in MAPS), F.lit(0))
+        both = F.col("a_n") + F.col("b_n")
+        need = F.ceil((percent * both) / F.lit(100.0 + percent) - 1e-9)
+        return stored(pairs.distinct().join(two, "b").join(one, "a").where(apart <= both - 2 * need).select("b", "a"))
+
+    pairs = narrowed(few.select("b", "a").union(led))
+    sets = whole(pairs)
+    first = stored(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, percent))
+    rest = stored(_similar(pairs.join(first, "b", "left_anti").distinct(), sets, percent))
+    gone = first.union(rest).withColumnRenamed("b", "lid")
+
+    late = narrowed(_against(hot.join(gone, "lid", "left_anti"), hot, percent))
+    made = [few, hot, led, pairs, sets, first, rest, late]
+    tail = [late]
+    open_ = stored(few.where("more").select(F.col("b").alias("lid")).distinct().join(gone, "lid", "left_anti"))
+    made.append(open_)
+    if open_.limit(1).count():
+        left = text.join(open_, "lid", "left_semi")
+        near = _rows(text, rarity, _buckets(left, rarity, percent) & (rarity <= _grade(np.array([HOT]))[0]), percent)
+        again = narrowed(_against(near.join(open_, "lid", "left_semi"), near, percent))
+        made += [near, again]
+        tail.append(again)
+    for more in tail:
+        if more.limit(1).count():
+            of = whole(more)
+            made.append(of)
+            gone = gone.union(_similar(more, of, percent).withColumnRenamed("b", "lid"))
+    stay = lines.groupBy("k1", "k2").agg(F.min("lid").alias("lid")).select("lid").join(gone, "lid", "left_anti")
+    out = stored(lines.select("rid", "ln", "lid").join(stay, "lid", "left_anti").select("rid", "ln"))
+    dropped(spark, split, *made)
     return out
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(c) of the later classes in pairs(a_c, c) whose whole sets are similar enough."""
-    two = classes.select("c", F.col("words").alias("wb"))
-    one = classes.select(F.col("c").alias("a_c"), F.col("words").alias("wa"))
-    both = pairs.join(two, "c").join(one, "a_c").withColumn("o", F.size(F.array_intersect("wa", "wb")))
-    return both.where((100 + percent) * F.col("o") >= percent * (F.size("wa") + F.size("wb"))).select("c").distinct()
-
-
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with the removed lines taken out of text; one row for each of docs, other columns unchanged."""
-    rows = _numbered(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))))  # docs may have columns of any name
+    rows = stored(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("rid", F.monotonically_increasing_id()))  # docs may have columns of any name
     whole, doc_id = (F.col(f"c{docs.columns.index(c)}") for c in ("text", "doc_id"))
-    gone = _removed(_sets(rows.select("rid", doc_id.alias("doc_id"), whole.alias("text"))), percent)
+    gone = _removed(_split(rows.select("rid", doc_id.alias("doc_id"), whole.alias("text"))), percent)
     by_row = gone.groupBy("rid").agg(F.collect_set("ln").alias("gone"))
     kept = F.filter(F.split(whole, "\n"), lambda _, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(kept, "\n"))
@@ -159,11 +442,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def digest(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per document: n_lines, n_removed and the removed line numbers, ascending and comma-joined."""
-    rows = _numbered(docs.select("doc_id", "text"))
-    whole = _sets(rows)
-    count = stored(rows.select("rid", "doc_id", F.coalesce(1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("n_lines")))
-    dropped(docs.sparkSession, rows)
-    gone = _removed(whole, percent).groupBy("rid").agg(F.array_sort(F.collect_set("ln")).alias("gone"))
-    return count.join(gone, "rid", "left").select(
+    split = _split(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()))
+    heads = stored(split.where(F.col("ln") == HEAD).select("rid", "doc_id", F.col("n").cast("long").alias("n_lines")))
+    gone = _removed(split, percent).groupBy("rid").agg(F.array_sort(F.collect_set("ln")).alias("gone"))
+    return heads.join(gone, "rid", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed")
     )
