@@ -86,12 +86,10 @@ def rose_bins(strikes: DataFrame, width: int = 10) -> DataFrame:
     """(start, n): undirected strikes in bins over the full circle, both halves alike, empty bins kept."""
     if width <= 0 or 360 % width:
         raise ValueError("the width must divide 360")
-    half = 180 // width if 180 % width == 0 else -(-180 // width)
-    at = F.least(F.floor(modulo(F.col("strike"), 180) / width), F.lit(half - 1)).cast("int")
-    found = strikes.where(finite("strike")).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-    every = strikes.sparkSession.range(half).select(F.col("id").cast("int").alias("bin"))
-    full = every.join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
-    return full.select(F.explode(F.array(F.col("bin"), F.col("bin") + half)).alias("bin"), "n").select((F.col("bin") * width).alias("start"), "n")
+    turned = F.explode(F.array(*(modulo(F.col("strike"), 180) + half for half in (0.0, 180.0)))).alias("_s")
+    found = strikes.where(finite("strike")).select(turned).groupBy(F.floor(F.col("_s") / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = strikes.sparkSession.range(360 // width).select(F.col("id").cast("int").alias("bin"))
+    return every.join(found, "bin", "left").select((F.col("bin") * width).alias("start"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def great_circles(planes: DataFrame, n: int = 181) -> DataFrame:

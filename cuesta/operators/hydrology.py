@@ -104,3 +104,76 @@ def monotonicity(samples: DataFrame) -> DataFrame:
     out = s.groupBy("trace_id").agg(F.count("*").alias("n"), F.sum("_d").alias("up"), F.abs(F.max_by("z", "seq") - F.min_by("z", "seq")).alias("net"))
     share = F.when(F.col("up") > 0, F.col("net") / F.when(F.col("up") > 0, F.col("up"))).otherwise(1.0)
     return out.select("trace_id", F.when(F.col("n") >= 3, share).otherwise(nan()).alias("monotonicity"))
+
+
+def flow_network(pixels: DataFrame, downsample: int = 1, fill: bool = True, epsilon: float = 1e-4) -> DataFrame:
+    """(grid_id, r, c, accumulation, azimuth) on the full grid: block means, filled, routed, and spread back; accumulation is in coarse cells."""
+    from cuesta.operators.kernels import fill_depressions
+
+    coarse = block_mean(pixels, downsample) if downsample > 1 else pixels.select(*AT, "z")
+    if fill:
+        coarse = fill_depressions(coarse, epsilon)
+    directions = flow_azimuth(flow_directions(settled(coarse)))
+    out = flow_accumulation(directions).join(directions.select(*AT, "azimuth"), AT)
+    if downsample == 1:
+        return out
+    both = settled(out)
+    wide = upsample(both.select(*AT, F.struct("accumulation", "azimuth").alias("z")), pixels, downsample)
+    return wide.select(*AT, "z.accumulation", "z.azimuth")
+
+
+def channel_network(pixels: DataFrame, least: int = 200, downsample: int = 1, fill: bool = True) -> DataFrame:
+    """(grid_id, r, c, accumulation, azimuth) of the cells that drain ``least`` coarse cells or more."""
+    return flow_network(pixels, downsample, fill).where(F.col("accumulation") >= least)
+
+
+def density_threshold(network: DataFrame, share: float = 0.15) -> DataFrame:
+    """(grid_id, least): the accumulation that leaves about ``share`` of the drained cells as channels."""
+    return network.where("accumulation > 0").groupBy("grid_id").agg(F.percentile("accumulation", 1 - share).alias("least"))
+
+
+def drainage_fractions(points: DataFrame, near: DataFrame, height: int, width: int, tolerance: float = 30.0) -> DataFrame:
+    """(trace_id, overlap, aligned): the shares of a pixel-space trace near a channel, and near one and along its flow.
+
+    near(r, c, near, azimuth); directions are undirected, taken over both neighbours at one-pixel steps.
+    """
+    from pyspark.sql import Window
+
+    from cuesta.operators.polyline import densify, lookup_cells
+
+    along = Window.partitionBy("trace_id").orderBy("seq", "k")
+
+    def step(c: str):
+        return F.coalesce(F.lead(c).over(along), F.col(c)) - F.coalesce(F.lag(c).over(along), F.col(c))
+
+    d = densify(points, 1.0).withColumn("_dx", step("x")).withColumn("_dy", step("y"))
+    at = lookup_cells(d, height, width).join(near.select("r", "c", "near", "azimuth"), ["r", "c"], "left")
+    turn = F.abs(F.pmod(azimuth(F.col("_dx"), -F.col("_dy")) - F.col("azimuth") + 90, F.lit(180.0)) - 90)
+    on = F.coalesce("near", F.lit(False))
+    aligned = on & finite("azimuth") & (turn < tolerance)
+    return at.groupBy("trace_id").agg(F.avg(on.cast("double")).alias("overlap"), F.avg(F.coalesce(aligned, F.lit(False)).cast("double")).alias("aligned"))
+
+
+def along_flow(least: float = 0.5):
+    """Whether a trace of drainage_fractions runs along the drainage."""
+    return F.col("aligned") >= least
+
+
+def flag_drainage(points: DataFrame, pixels: DataFrame, height: int, width: int, downsample: int = 3, least: int = 15, buffer: float = 2, min_overlap: float = 0.5) -> DataFrame:
+    """(trace_id, is_drainage, overlap, aligned, monotonicity, length, rank) of pixel-space traces on one grid; none is dropped.
+
+    The flag goes by overlap; rank is the length times what is not monotonic, so long traces across valleys come first for review.
+    """
+    from cuesta.operators.polyline import lengths, sample_along
+
+    known = pixels.where(finite("z")).select(*AT)
+    mask = settled(channel_network(pixels, least, downsample).join(known, AT, "left_semi"))
+    near = settled(channel_proximity(pixels, mask, buffer))
+    shares = drainage_fractions(points, near, height, width)
+    samples = sample_along(points, pixels, height, width)
+    from pyspark.sql import Window
+
+    ordered = samples.withColumn("seq", F.row_number().over(Window.partitionBy("trace_id").orderBy("seq", "k"))).withColumnRenamed("v", "z")
+    out = shares.join(monotonicity(ordered), "trace_id", "left").join(lengths(points), "trace_id")
+    mono = F.when(finite("monotonicity"), F.col("monotonicity")).otherwise(1.0)
+    return out.select("trace_id", (F.col("overlap") >= min_overlap).alias("is_drainage"), "overlap", "aligned", or_nan(F.col("monotonicity")).alias("monotonicity"), "length", (F.col("length") * (1 - mono)).alias("rank"))

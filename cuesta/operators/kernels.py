@@ -118,22 +118,28 @@ def gaussian_gradient(pixels: DataFrame, sigma: float = 1.0, value: str = "z") -
     return pixels.select("grid_id", "r", "c", value).groupBy("grid_id").applyInPandas(kernel, "grid_id string, r int, c int, gx double, gy double")
 
 
-def structure_tensor(pixels: DataFrame, bands: list[str], sigma: float = 1.0, scale: float = 3.0) -> DataFrame:
-    """(grid_id, r, c, l1, l2, coherence): eigenvalues of the smoothed tensor summed over the bands; NaN where a band is nodata."""
+def structure_tensor(pixels: DataFrame, bands: list[str], sigma: float = 1.0, scale: float = 3.0, weights: list[float] | None = None) -> DataFrame:
+    """(grid_id, r, c, l1, l2, coherence): eigenvalues of the smoothed tensor summed over the bands, each with its
+    weight; NaN where a band is nodata."""
+    if not bands:
+        raise ValueError("a tensor needs a band")
+    shares = [1.0] * len(bands) if weights is None else list(weights)
+    if len(shares) != len(bands):
+        raise ValueError("one weight for each band is needed")
 
     def kernel(grid: pd.DataFrame) -> pd.DataFrame:
         parts, ok = np.zeros((3,)), True
-        for band in bands:
+        for band, share in zip(bands, shares, strict=True):
             z, r0, c0 = _dense(grid, band)
             ok = ok & np.isfinite(z)
             z = _filled(z)
             gx, gy = smoothed(z, sigma, (0, 1)), smoothed(z, sigma, (1, 0))
-            parts = (parts if parts.ndim > 1 else np.zeros((3, *z.shape))) + np.stack([gx * gx, gx * gy, gy * gy])
+            parts = (parts if parts.ndim > 1 else np.zeros((3, *z.shape))) + share * np.stack([gx * gx, gx * gy, gy * gy])
         xx, xy, yy = (smoothed(p, scale) for p in parts)
         mean, gap = (xx + yy) / 2, np.hypot((xx - yy) / 2, xy)
         l1, l2 = mean + gap, mean - gap
         at = grid["r"].to_numpy() - r0, grid["c"].to_numpy() - c0
-        coherence = (np.divide(l1 - l2, l1 + l2, out=np.zeros_like(l1), where=l1 + l2 > 1e-12)) ** 2
+        coherence = (l1 - l2) / (l1 + l2 + 1e-12)
         return grid[["grid_id", "r", "c"]].assign(**{n: np.where(ok, v, np.nan)[at] for n, v in (("l1", l1), ("l2", l2), ("coherence", coherence))})
 
     return pixels.select("grid_id", "r", "c", *bands).groupBy("grid_id").applyInPandas(kernel, "grid_id string, r int, c int, l1 double, l2 double, coherence double")
@@ -160,8 +166,11 @@ def cheapest(cost: np.ndarray, seed: tuple[int, int]) -> tuple[np.ndarray, np.nd
     return dist, back
 
 
-def cost_to_all(costs: DataFrame, seed: tuple[int, int], value: str = "cost") -> DataFrame:
-    """(grid_id, r, c, distance, back_r, back_c): least cost from the seed; NULL predecessors at the seed and where it cannot reach."""
+def cost_to_all(costs: DataFrame, seed: tuple[int, int], value: str = "cost", margin: int | None = None) -> DataFrame:
+    """(grid_id, r, c, distance, back_r, back_c): least cost from the seed, over the square of ``margin`` cells about
+    it if given; NULL predecessors at the seed and where it cannot reach."""
+    if margin is not None:
+        costs = costs.where(f"abs(r - ({seed[0]})) <= {margin} AND abs(c - ({seed[1]})) <= {margin}")
 
     def kernel(grid: pd.DataFrame) -> pd.DataFrame:
         cost, r0, c0 = _dense(grid, value)

@@ -50,3 +50,27 @@ def pick_scene(scenes: DataFrame, months: Sequence[int] = ()) -> DataFrame:
     liked = F.when(F.month("d").isin(*months), 0).otherwise(1) if months else F.lit(0)
     best = F.min_by(F.struct(*scenes.columns), F.struct(liked, cloud_cover("cloud"), "ord"))
     return scenes.groupBy("aoi").agg(best.alias("_b")).select("_b.*")
+
+
+def coverage(footprints: DataFrame, box: Sequence[float], n: int = 120, *keys: str) -> DataFrame:
+    """(keys, cover): the share of an n x n lattice over the box that lies in a footprint(x0, y0, x1, y1), edges included.
+
+    A footprint covers a run of lattice columns and of rows, so points come from two sequences
+    rather than from a range join; n * n points a key bound the result.
+    """
+    def run(lo: str, hi: str, a: float, b: float):
+        step = (b - a) / (n - 1)
+        # the lattice's own coordinates decide, so that its edges count as numpy's linspace would place them
+        return F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (F.lit(a) + k * F.lit(step) >= F.col(lo)) & (F.lit(a) + k * F.lit(step) <= F.col(hi)))
+
+    at = footprints.select(*keys, F.explode(run("x0", "x1", float(box[0]), float(box[2]))).alias("i"), run("y0", "y1", float(box[1]), float(box[3])).alias("js"))
+    cells = at.select(*keys, "i", F.explode("js").alias("j")).distinct().groupBy(*keys).agg((F.count("*") / (n * n)).alias("cover"))
+    if not keys:
+        return cells
+    return footprints.select(*keys).distinct().join(cells, list(keys), "left").select(*keys, F.coalesce("cover", F.lit(0.0)).alias("cover"))
+
+
+def best_date(footprints: DataFrame, box: Sequence[float], n: int = 120) -> DataFrame:
+    """(d, cover) of the day whose footprints(ord, d, x0, y0, x1, y1) cover most; the first in order of equals."""
+    first = footprints.groupBy("d").agg(F.min("ord").alias("ord"))
+    return coverage(footprints, box, n, "d").join(first, "d").orderBy(F.desc("cover"), "ord").limit(1).select("d", "cover")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesta.functions.numeric import finite
+from cuesta.operators.fixpoint import settled
 from cuesta.operators.regions import dilate
 
 SUMMARY = (0.25, 0.5, 0.75, 0.9)
@@ -67,40 +68,52 @@ def _counts(scores: DataFrame) -> DataFrame:
 
 
 def _cumulated(counts: DataFrame) -> DataFrame:
-    """counts with below_p and below_q, their sums up to and including v: a range partition first, so that no task holds all values."""
-    parts = counts.repartitionByRange("v").withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = parts.groupBy("_part").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    before = totals.alias("a").join(totals.select(F.col("_part").alias("b"), F.col("p").alias("bp"), F.col("q").alias("bq")).alias("b"), F.col("b") < F.col("_part"), "left")
-    offsets = before.groupBy("_part").agg(F.coalesce(F.sum("bp"), F.lit(0)).alias("p0"), F.coalesce(F.sum("bq"), F.lit(0)).alias("q0"))
-    run = parts.withColumn("run_p", F.sum("p").over(within)).withColumn("run_q", F.sum("q").over(within)).withColumnsRenamed({"p": "own_p", "q": "own_q"})
-    return run.join(offsets, "_part").select("v", F.col("own_p").alias("p"), F.col("own_q").alias("q"), (F.col("run_p") + F.col("p0")).alias("below_p"), (F.col("run_q") + F.col("q0")).alias("below_q"))
+    """(_part, v, p, q, below_p, below_q, above): sums up to and including v, and the next higher value.
+
+    The values are range-partitioned, so that no task holds all of them, and written once with
+    their partition: each use of an unwritten range partition would draw its own bounds.
+    """
+    parts = settled(counts.repartitionByRange("v").withColumn("_part", F.spark_partition_id()))
+    order = Window.partitionBy("_part").orderBy("v")
+    totals = parts.groupBy("_part").agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"), F.min("v").alias("head"))
+    walk = Window.orderBy("_part")  # one row a partition
+    offsets = totals.select(
+        "_part",
+        *(F.coalesce(F.sum(f"t{c}").over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{c}0") for c in "pq"),
+        F.lead("head").over(walk).alias("next"),
+    )
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.select("*", F.sum("p").over(run).alias("rp"), F.sum("q").over(run).alias("rq"), F.lead("v").over(order).alias("after")).join(offsets, "_part")
+    return out.select("v", "p", "q", (F.col("rp") + F.col("p0")).alias("below_p"), (F.col("rq") + F.col("q0")).alias("below_q"), F.coalesce("after", "next").alias("above"))
 
 
 def auc(scores: DataFrame) -> DataFrame:
-    """One row (positives, negatives, auc) of scores(pos, v): how often a positive is no lower than a negative; ties count fully."""
+    """One row (positives, negatives, auc) of scores(pos, v): how often a positive is no lower than a negative; ties count fully.
+
+    auc is NULL if a class is empty.
+    """
     c = _cumulated(_counts(scores))
     out = c.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("positives"), F.coalesce(F.sum("q"), F.lit(0)).alias("negatives"), F.sum(F.col("p") * F.col("below_q")).alias("won"))
-    both = F.col("positives") * F.col("negatives")
+    both = F.col("positives").cast("double") * F.col("negatives")
     return out.select("positives", "negatives", (F.col("won") / F.when(both > 0, both)).alias("auc"))
 
 
 def youden(scores: DataFrame) -> DataFrame:
-    """One row (threshold, j, tpr): the lowest cut between neighbouring values with the largest TPR - FPR."""
-    c = _cumulated(_counts(scores))
-    sizes = c.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    parts = c.repartitionByRange("v").withColumn("_part", F.spark_partition_id())
-    heads = parts.groupBy("_part").agg(F.min("v").alias("head"))
-    nxt = heads.alias("a").join(heads.select(F.col("_part").alias("b"), F.col("head").alias("h")), F.col("b") > F.col("_part"), "left").groupBy("_part").agg(F.min("h").alias("after"))
-    above = F.coalesce(F.lead("v").over(Window.partitionBy("_part").orderBy("v")), F.col("after"))
-    cuts = parts.join(nxt, "_part").withColumn("above", above).crossJoin(sizes)
+    """One row (threshold, j, tpr, fpr): the lowest cut between neighbouring values with the largest TPR - FPR; NaN if a class is empty."""
+    c = settled(_cumulated(_counts(scores)))
+    sizes = c.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("np"), F.coalesce(F.sum("q"), F.lit(0)).alias("nq"))
+    cuts = c.join(F.broadcast(sizes))
     single = F.col("below_p") + F.col("below_q") == F.col("p") + F.col("q")
-    cuts = cuts.where(F.col("above").isNotNull() | single)
-    cut = F.when(F.col("above").isNull(), F.col("v")).otherwise((F.col("v") + F.col("above")) / 2)
+    alone = F.col("above").isNull()
+    cuts = cuts.where(~alone | single)
     # a lone value is its own cut, and everything reaches it
-    tpr = F.when(F.col("above").isNull(), F.lit(1.0)).otherwise((F.col("np") - F.col("below_p")) / F.when(F.col("np") > 0, F.col("np")))
-    fpr = F.when(F.col("above").isNull(), F.lit(1.0)).otherwise((F.col("nq") - F.col("below_q")) / F.when(F.col("nq") > 0, F.col("nq")))
-    return cuts.select(cut.alias("threshold"), (tpr - fpr).alias("j"), tpr.alias("tpr")).where("j is not null").orderBy(F.desc("j"), "threshold").limit(1)
+    cut = F.when(alone, F.col("v")).otherwise((F.col("v") + F.col("above")) / 2)
+    tpr = F.when(alone & (F.col("np") > 0), F.lit(1.0)).otherwise((F.col("np") - F.col("below_p")) / F.when(F.col("np") > 0, F.col("np")))
+    fpr = F.when(alone & (F.col("nq") > 0), F.lit(1.0)).otherwise((F.col("nq") - F.col("below_q")) / F.when(F.col("nq") > 0, F.col("nq")))
+    best = cuts.select(cut.alias("threshold"), (tpr - fpr).alias("j"), tpr.alias("tpr"), fpr.alias("fpr")).where("j is not null").orderBy(F.desc("j"), "threshold").limit(1)
+    names = ["threshold", "j", "tpr", "fpr"]
+    none = sizes.where("np = 0 OR nq = 0").select(*(F.lit(float("nan")).alias(n) for n in names))
+    return best.union(none)
 
 
 def summary(values: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 FX_DEM = """
-SELECT 'g0' AS grid_id, CAST(a.p_partkey AS INT) AS r, CAST(b.p_partkey AS INT) AS c,
- CASE WHEN (a.p_partkey*7+b.p_partkey*3)%97=0 THEN CAST('NaN' AS DOUBLE)
-  ELSE CAST(200+1.5*(47-a.p_partkey)+2*abs(b.p_partkey-24)+0.25*coalesce(q.b,0) AS DOUBLE) END AS z
-FROM part a CROSS JOIN part b LEFT JOIN
+SELECT 'g0' AS grid_id, CAST(a.v AS INT) AS r, CAST(b.v AS INT) AS c,
+ CASE WHEN (a.v*7+b.v*3)%97=0 THEN CAST('NaN' AS DOUBLE)
+  ELSE CAST(200+1.5*(47-a.v)+2*abs(b.v-24)+0.25*coalesce(q.b,0) AS DOUBLE) END AS z
+FROM (SELECT DISTINCT l_partkey%48 AS v FROM lineitem) a CROSS JOIN (SELECT DISTINCT l_partkey%48 AS v FROM lineitem) b LEFT JOIN
  (SELECT l_partkey%48 AS rr, l_orderkey%48 AS cc, CAST(sum(l_quantity) AS BIGINT)%16 AS b FROM lineitem GROUP BY 1,2) q
- ON q.rr=a.p_partkey AND q.cc=b.p_partkey WHERE a.p_partkey<48 AND b.p_partkey<48
+ ON q.rr=a.v AND q.cc=b.v
 """
 FX_ATT = """
 SELECT o_orderkey AS id, CAST((o_orderkey*37)%10000 AS DOUBLE) AS x, CAST((o_orderkey*101)%10007 AS DOUBLE) AS y,
@@ -26,8 +26,12 @@ SELECT o_orderkey AS ord, o_custkey%20 AS aoi, CAST(o_orderdate AS DATE) AS d, C
 FX_SCORE = """
 SELECT event_id, CASE WHEN event_type='purchase' THEN 1 ELSE 0 END AS pos, value AS v FROM events WHERE event_type IN ('purchase','error')
 """
-VIEWS = {"fx_dem": FX_DEM, "fx_att": FX_ATT, "fx_vert": FX_VERT, "fx_scene": FX_SCENE, "fx_score": FX_SCORE}
-SOURCES = ("part", "orders", "lineitem", "events", "embeddings")
+FX_FLAG = """
+SELECT o_orderkey AS trace_id, o_orderstatus AS region, CAST((o_orderkey*7)%101 AS DOUBLE)/100 AS overlap, CAST((o_orderkey*13)%101 AS DOUBLE)/100 AS aligned, CAST((o_orderkey*29)%101 AS DOUBLE)/100 AS monotonicity,
+ CAST((o_custkey*3)%977 AS DOUBLE)-400 AS curvature, CAST(1+(o_custkey*31)%400 AS DOUBLE) AS length, o_orderkey%3=0 AS is_drainage FROM orders
+"""
+VIEWS = {"fx_dem": FX_DEM, "fx_att": FX_ATT, "fx_vert": FX_VERT, "fx_scene": FX_SCENE, "fx_score": FX_SCORE, "fx_flag": FX_FLAG}
+SOURCES = ("orders", "lineitem", "events", "embeddings")
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

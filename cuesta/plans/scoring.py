@@ -56,7 +56,7 @@ def youden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 YOUDEN = f"""WITH u AS (SELECT v, sum(pos) AS p, count(*) - sum(pos) AS q FROM fx_score GROUP BY v), k AS (SELECT v, lead(v) OVER w AS nv, sum(p) OVER w AS p, sum(q) OVER w AS q, sum(p) OVER () AS np, sum(q) OVER () AS nq FROM u WINDOW w AS (ORDER BY v)),
- j AS (SELECT (v+nv)/2 AS t, (np-p)/np AS tpr, (np-p)/np-(nq-q)/nq AS j FROM k WHERE nv IS NOT NULL) SELECT {r('t', 'threshold')}, {r('j', 'j')}, {r('tpr', 'tpr')} FROM j ORDER BY j.j DESC, t LIMIT 1"""
+ j AS (SELECT (v+nv)/2 AS t, (np-p)/np AS tpr, (np-p)/np-(nq-q)/nq AS j, (nq-q)/nq AS fpr FROM k WHERE nv IS NOT NULL) SELECT {r('t', 'threshold')}, {r('j', 'j')}, {r('tpr', 'tpr')}, {r('fpr', 'fpr')} FROM j ORDER BY j.j DESC, t LIMIT 1"""
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1 @@
+"""Readers and writers: item catalogues, trace files, gridded rasters, tables of results."""

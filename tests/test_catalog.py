@@ -26,7 +26,7 @@ def rows(df):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "events", "embeddings"):
+    for t in ("orders", "lineitem", "events", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
