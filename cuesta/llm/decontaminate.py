@@ -150,30 +150,31 @@ def _scan_shuffled(docs: DataFrame, bench: DataFrame, n: int, bloom_bits: int) -
         bloom[r["bits"]] = True
     shared = spark.sparkContext.broadcast(np.packbits(bloom))
 
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # docs may have columns of any name
+    keyed = named.withColumn("row", F.monotonically_increasing_id())
     names = keyed.columns
-    at, key = names.index("text"), names.index("_row")
+    at, key = docs.columns.index("text"), len(docs.columns)
 
     def likely(batches):
         bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             raw, offsets = text_bytes(batch.column(at))
-            ids = batch.column(key).to_pylist()
+            ids = np.asarray(batch.column(key))
             for lo, hi in chunks(offsets):
                 words = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM)
                 for size in sizes:
                     hashes, first = run_hashes(words, size)
-                    for i in first[bits[(hashes.view(np.int64) % bloom_bits)]].tolist():
-                        row = int(words.row[i])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([ids[lo + row]], pa.int64()), pa.array([i - int(words.first[row])], pa.int32()), pa.array([size], pa.int32()), pa.array([words.joined(i, i + size)], pa.binary())],
-                            names=["_row", "at", "size", "window"],
-                        )
+                    found = first[bits[(hashes.view(np.int64) % bloom_bits)]]
+                    row = words.row[found]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[lo + row]), pa.array((found - words.first[row]).astype(np.int32)), pa.array(np.full(len(found), size, np.int32)), pa.array([words.joined(i, i + size) for i in found.tolist()], pa.binary())],
+                        names=["row", "at", "size", "window"],
+                    )
 
     hits = (
-        keyed.mapInArrow(likely, "_row long, at int, size int, window binary")
+        keyed.mapInArrow(likely, "row long, at int, size int, window binary")
         .join(test.select("window", "item"), "window")
-        .groupBy("_row")
+        .groupBy("row")
         .agg(F.sort_array(F.collect_set("item")).alias("items"), F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("to")))).alias("runs"))
     )
 
@@ -184,7 +185,7 @@ def _scan_shuffled(docs: DataFrame, bench: DataFrame, n: int, bloom_bits: int) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*(f"c{i}" for i in range(len(names))), "n_words"])
 
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(keyed.schema.fields)]
-    all_rows = keyed.mapInArrow(counted, T.StructType([*fields, T.StructField("n_words", T.LongType())])).withColumnRenamed(f"c{key}", "_row")
+    all_rows = keyed.mapInArrow(counted, T.StructType([*fields, T.StructField("n_words", T.LongType())])).withColumnRenamed(f"c{key}", "row")
     merged = F.aggregate(
         "runs",
         F.array().cast("array<int>"),
@@ -193,7 +194,7 @@ def _scan_shuffled(docs: DataFrame, bench: DataFrame, n: int, bloom_bits: int) -
         ),
     )
     none = F.array().cast("array<string>")
-    return all_rows.join(hits, "_row", "left").select(*(f"c{i}" for i in range(len(names)) if i != key), "n_words", F.coalesce("items", none).alias("items"), F.when(F.col("runs").isNull(), F.array().cast("array<int>")).otherwise(merged).alias("hits"))
+    return all_rows.join(hits, "row", "left").select(*(f"c{i}" for i in range(len(names)) if i != key), "n_words", F.coalesce("items", none).alias("items"), F.when(F.col("runs").isNull(), F.array().cast("array<int>")).otherwise(merged).alias("hits"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_bytes: int = BROADCAST_BYTES, bloom_bits: int = BLOOM_BITS) -> DataFrame:
@@ -201,13 +202,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_bytes: in
 
     hits lists the merged word ranges [start, end) inside windows, flattened.
     docs needs a column text, benchmark item_id and text.  Columns of docs named
-    like a result column are replaced by it.
+    like a result column are replaced by it (``clean`` keeps them).
     """
     docs = docs.drop("n_words", "items", "hits")
+    return _scan(docs, benchmark, n, broadcast_bytes, bloom_bits).toDF(*docs.columns, "n_words", "items", "hits")
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_bytes: int = BROADCAST_BYTES, bloom_bits: int = BLOOM_BITS) -> DataFrame:
+    """docs' columns as c0, c1, ..., then n_words, items and hits."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("text is not null and item_id is not null")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("b")).first()["b"]
-    found = _scan_broadcast(docs, bench, n) if size <= broadcast_bytes else _scan_shuffled(docs, bench, n, bloom_bits)
-    return found.toDF(*docs.columns, "n_words", "items", "hits")
+    return _scan_broadcast(docs, bench, n) if size <= broadcast_bytes else _scan_shuffled(docs, bench, n, bloom_bits)
 
 
 def n_hit(hits: str = "hits"):
@@ -226,19 +231,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, spans: bool = Fals
 
     Columns are those of docs.  Removed spans leave the text before and after them.
     """
-    found = scan(docs, benchmark, n, **options).withColumn("_hit", n_hit())
+    found = _scan(docs, benchmark, n, **options)
+    own = [f"c{i}" for i in range(len(docs.columns))]
     if not spans:
-        return found.where(~contaminated(F.col("_hit"), F.col("n_words"))).select(*docs.columns)
-    names = found.columns
+        return found.where(~contaminated(n_hit(), F.col("n_words"))).select(*own).toDF(*docs.columns)
+    names, at = found.columns, docs.columns.index("text")
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column(names.index("text")).to_pylist()
+            texts = batch.column(at).to_pylist()
             hits = batch.column(names.index("hits")).to_pylist()
             out = [t if not h else cut_words(t, h) for t, h in zip(texts, hits, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(out, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))], names=names)
 
-    return found.mapInArrow(cut, found.schema).select(*docs.columns)
+    return found.mapInArrow(cut, found.schema).select(*own).toDF(*docs.columns)
 
 
 def cut_words(text: str, hits: list[int]) -> str:

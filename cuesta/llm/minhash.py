@@ -282,6 +282,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat both id and text count once; rows without doc_id stay.
     """
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.union(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # docs may have columns of any name
+    id_, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    named = rows.join(kept, F.col(id_) == F.col("kept"), "left_semi").dropDuplicates([id_, text])
+    return named.union(rows.where(F.col(id_).isNull())).toDF(*docs.columns)

@@ -219,11 +219,14 @@ class Trees:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares non-decreasing steps by pooling adjacent violators: block means of x and of y."""
-    order = np.argsort(x, kind="stable")
+    """Least-squares non-decreasing steps by pooling adjacent violators: block means of x and of y.
+
+    Equal x are one point with the mean of their y, so their order does not matter.
+    """
+    points, place, count = np.unique(x, return_inverse=True, return_counts=True)
     blocks: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([a, b, 1.0])
+    for a, b, n in zip((points * count).tolist(), np.bincount(place, y, len(points)).tolist(), count.tolist(), strict=True):
+        blocks.append([a, b, float(n)])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             top = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], top, strict=True)]

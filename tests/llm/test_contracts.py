@@ -58,25 +58,6 @@ def test_decontamination(spark, texts):
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w))
 
 
-def test_line_dedup(spark):
-    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if r.text is not None)
-    sets, holders, gone = [], defaultdict(list), defaultdict(list)
-    for d, text in docs:
-        for i, line in enumerate(text.split("\n")):
-            w = frozenset(x for x in re.split(r"[ \t-\r]+", line.lower()) if x)
-            if len(w) < 5:
-                continue
-            common = Counter(k for x in w for k in holders[x])
-            if any(100 * o >= 80 * (len(w) + len(sets[k]) - o) for k, o in common.items()):
-                gone[d].append(i)
-            for x in w:
-                holders[x].append(len(sets))
-            sets.append(w)
-    assert gone
-    for r in q.op3_line_dedup(spark, SF).collect():
-        assert r.removed == ",".join(map(str, gone[r.doc_id]))
-
-
 def test_near_duplicates(spark, texts):
     sets = {}
     for d, t in texts.items():
