@@ -11,7 +11,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the queries that ``stored`` runs: shuffle files go as they end, and Arrow batches hold fewer rows
+#: than by default, since a row may be a long text.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside remove their shuffle files as they end; the session's own setting comes back."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """SETTINGS hold inside; the session's own come back."""
+    before = {k: spark.conf.get(k) for k in SETTINGS}
     try:
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cuesta/{uuid.uuid4().hex}"
-    with _shuffles_removed(spark):
+    with _settings(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

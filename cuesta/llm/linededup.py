@@ -57,7 +57,7 @@ BLOCK = 1 << 12
 HOT = 1 << 14
 FEW = 8
 PART = 1 << 18  # postings of a part, about
-STEP = 1 << 21  # pairs compared at once
+STEP = 1 << 18  # pairs compared at once
 HEAD, COUNTS = -1, -2  # values of ln in rows that are no lines
 MAPS = [f"s{j}" for j in range(4)]
 
@@ -218,7 +218,7 @@ def _posted(lines: DataFrame, rarity: np.ndarray, percent: int, parts: int) -> D
             cold = grade <= hot
             held.append([word[cold], *(c[cold] for c in rest)])
             size += int(cold.sum())
-            if size >= 1 << 20:
+            if size >= PART:
                 yield gathered(held)
                 held, size = [], 0
         if size:
