@@ -133,6 +133,16 @@ def test_nothing_on_flat_ground(spark):
     assert found.count() == 0
 
 
+def test_an_escarpment_gives_a_trace(spark):
+    from cuesta.operators import stencils
+    from cuesta.operators.fixpoint import settled
+
+    r, c = np.mgrid[0:120, 0:120]
+    scarp = grid(spark, (119 - r) * 15.0 + 200 / (1 + np.exp(-(c - r) / 2.0)))
+    stack = settled(stencils.terrain_stack(scarp, 30.0, list(detection.BANDS)))
+    assert edges.classical(stack, list(detection.BANDS), min_length=8).count() > 0
+
+
 def test_scores_over_many_partitions(spark):
     n = 300_000
     rows = spark.range(n).select((F.xxhash64("id") % 2 == 0).cast("int").alias("pos"), (F.xxhash64("id", F.lit(7)) % 1_000_003).cast("double").alias("v"))

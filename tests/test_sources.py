@@ -45,6 +45,7 @@ def test_whole_days(value, full):
 
 def test_items_as_a_source(spark):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.sparkContext.addPyFile(__file__)  # workers import the opener by name
     spark.dataSource.register(catalogue.ItemSource)
     items = spark.read.format("items").option("url", "http://c").option("collections", "one").option("bbox", "0,0,1,1;2,2,3,3").option("opener", f"{__name__}:opener").load()
     rows = items.where("cloud < 50").orderBy("ord").collect()
