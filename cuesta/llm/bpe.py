@@ -23,6 +23,8 @@ never splits a character.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -294,14 +296,15 @@ class Encoder:
     def _learn(self, parts: set[str]) -> None:
         """Bring the ids of " " + part into memory."""
         known, older = self.known, self.older
+        before = parts.intersection(older)
+        known.update(zip(before, map(older.__getitem__, before), strict=True))
         split: dict[str, list[str]] = {}
         need: dict[str, tuple[int, ...]] = {}
-        for part in parts:
-            ids = older.get(part)
-            if ids is not None:
-                known[part] = ids
-                continue
+        for part in parts - before:
             split[part] = pieces = self.split(" " + part)
+            if len(pieces) == 1:  # not in memory, or part were
+                need[pieces[0]] = ()
+                continue
             for p in pieces:
                 if p not in need:
                     need[p] = (known.get(p[1:]) or older.get(p[1:]) or ()) if p[0] == " " else ()
@@ -418,6 +421,18 @@ class Text:
         return " ".join(map(self.of.__getitem__, ids)).encode()
 
 
+@contextlib.contextmanager
+def _uncollected() -> Iterator[None]:
+    """No cyclic garbage collection inside: the memories hold millions of tuples, in no cycles, that it would walk again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def _vocabulary(path: str) -> tuple[bytes, str]:
     with open(path, "rb") as f:
         raw = f.read()
@@ -443,7 +458,8 @@ def _passes(docs: DataFrame, path: str, pattern: str, schema: str, per_ids) -> D
             _, offsets = text_bytes(batch.column(at))
             for lo, hi in chunks(offsets, 2 << 20):
                 part = batch.slice(lo, hi - lo)
-                rows = [per_ids(decoder, ids) for ids in encoder.encode_all([t or "" for t in part.column(at).to_pylist()])]
+                with _uncollected():
+                    rows = [per_ids(decoder, ids) for ids in encoder.encode_all([t or "" for t in part.column(at).to_pylist()])]
                 columns = [pa.array([r[i] for r in rows], None if rows and not isinstance(rows[0][i], list) else pa.list_(pa.int32())) for i in range(len(added))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*(f"c{i}" for i in range(len(names))), *added])
 
