@@ -11,9 +11,10 @@ survives to the end of a text.
 live hypotheses, each (tokens decided but not common to all, last token, trie
 node); what all hypotheses share is emitted at once, so output lags input by
 the bounded look-ahead that it takes for the others to die.  A transition is
-determinised when it is asked for again; a text that leaves the known part is
-finished by simulating the nondeterministic machine.  States are kept up to
-``max_states`` and then forgotten.
+determinised when it is first asked for.  States are kept up to ``max_states``
+and then forgotten, in the middle of a piece if need be: the walk goes on from
+its own state.  A piece in which no hypothesis lives on, which a vocabulary
+with all 256 bytes rules out, is merged by the definition.
 
 Ids go back to text through ``StreamDecoder``: token bytes pass an incremental
 UTF-8 state machine, so a decoder may be fed any cut of an id sequence and
@@ -60,10 +61,10 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Encodes byte strings one by one; see the module's text."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 40_000, max_pairs: int = 500_000, warm: int = 8):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_pairs: int = 500_000):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
-        self.max_states, self.max_pairs, self.warm = max_states, max_pairs, warm
+        self.max_states, self.max_pairs = max_states, max_pairs
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         prefixes = {t[:i] for t in ranks for i in range(len(t) + 1)}
@@ -77,27 +78,12 @@ class Transducer:
                 self.token_at[i] = ranks[p]
         self.root = number[b""]
         self.inner = {k // 256 for k in self.trie}  # nodes that go on
-        # The trie once more as arrays: rows for nodes that go on, the leaves after them.
-        order = sorted(self.inner) + sorted(set(number.values()) - self.inner)
-        place = {node: i for i, node in enumerate(order)}
-        self.dense = np.full((len(self.inner) + 1, 256), -1, dtype=np.int32)
-        for key, to in self.trie.items():
-            self.dense[place[key // 256], key % 256] = place[to]
-        self.dense_root = place[self.root]
-        self.dense_token = np.full(len(order), -1, dtype=np.int32)
-        for node, token in self.token_at.items():
-            self.dense_token[place[node]] = token
-        self.leaf = len(self.inner)
-        self.size = {r: len(t) for t, r in ranks.items()}
-        self.pair_key = np.full(1 << 20, -1, dtype=np.int64)
-        self.pair_ok = np.zeros(1 << 20, dtype=bool)
         self._forget()
 
     def _forget(self) -> None:
         self.states: list[tuple] = []
         self.index: dict[tuple, int] = {}
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.asked: dict[int, int] = {}  # how often a missing transition has been asked for
         self.begin = self._state((((), END, self.root),))
 
     def _state(self, live: tuple) -> int:
@@ -150,7 +136,8 @@ class Transducer:
             ok = self.pairs[a, b] = self._halves(b) is not None and self._apart(a, b)
         return ok
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]] | None:
+        """Determinise the transition from state by byte; None if no hypothesis goes on."""
         live = []
         trie, token_at, inner = self.trie, self.token_at, self.inner
         for pending, last, node in self.states[state]:
@@ -162,6 +149,8 @@ class Transducer:
             token = token_at.get(to)
             if token is not None and self.follows(last, token):
                 live.append(((*pending, token), token, self.root))
+        if not live:
+            return None
         n, head = 0, live[0][0]
         if len(live) == 1:
             n = len(head)
@@ -174,105 +163,30 @@ class Transducer:
         arc = self.arcs[state * 256 + byte] = (self._state(tuple(live)), head[:n])
         return arc
 
-    def _walk(self, piece: bytes) -> list[int] | None:
-        """The encoding by known transitions; None where one is missing that has not been asked for often."""
+    def _walk(self, piece: bytes) -> list[int]:
         out: list[int] = []
         state, arcs = self.begin, self.arcs
         for byte in piece:
             arc = arcs.get(state * 256 + byte)
             if arc is None:
-                key = state * 256 + byte
-                asked = self.asked[key] = self.asked.get(key, 0) + 1
-                if asked < self.warm:
-                    return None
-                del self.asked[key]
+                if len(self.states) > self.max_states:
+                    live = self.states[state]
+                    self._forget()
+                    state, arcs = self._state(live), self.arcs
                 arc = self._step(state, byte)
+                if arc is None:
+                    return merged(piece, self.ranks)
             state = arc[0]
             out += arc[1]
         for pending, _, node in self.states[state]:
             if node == self.root:
                 return out + list(pending)
-        return None
+        return merged(piece, self.ranks)
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece."""
-        return self.encode_all([piece])[0]
-
-    def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
-        """Token ids of each piece."""
-        if len(self.states) > self.max_states:
-            self._forget()
-        if len(self.asked) > 4 * self.max_states:
-            self.asked.clear()
-        out: list[list[int] | None] = []
-        for piece in pieces:
-            whole = self.ranks.get(piece)
-            out.append([whole] if whole is not None else self._walk(piece) if piece else [])
-        cold = [i for i, ids in enumerate(out) if ids is None]
-        cold.sort(key=lambda i: len(pieces[i]))
-        lo = 0
-        while lo < len(cold):  # runs of pieces of like length
-            longest = 2 * len(pieces[cold[lo]]) + 8
-            hi = lo
-            while hi < len(cold) and hi - lo < 20_000 and len(pieces[cold[hi]]) <= longest:
-                hi += 1
-            for i, ids in zip(cold[lo:hi], self._simulated([pieces[i] for i in cold[lo:hi]]), strict=True):
-                out[i] = ids if ids is not None else merged(pieces[i], self.ranks)
-            lo = hi
-        return out
-
-    def _follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """follows() of arrays, over a direct-mapped memory of pairs."""
-        pair = (a.astype(np.int64) + 1) << 32 | b
-        slot = (pair * 0x9E3779B97F4A7C1 >> 40) & (len(self.pair_key) - 1)
-        new = np.flatnonzero(self.pair_key[slot] != pair)
-        ok = self.pair_ok[slot]
-        if len(new):
-            values, back = np.unique(pair[new], return_inverse=True)
-            found = np.fromiter((self.follows((v >> 32) - 1, v & 0xFFFFFFFF) for v in values.tolist()), bool, len(values))
-            ok[new] = found[back]
-            self.pair_key[slot[new]] = pair[new]
-            self.pair_ok[slot[new]] = ok[new]
-            clash = new[self.pair_key[slot[new]] != pair[new]]  # another pair took the slot
-            if len(clash):
-                self.pair_key[slot[clash]] = -1
-        return ok
-
-    def _simulated(self, pieces: list[bytes]) -> list[list[int] | None]:
-        """The same by running the nondeterministic machine on many pieces in step.
-
-        last[p, i] is the token that ends the one valid encoding of the first i bytes of piece p.
-        """
-        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        width = int(n.max())
-        data = np.zeros((len(pieces), width), dtype=np.uint8)
-        data[np.arange(width)[None, :] < n[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
-        last = np.full((len(pieces), width + 1), -2, dtype=np.int32)
-        last[:, 0] = END
-        for begin in range(width):
-            row = np.flatnonzero((n > begin) & (last[:, begin] != -2))
-            node = np.full(len(row), self.dense_root, dtype=np.int32)
-            for end in range(begin, width):
-                node = self.dense[np.minimum(node, self.leaf), data[row, end]]  # leaves share an empty row
-                on = (node >= 0) & (n[row] > end)
-                row, node = row[on], node[on]
-                if not len(row):
-                    break
-                token = self.dense_token[node]
-                at = np.flatnonzero((token >= 0) & (last[row, end + 1] == -2))
-                if len(at):
-                    r = row[at]
-                    ok = self._follow(last[r, begin], token[at])
-                    last[r[ok], end + 1] = token[at[ok]]
-        out: list[list[int] | None] = []
-        size = self.size
-        for m, tokens in zip(n.tolist(), last.tolist(), strict=True):
-            ids = []
-            while m > 0 and tokens[m] >= 0:
-                ids.append(tokens[m])
-                m -= size[tokens[m]]
-            out.append(ids[::-1] if m == 0 else None)
-        return out
+        whole = self.ranks.get(piece)
+        return [whole] if whole is not None else self._walk(piece) if piece else []
 
 
 class Encoder:
@@ -313,9 +227,9 @@ class Encoder:
             known[part] = need[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(need.__getitem__, pieces)))
 
     def _encode_pieces(self, need: dict[str, tuple[int, ...]]) -> None:
-        open_ = [p for p, ids in need.items() if not ids]
-        for p, ids in zip(open_, self.machine.encode_all([p.encode() for p in open_]), strict=True):
-            need[p] = tuple(ids)
+        encode = self.machine.encode
+        for p in [p for p, ids in need.items() if not ids]:
+            need[p] = tuple(encode(p.encode()))
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
