@@ -4,19 +4,25 @@ A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are
 the 8-bit mono samples of a WAV file: the stored form.  The file is cut where
 a rolling gear hash of the last 16 bytes has ``bits`` zero bits, with least
 and largest chunk sizes; so equal passages give equal chunks wherever they
-stand.  A medium is an ordered list of chunk digests; digests that several
-media hold are found with Spark aggregation, and the chunk bytes of those are
-stored once and joined back by digest.  The rebuilt file must have the digest
-taken when it was cut, then its samples are read back and described.
-
-Chunks that only one medium holds travel with nobody: a fixed-size Bloom
-filter of the shared digests goes to the second scan, a medium without any hit
-is rebuilt from its own list on the spot, and only the others' chunks are
-shuffled.  A false hit costs a needless trip, never a wrong result.  Copies of
-a text are one medium.
+stand.  A medium is an ordered list of chunk digests.
+
+``chunk_store`` writes every chunk to tables in the shared folder.  Digests
+that occur more than once, in one medium or in several, are found with Spark
+aggregation; each of their chunks is stored once, under its digest.  A chunk
+that occurs once is stored in the pack of its only medium, in order, beside
+the digests of the medium's other chunks.  ``rebuilt_media`` reads packs and
+chunks back, joins by digest what a pack only names, and verifies every file
+against the digest taken before it was cut.  The features come from the
+samples of files rebuilt so, never from the text.
+
+A fixed-size Bloom filter of the repeated digests tells the packing scan which
+chunks occur once: a false hit moves a chunk to the other table, a full filter
+moves all of them, and neither changes a result.  Copies of a text are one
+medium: all their chunks are repeated ones.
 
 Defined cases: null and empty texts are 64 zero bytes; repeated rows give
-repeated, equal results.
+repeated, equal results; of docs only ``doc_id`` and ``text`` are read, other
+columns are left out; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +118,17 @@ def _texts(column: pa.Array):
         yield i, raw[offsets[i] : offsets[i + 1]].tobytes()
 
 
+def _distinct_media(column: pa.Array, seen: set[bytes]):
+    """(row, size of the text, key, file or None if this task met it before) of each text."""
+    for i, data in _texts(column):
+        media = wav(payload(data))
+        key = hashlib.sha256(media).digest()
+        yield i, len(data), key, None if key in seen else media
+        seen.add(key)
+        if len(seen) > 500_000:
+            seen.clear()
+
+
 def manifests(docs: DataFrame) -> DataFrame:
     """(doc_id, medium, n_bytes, digests): the key of each text's medium and its ordered chunk digests (null where this task gave them before)."""
 
@@ -119,15 +138,10 @@ def manifests(docs: DataFrame) -> DataFrame:
             _, offsets = text_bytes(batch.column(1))
             for lo, hi in chunks(offsets):
                 keys, sizes, lists = [], [], []
-                for _, data in _texts(batch.column(1).slice(lo, hi - lo)):
-                    media = wav(payload(data))
-                    key = hashlib.sha256(media).digest()
+                for _, size, key, media in _distinct_media(batch.column(1).slice(lo, hi - lo), seen):
                     keys.append(key)
-                    sizes.append(len(data))
-                    lists.append(None if key in seen else [digest16(c) for c in split(media)])
-                    seen.add(key)
-                if len(seen) > 500_000:
-                    seen.clear()
+                    sizes.append(size)
+                    lists.append(None if media is None else [digest16(c) for c in split(media)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "medium", "n_bytes", "digests"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, medium binary, n_bytes long, digests array<binary>")
@@ -142,71 +156,102 @@ def bloom(shared: DataFrame, bits: int) -> np.ndarray:
     return np.packbits(marked)
 
 
-RESULT = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-RESULT_NAMES = [f.split()[0] for f in RESULT.split(", ")]
-_RESULT_ARROW = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+class ChunkStore(NamedTuple):
+    """Media as chunks; all three are tables in the shared folder."""
 
+    #: (doc_id, medium, n_bytes, digests): the medium of each document.
+    listed: DataFrame
+    #: (medium, own_at, own, named_at, named): chunks of one medium only and the digests of its others, with their places.
+    packs: DataFrame
+    #: (digest, chunk): every other chunk, once.
+    chunks: DataFrame
 
-def described_media(docs: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, n_bytes, ...): what the stored media of the texts hold when read back."""
+
+def chunk_store(docs: DataFrame, bits: int = 1 << 24) -> ChunkStore:
+    """Cut the media of docs(doc_id, text) and store each distinct chunk once; see the module's text."""
     spark = docs.sparkSession
     listed = stored(manifests(docs))
-    media = listed.where("digests is not null").dropDuplicates(["medium"])
-    shared = media.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    marks = spark.sparkContext.broadcast(bloom(shared, bits))
+    repeated = listed.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    marks = spark.sparkContext.broadcast(bloom(repeated, bits))
 
     def run(batches):
-        known = np.unpackbits(marks.value).astype(bool)
+        known = marks.value
         seen: set[bytes] = set()
         given: set[bytes] = set()
         for batch in batches:
             _, offsets = text_bytes(batch.column(0))
             for lo, hi in chunks(offsets):
                 rows: list[tuple] = []
-                for _, data in _texts(batch.column(0).slice(lo, hi - lo)):
-                    media = wav(payload(data))
-                    key = hashlib.sha256(media).digest()
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    parts = split(media)
-                    names = [digest16(c) for c in parts]
-                    hit = [known[int.from_bytes(d[:7], "big") % bits] for d in names]
-                    if not any(hit):
-                        own = dict(zip(names, parts, strict=True))
-                        rows.append((key, None, None, None, False, *described(rebuilt(key, [own[d] for d in names]))))
+                for _, _, key, media in _distinct_media(batch.column(0).slice(lo, hi - lo), seen):
+                    if media is None:
                         continue
-                    for i, (d, c, h) in enumerate(zip(names, parts, hit, strict=True)):
-                        again = h and d in given
-                        if h:
-                            given.add(d)
-                        rows.append((key, i, d, None if again else c, bool(h), *([None] * 6)))
-                if len(seen) > 500_000:
-                    seen.clear()
+                    own_at, own, named_at, named = [], [], [], []
+                    for i, chunk in enumerate(split(media)):
+                        digest = digest16(chunk)
+                        at = int.from_bytes(digest[:7], "big") % bits
+                        if not known[at >> 3] >> (7 - (at & 7)) & 1:
+                            own_at.append(i)
+                            own.append(chunk)
+                            continue
+                        named_at.append(i)
+                        named.append(digest)
+                        if digest not in given:
+                            given.add(digest)
+                            rows.append((None, None, None, None, None, digest, chunk))
+                    rows.append((key, own_at, own, named_at, named, None, None))
                 if len(given) > 500_000:
                     given.clear()
                 if rows:
-                    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), *_RESULT_ARROW]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["medium", "i", "digest", "chunk", "marked", *RESULT_NAMES])
+                    kinds = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["medium", "own_at", "own", "named_at", "named", "digest", "chunk"])
+
+    made = stored(docs.select("text").mapInArrow(run, "medium binary, own_at array<int>, own array<binary>, named_at array<int>, named array<binary>, digest binary, chunk binary"))
+    once = stored(made.where("digest is not null").groupBy("digest").agg(F.min("chunk").alias("chunk")))
+    return ChunkStore(listed, made.where("medium is not null").select("medium", "own_at", "own", "named_at", "named"), once)
+
 
-    made = stored(docs.select("text").mapInArrow(run, f"medium binary, i int, digest binary, chunk binary, marked boolean, {RESULT}"))
-    done = made.where("i is null").select("medium", *RESULT_NAMES)
-    parts = made.where("i is not null").select("medium", "i", "digest", "chunk", "marked")
-    own = parts.where("not marked").select("medium", "i", "chunk")
-    store = parts.where("marked and chunk is not null").groupBy("digest").agg(F.min("chunk").alias("chunk"))
-    asked = parts.where("marked").select("medium", "i", "digest").join(store, "digest").select("medium", "i", "chunk")
+def rebuilt_media(store: ChunkStore, schema: str = "media binary", each: Callable[[bytes], tuple] = lambda media: (media,)) -> DataFrame:
+    """(medium, *schema): each(file) of every medium, the file rebuilt from its stored chunks and verified.
 
-    def join_up(batches):
+    Packs that name no other chunk are read in place.  Of the others, named
+    digests are joined with the stored chunks and gathered by medium with the
+    medium's own; such a group is one file, as the row was that it came from.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    arrow = [pa.binary(), *(kinds[f.split()[1]] for f in schema.split(", "))]
+
+    def run(batches):
         for batch in batches:
             out = []
-            for key, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole = {p["i"]: p["chunk"] for p in pieces}
-                out.append((key, *described(rebuilt(key, [whole[i] for i in range(len(whole))]))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate([pa.binary(), *_RESULT_ARROW])], names=["medium", *RESULT_NAMES])
-
-    joined = own.union(asked).dropDuplicates(["medium", "i"]).groupBy("medium").agg(F.collect_list(F.struct("i", "chunk")).alias("parts")).mapInArrow(join_up, f"medium binary, {RESULT}")
-    results = done.union(joined).dropDuplicates(["medium"])
-    return listed.select("doc_id", "medium", "n_bytes").join(results, "medium").select("doc_id", "n_bytes", *RESULT_NAMES)
+            for key, at, parts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                ordered = dict(zip(at.as_py(), parts.as_py(), strict=True))
+                out.append((key.as_py(), *each(rebuilt(key.as_py(), [ordered[i] for i in range(len(ordered))]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(arrow)], names=["medium", *names])
+
+    alone = store.packs.where(F.size("named") == 0).select("medium", F.col("own_at").alias("at"), F.col("own").alias("parts"))
+    others = store.packs.where(F.size("named") > 0)
+    own = others.select("medium", F.explode(F.arrays_zip(F.col("own_at").alias("i"), F.col("own").alias("chunk"))).alias("p")).select("medium", "p.i", "p.chunk")
+    named = others.select("medium", F.explode(F.arrays_zip(F.col("named_at").alias("i"), F.col("named").alias("digest"))).alias("p")).select("medium", "p.i", "p.digest")
+    named = named.dropDuplicates(["medium", "i"]).join(store.chunks, "digest").select("medium", "i", "chunk")
+    gathered = own.union(named).groupBy("medium").agg(F.collect_list(F.struct("i", "chunk")).alias("p")).select("medium", F.col("p.i").alias("at"), F.col("p.chunk").alias("parts"))
+    fields = f"medium binary, {schema}"
+    return alone.mapInArrow(run, fields).union(gathered.mapInArrow(run, fields)).dropDuplicates(["medium"])
+
+
+RESULT = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+RESULT_NAMES = [f.split()[0] for f in RESULT.split(", ")]
+
+
+def described_media(docs: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """docs(doc_id, text) to (doc_id, n_bytes, ...): what the stored media of the texts hold when read back.
+
+    The results are stored before documents ask for them, so that the join
+    reads two plain tables and a text that many documents hold can be split.
+    """
+    store = chunk_store(docs, bits)
+    results = stored(rebuilt_media(store, RESULT, described))
+    return store.listed.select("doc_id", "medium", "n_bytes").join(results, "medium").select("doc_id", "n_bytes", *RESULT_NAMES)
 
 
 def rebuilt(key: bytes, parts: list[bytes]) -> bytes:
