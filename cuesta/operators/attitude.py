@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,26 +58,32 @@ def fit_planes(samples: DataFrame, least: int = 3) -> DataFrame:
     )
 
 
-def _svd_fit(points: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """(dip, dip direction, eigenvalues, upward normal) by singular values, batched over leading axes."""
-    centred = points - points.mean(axis=-2, keepdims=True)
-    _, s, v = np.linalg.svd(centred, full_matrices=False)
-    normal = v[..., 2, :]
+def _attitudes(tensors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dip, dip direction) of the planes whose normal is the least axis of each 3x3 scatter matrix."""
+    normal = np.linalg.eigh(tensors)[1][..., 0]
     normal = np.where(normal[..., 2:3] < 0, -normal, normal)
     dip = np.degrees(np.arccos(np.clip(normal[..., 2], -1, 1)))
-    return dip, np.degrees(np.arctan2(normal[..., 0], normal[..., 1])) % 360, s**2, normal
+    return dip, np.degrees(np.arctan2(normal[..., 0], normal[..., 1])) % 360
 
 
 def monte_carlo(points: np.ndarray, sigma_z: float, n_mc: int = 200, seed: int = 0, correlation_length: float | None = 500.0) -> tuple[float, float]:
-    """(dip, dip direction) uncertainty in degrees from noise of the heights and a random tilt common to the trace."""
+    """(dip, dip direction) uncertainty in degrees from noise of the heights and a random tilt common to the trace.
+
+    Noise moves heights only, so of a sample's scatter matrix only the row and column of z are made anew.
+    """
     rng = np.random.default_rng(seed)
     z = rng.normal(0.0, sigma_z, (n_mc, len(points)))
+    centred = points - points.mean(axis=0)
     if correlation_length and correlation_length > 0:
         tilt = rng.normal(0.0, sigma_z / correlation_length, (n_mc, 2))
-        z = z + tilt @ (points[:, :2] - points[:, :2].mean(axis=0)).T
-    many = np.repeat(points[None, :, :], n_mc, axis=0)
-    many[:, :, 2] += z
-    dip, direction, _, _ = _svd_fit(many)
+        z += tilt @ centred[:, :2].T
+    z += centred[:, 2]
+    z -= z.mean(axis=1, keepdims=True)
+    scatter = np.empty((n_mc, 3, 3))
+    scatter[:, :2, :2] = centred[:, :2].T @ centred[:, :2]
+    scatter[:, 2, :2] = scatter[:, :2, 2] = z @ centred[:, :2]
+    scatter[:, 2, 2] = np.einsum("ij,ij->i", z, z)
+    dip, direction = _attitudes(scatter)
     a = np.radians(direction)
     r = min(1.0, float(np.hypot(np.sin(a).mean(), np.cos(a).mean())))
     return float(dip.std()), float(np.degrees(np.sqrt(max(0.0, -2 * np.log(max(r, 1e-12))))))
@@ -86,15 +92,16 @@ def monte_carlo(points: np.ndarray, sigma_z: float, n_mc: int = 200, seed: int =
 def uncertainties(samples: DataFrame, sigma_z: float = 2.0, n_mc: int = 200, seed: int = 0, correlation_length: float | None = 500.0) -> DataFrame:
     """(trace_id, dip_uncertainty, dip_direction_uncertainty): a seeded Monte Carlo kernel for each trace."""
 
-    def kernel(key, trace: pd.DataFrame) -> pd.DataFrame:
-        p = trace.sort_values(["seq", "k"])[["x", "y", "z"]].to_numpy(dtype=float)
+    def kernel(trace: pa.Table) -> pa.Table:
+        seq, k = (trace.column(c).to_numpy() for c in ("seq", "k"))
+        p = np.column_stack([trace.column(c).to_numpy() for c in ("x", "y", "z")]).astype(float)[np.lexsort((k, seq))]
         if len(p) < 3 or sigma_z <= 0:
             out = (float("nan"), float("nan"))
         else:
             out = monte_carlo(p, sigma_z, n_mc, seed, correlation_length)
-        return pd.DataFrame({"trace_id": [key[0]], "dip_uncertainty": [out[0]], "dip_direction_uncertainty": [out[1]]})
+        return pa.table({"trace_id": trace.column("trace_id").slice(0, 1), "dip_uncertainty": [out[0]], "dip_direction_uncertainty": [out[1]]})
 
-    return samples.select("trace_id", "seq", "k", "x", "y", "z").groupBy("trace_id").applyInPandas(kernel, "trace_id long, dip_uncertainty double, dip_direction_uncertainty double")
+    return samples.select("trace_id", "seq", "k", "x", "y", "z").groupBy("trace_id").applyInArrow(kernel, "trace_id long, dip_uncertainty double, dip_direction_uncertainty double")
 
 
 def reliable(conditioning: float = 1e-2, map_conditioning: float = 1e-3) -> Column:
