@@ -61,7 +61,7 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Encodes byte strings one by one; see the module's text."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_pairs: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 250_000):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.max_states, self.max_pairs = max_states, max_pairs
