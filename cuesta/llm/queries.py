@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, linededup, lm, media, minhash, pii, quality, toxicity
+from . import alignment, bpe, decontaminate, langid, linededup, lm, media, minhash, pii, quality, toxicity
 from ._spark import held_out, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -55,6 +55,12 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    return alignment.digest(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"), p.path("piece_bpe_32k.model"), p.path(VOCABULARY), p.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_language_id,
@@ -67,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_personal_data,
         op9_toxicity,
         op10_media_chunks,
+        op11_token_alignment,
     ]
     return {f.__name__: f for f in own}
 
