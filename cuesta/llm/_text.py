@@ -87,8 +87,8 @@ class Words:
     ``first[i]:first[i + 1]`` are row i's words.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: bool = True):
-        self.data = LOWER[raw]
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: bool = True, lower: bool = True):
+        self.data = LOWER[raw] if lower else raw
         inside = np.zeros(len(raw) + 2, dtype=bool)
         inside[1:-1] = table[self.data]
         cut = np.zeros(len(raw) + 1, dtype=bool)
