@@ -21,7 +21,9 @@ def test_plane_recovery_kernel(dip, direction):
     x, y = 100 * t, 80 * np.sin(t)
     a = math.radians(direction)
     z = -math.tan(math.radians(dip)) * (x * math.sin(a) + y * math.cos(a))
-    got_dip, got_direction, _, _ = attitude._svd_fit(np.column_stack([x, y, z]))
+    p = np.column_stack([x, y, z])
+    p -= p.mean(axis=0)
+    got_dip, got_direction = attitude._attitudes(p.T @ p)
     assert got_dip == pytest.approx(dip, abs=1e-3)
     assert abs((got_direction - direction + 180) % 360 - 180) < 1e-3
 
