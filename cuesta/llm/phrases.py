@@ -259,7 +259,7 @@ def phrase_counts(runs: DataFrame, n: int, least: int, may) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([last], pa.binary()), pa.array([sum_])], names=["key", "a"])
             last, sum_ = keys[at[-1]].tobytes(), int(counts[-1])
             on = np.flatnonzero(counts[:-1] >= least)
-            yield pa.RecordBatch.from_arrays([_fixed(keys[at[on]].reshape(len(on), -1).view(">u4")), pa.array(counts[on])], names=["key", "a"])
+            yield pa.RecordBatch.from_arrays([_fixed(keys[at[on]].view(">u4").reshape(len(on), n)), pa.array(counts[on])], names=["key", "a"])
         if last is not None and sum_ >= least:
             yield pa.RecordBatch.from_arrays([pa.array([last], pa.binary()), pa.array([sum_])], names=["key", "a"])
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from ._text import NOT_SPACE, Words, chunks, mix64, run_hashes, text_bytes
 from .quality import labelled
 
-MAX_ROWS = 4_000
+MAX_ROWS = 2_000
 BITS = 18
 LEAST_PROBABILITY = 0.3
 LEAST_WORDS = 20
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, out: Column, label: str = "quality",
         part = np.zeros(len(y), bool)  # too few rows to set some apart: the same ones calibrate
 
     def flat(rows: np.ndarray):
-        row = np.repeat(np.arange(len(rows)), [len(bucket[i]) for i in rows])
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(bucket[i]) for i in rows])
         return np.concatenate([bucket[i] for i in rows]), np.concatenate([share[i] for i in rows]), row
 
     learn, rest = np.flatnonzero(~part), np.flatnonzero(part if part.any() else ~part)

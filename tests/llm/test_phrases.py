@@ -52,6 +52,12 @@ def test_against_brute_force(spark, rows, monkeypatch, least, top):
     assert sorted(map(tuple, got)) == sorted(brute(rows, least, top))
 
 
+def test_parts_without_a_frequent_key(spark):
+    rows = [("en", f"x{i} y{i}, p q") for i in range(40)] + [("en", "a b")] * 3
+    got = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), least=3).collect()
+    assert {(r.phrase, r.a) for r in got} == {("a b", 3), ("p q", 40)}
+
+
 def test_nothing_frequent(spark):
     for few in ([], [("en", "one two three")], [(None, None)]):
         assert phrases.collocations(spark.createDataFrame(few, "lang string, text string")).collect() == []
