@@ -8,9 +8,10 @@ The plan, its larger tables stored before they are read again:
    word) pairs with ``least`` occurrences, numbered by range partitions and
    their offsets.  Local numbers are joined with it, by word and then by block,
    and pieces break at every word that is not in it.
-3. Runs of n ids become keys of 4n bytes.  A task sorts its keys by radix,
-   counts runs of equal ones, and Spark deals the counted keys out by ranges
-   and sorts them, so equal keys stand together and are added up.  Keys with
+3. Runs of n ids become keys of 4n bytes, shuffled as longs of two ids each.  A
+   task sorts its keys by radix, counts runs of equal ones, and Spark deals the
+   counted keys out by ranges and sorts them (a single long by radix), so equal
+   keys stand together and are added up.  Keys with
    ``least`` occurrences stay.  Only runs whose shorter runs may all be frequent
    are packed; a bitmap of the frequent shorter keys, at most ``MOST_BITS`` bits,
    tells them apart.  It only saves work: a run it lets pass in error is counted
@@ -190,6 +191,19 @@ def _fixed(keys: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(keys.astype(">u4").tobytes())])
 
 
+def _longs(keys: np.ndarray) -> list[np.ndarray]:
+    """Rows of uint32 as columns of eight bytes, two ids each: Spark sorts a single one of them by radix."""
+    wide = np.zeros((len(keys), keys.shape[1] + keys.shape[1] % 2), np.uint64)
+    wide[:, : keys.shape[1]] = keys
+    return [(wide[:, i] << np.uint64(32) | wide[:, i + 1]).view(np.int64) for i in range(0, wide.shape[1], 2)]
+
+
+def _ids(longs: np.ndarray, n: int) -> np.ndarray:
+    """The n ids of each row of ``_longs``."""
+    both = longs.view(np.uint64)
+    return np.stack([both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)], axis=2).reshape(len(longs), 2 * longs.shape[1])[:, :n].astype(np.uint32)
+
+
 def _marks(ids: np.ndarray, bits: int) -> np.ndarray:
     """A bit number below bits for each row of ids."""
     h = np.zeros(len(ids), np.uint64)
@@ -220,6 +234,8 @@ def _windows(ids: np.ndarray, n: int, may: np.ndarray | None) -> np.ndarray:
 def phrase_counts(runs: DataFrame, n: int, least: int, may) -> DataFrame:
     """(key, a): frequent runs of n ids; may is a shared bitmap of the frequent runs of n - 1, None for n = 2."""
 
+    longs = ["k1"] if n == 2 else ["k1", "k2"]
+
     def packed(batches) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         bitmap = None if may is None else may.value
@@ -227,7 +243,7 @@ def phrase_counts(runs: DataFrame, n: int, least: int, may) -> DataFrame:
         def out():
             keys, counts = _counted(np.concatenate(held))
             for i in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([_fixed(keys[i : i + 100_000]), pa.array(counts[i : i + 100_000])], names=["key", "a"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _longs(keys[i : i + 100_000])), pa.array(counts[i : i + 100_000])], names=[*longs, "a"])
 
         for batch in batches:
             for row in batch.column(0):
@@ -243,29 +259,31 @@ def phrase_counts(runs: DataFrame, n: int, least: int, may) -> DataFrame:
 
     def added(batches) -> Iterator[pa.RecordBatch]:
         last, sum_ = None, 0
+
+        def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_fixed(_ids(keys, n)), pa.array(counts)], names=["key", "a"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column(0)
-            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-            keys = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 4 * n)
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(len(longs))])
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
             at = np.flatnonzero(new)
-            counts = np.add.reduceat(batch.column(1).to_numpy(), at)
-            if last is not None and keys[0].tobytes() == last:
+            counts = np.add.reduceat(batch.column(len(longs)).to_numpy(), at)
+            if last is not None and np.array_equal(keys[0], last):
                 counts[0] += sum_
             elif last is not None and sum_ >= least:
-                yield pa.RecordBatch.from_arrays([pa.array([last], pa.binary()), pa.array([sum_])], names=["key", "a"])
-            last, sum_ = keys[at[-1]].tobytes(), int(counts[-1])
+                yield out(last[None], np.array([sum_]))
+            last, sum_ = keys[at[-1]].copy(), int(counts[-1])
             on = np.flatnonzero(counts[:-1] >= least)
-            yield pa.RecordBatch.from_arrays([_fixed(keys[at[on]].view(">u4").reshape(len(on), n)), pa.array(counts[on])], names=["key", "a"])
+            yield out(keys[at[on]], counts[on])
         if last is not None and sum_ >= least:
-            yield pa.RecordBatch.from_arrays([pa.array([last], pa.binary()), pa.array([sum_])], names=["key", "a"])
+            yield out(last[None], np.array([sum_]))
 
-    some = stored(runs.mapInArrow(packed, "key binary, a long"))
+    some = stored(runs.mapInArrow(packed, ", ".join([*(f"{k} long" for k in longs), "a long"])))
     tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(some.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(added, "key binary, a long"))
+    found = stored(some.repartitionByRange(tasks, *longs).sortWithinPartitions(*longs).mapInArrow(added, "key binary, a long"))
     dropped(runs.sparkSession, some)
     return found
 
