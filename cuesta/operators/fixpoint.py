@@ -4,32 +4,55 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the cluster shares; a folder of our own only in local mode."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.match(r"local(\[|$)", sc.master):
+def _folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; one of our own in local mode only."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cuesta-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cuesta-"))
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a table written in the shared folder and read again.
+
+    A table also ends the plan's size estimates; a checkpoint would carry them on, and
+    with a join in every round they double their digits.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/cuesta/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forgotten(*frames: DataFrame) -> None:
+    """Delete the tables of frames made by ``settled`` that nothing will read again."""
+    for df in frames:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Column, rounds: int = 1000) -> DataFrame:
-    """Apply step until no row of its result has ``changed`` true; every round is checkpointed."""
+def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Column) -> DataFrame:
+    """Apply step until no row of its result has ``changed`` true; every round is written, and the one before let go."""
     state = settled(state)
-    for _ in range(rounds):
+    while True:
         after = settled(step(state))
+        forgotten(state)
         if after.where(changed).limit(1).count() == 0:
             return after
         state = after
-    raise RuntimeError(f"no fixpoint within {rounds} rounds")
 
 
 def component_labels(cells: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from cuesta.functions.numeric import nan, finite, known, or_nan
 from cuesta.operators.fixpoint import settled
 from cuesta.operators.regions import AT, dilate, distance
 from cuesta.operators.stencils import nine
+from cuesta.operators.tiles import SIZE, wave, windows
 
 #: Steps in the order that breaks ties, with their place among z1..z9.
 STEPS = [(-1, -1, 1), (-1, 0, 2), (-1, 1, 3), (0, -1, 4), (0, 1, 6), (1, -1, 7), (1, 0, 8), (1, 1, 9)]
@@ -30,26 +32,20 @@ def flow_azimuth(directions: DataFrame) -> DataFrame:
     return directions.withColumn("azimuth", or_nan(azimuth(F.col("dc").cast("double"), -F.col("dr").cast("double"))))
 
 
-def flow_accumulation(directions: DataFrame, rounds: int = 64) -> DataFrame:
-    """(grid_id, r, c, accumulation): the cell and everything upstream; nodata 0.
+def flow_accumulation(directions: DataFrame, size: int = SIZE) -> DataFrame:
+    """(grid_id, r, c, accumulation) of directions(grid_id, r, c, z, dr, dc) without cycles: the cell and everything upstream; nodata 0.
 
-    Sums over the flow forest by doubling: after k rounds each cell holds what lies fewer than 2^k steps
-    upstream, so the longest path of n cells takes log2 n rounds of two equi-joins.
+    Tiles add up on their own and pass on what drains through their borders, until nothing changes; an outlet's
+    cells never meet in one task.
     """
-    node = F.struct(*AT)
-    target = F.when(F.col("dr").isNotNull(), F.struct("grid_id", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c")))
-    now = settled(directions.where(finite("z")).select(node.alias("node"), target.alias("to"), F.lit(1).cast("long").alias("held")))
-    for _ in range(rounds):
-        moving = now.where("to is not null")
-        if moving.limit(1).count() == 0:
-            break
-        gained = moving.groupBy(F.col("to").alias("node")).agg(F.sum("held").alias("gain"))
-        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        after = now.join(gained, "node", "left").join(ahead, "to", "left")
-        now = settled(after.select("node", F.col("then").alias("to"), (F.col("held") + F.coalesce("gain", F.lit(0))).alias("held")))
-    else:
-        raise RuntimeError("the flow does not end")
-    return directions.select(*AT).join(now.select("node.*", "held"), AT, "left").select(*AT, F.coalesce("held", F.lit(0)).alias("accumulation"))
+    from cuesta.operators.kernels import accumulated
+
+    def solve(of, around, place):
+        return accumulated(of["dr"], of["dc"], np.isfinite(of["z"]), around)
+
+    cells = directions.select(*AT, "z", *(F.col(c).cast("double").alias(c) for c in ("dr", "dc")))
+    names = ["z", "dr", "dc"]
+    return wave(settled(windows(cells, names, size)), names, solve, 0.0, size, lambda of, around, state, place: {"accumulation": state.astype(np.int64)}, {"accumulation": "long"})
 
 
 def block_mean(pixels: DataFrame, factor: int) -> DataFrame:
