@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from cuesta.functions.grid import Transform
 from cuesta.functions.numeric import col, finite
 from cuesta.operators import kernels
+from cuesta.operators.fixpoint import settled
 from cuesta.operators.normalise import KEYS, limits, weighted_response
 from cuesta.operators.regions import components
 from cuesta.operators.stencils import nine
+from cuesta.operators.tiles import SIZE
 
 
 def suppressed(gradients: DataFrame) -> DataFrame:
@@ -46,19 +48,20 @@ def hysteresis(cells: DataFrame, low: Column, high: Column, value: str = "nms")
     """(grid_id, r, c): 8-connected cells of ``low`` and more that a cell of ``high`` and more belongs to."""
     v = F.col(value)
     weak = cells.where((v >= low) & (v > 0)).select(*KEYS, ((v >= high) & (v > 0)).alias("_strong"))
-    labelled = components(weak).join(weak, KEYS)
+    weak = settled(weak)
+    labelled = settled(components(weak).join(weak, KEYS))
     held = labelled.where("_strong").select("grid_id", "label").distinct()
     return labelled.join(held, ["grid_id", "label"], "left_semi").select(*KEYS)
 
 
-def canny(pixels: DataFrame, value: str = "z", sigma: float = 1.0, low: float = 0.85, high: float = 0.95, valid: Column | None = None) -> DataFrame:
+def canny(pixels: DataFrame, value: str = "z", sigma: float = 1.0, low: float = 0.85, high: float = 0.95, valid: Column | None = None, size: int = SIZE) -> DataFrame:
     """(grid_id, r, c) of the edges; none on a grid that is blank or flat."""
     if not 0 <= low <= high <= 1:
         raise ValueError("the quantiles must satisfy 0 <= low <= high <= 1")
     ok = finite(value) if valid is None else finite(value) & valid
-    marked = pixels.select(*KEYS, col(value).alias("z"), ok.alias("_ok"))
-    g = kernels.gaussian_gradient(marked, sigma).join(marked.select(*KEYS, "_ok"), KEYS)
-    g = g.select(*KEYS, "gx", "gy", "_ok", F.when(F.col("_ok"), F.hypot("gx", "gy")).otherwise(0.0).alias("magnitude"))
+    marked = settled(pixels.select(*KEYS, col(value).alias("z"), ok.alias("_ok")))
+    g = kernels.gaussian_gradient(marked, sigma, size=size).join(marked.select(*KEYS, "_ok"), KEYS)
+    g = settled(g.select(*KEYS, "gx", "gy", "_ok", F.when(F.col("_ok"), F.hypot("gx", "gy")).otherwise(0.0).alias("magnitude")))
     cuts = limits(g, F.when(F.col("_ok"), F.col("magnitude")), 100 * low, 100 * high)
     thin = suppressed(g).where("_ok").join(cuts, "grid_id")
     return hysteresis(thin, F.col("_lo"), F.col("_hi"))

@@ -1,5 +1,5 @@
-"""Stretching and stacking of bands.  Percentiles are exact and interpolate linearly; they are computed per
-grid in one aggregation and joined back (one row per grid)."""
+"""Stretching and stacking of bands.  Percentiles of a grid are exact and interpolate linearly; they come from range
+partitions of its values (see ``order``) and are joined back, one row for each grid."""
 
 from __future__ import annotations
 
@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from cuesta.functions.numeric import nan, clip, finite, known
 from cuesta.functions.spectral import SPECTRAL_BANDS, STRETCHED
+from cuesta.operators.fixpoint import settled
+from cuesta.operators.order import quantiles
 
 KEYS = ["grid_id", "r", "c"]
 
 
 def limits(pixels: DataFrame, value: Column, lo: float, hi: float) -> DataFrame:
-    """(grid_id, lo, hi): percentiles of the finite values of each grid."""
-    p = F.percentile(value, F.array(F.lit(lo / 100), F.lit(hi / 100)))
-    return pixels.groupBy("grid_id").agg(p.alias("_p")).select("grid_id", F.col("_p")[0].alias("_lo"), F.col("_p")[1].alias("_hi"))
+    """(grid_id, lo, hi): percentiles of the finite values of each grid that has any."""
+    return quantiles(pixels.select("grid_id", value.alias("v")), {"_lo": lo / 100, "_hi": hi / 100})
 
 
 def percentile_stretch(pixels: DataFrame, band: str, lo: float = 2, hi: float = 98, name: str | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def percentile_stretch(pixels: DataFrame, band: str, lo: float = 2, hi: float =
     span = F.col("_hi") - F.col("_lo")
     scaled = F.when(span > 0, clip((z - F.col("_lo")) / F.when(span > 0, span), 0, 1)).otherwise(F.lit(0.0))
     out = F.when(F.col("_lo").isNull(), z).when(finite(z), scaled).otherwise(nan())
-    return pixels.join(limits(pixels, known(band), lo, hi), "grid_id").withColumn(name or band, out).drop("_lo", "_hi")
+    return pixels.join(limits(pixels, known(band), lo, hi), "grid_id", "left").withColumn(name or band, out).drop("_lo", "_hi")
 
 
 def normalize01(pixels: DataFrame, band: str, name: str | None = None) -> DataFrame:
@@ -48,7 +49,7 @@ def stretch_u8(pixels: DataFrame, band: str, lo: float = 2, hi: float = 98, name
     top = F.when(F.col("_hi") <= F.col("_lo"), F.col("_lo") + 1).otherwise(F.col("_hi"))
     byte = F.floor(clip((z - F.col("_lo")) / (top - F.col("_lo")), 0, 1) * 255 + 1e-9)
     out = F.when(finite(z) & F.col("_lo").isNotNull(), byte).otherwise(0).cast("smallint")
-    return pixels.join(limits(pixels, known(band), lo, hi), "grid_id").withColumn(name or band, out).drop("_lo", "_hi")
+    return pixels.join(limits(pixels, known(band), lo, hi), "grid_id", "left").withColumn(name or band, out).drop("_lo", "_hi")
 
 
 def spectral_stack(pixels: DataFrame, names: Sequence[str], bands: Mapping[str, str] | None = None) -> DataFrame:
@@ -60,7 +61,7 @@ def spectral_stack(pixels: DataFrame, names: Sequence[str], bands: Mapping[str,
         for b in SPECTRAL_BANDS[n][0]:
             if b not in bands:
                 raise KeyError(f"{n} needs the band {b}")
-    out = pixels.select(*KEYS, *(SPECTRAL_BANDS[n][1](*(bands[b] for b in SPECTRAL_BANDS[n][0])).alias(n) for n in names))
+    out = settled(pixels.select(*KEYS, *(SPECTRAL_BANDS[n][1](*(bands[b] for b in SPECTRAL_BANDS[n][0])).alias(n) for n in names)))
     for n in names:
         if n in STRETCHED:
             out = percentile_stretch(out, n)
@@ -84,7 +85,7 @@ def weighted_response(pixels: DataFrame, bands: Sequence[str], weights: Sequence
     weights = [1.0] * len(bands) if weights is None else list(weights)
     if len(weights) != len(bands):
         raise ValueError("one weight for each band is needed")
-    out = pixels.select(*KEYS, *bands)
+    out = settled(pixels.select(*KEYS, *bands))
     for b in bands:
         out = percentile_stretch(out, b)
     whole = reduce(lambda a, b: a & b, [finite(b) for b in bands])

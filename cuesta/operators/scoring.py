@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuesta.functions.numeric import finite
 from cuesta.operators.fixpoint import settled
+from cuesta.operators.order import placed
 from cuesta.operators.regions import dilate
 
 SUMMARY = (0.25, 0.5, 0.75, 0.9)
@@ -20,12 +21,11 @@ def _budget(share: float) -> float:
     return float(share)
 
 
-def _ranked(response: DataFrame, function: Column) -> DataFrame:
-    """Finite cells with their rank within the grid and the grid's number of them."""
+def _ranked(response: DataFrame) -> DataFrame:
+    """Finite cells with their rank within the grid, highest first, ties by row and column, and the grid's number of them."""
     cells = response.where(finite("z"))
-    order = Window.partitionBy("grid_id").orderBy(F.desc("z"), "r", "c")
     sizes = cells.groupBy("grid_id").agg(F.count("*").alias("n"))
-    return cells.withColumn("rank", function.over(order)).join(sizes, "grid_id")
+    return placed(cells, "grid_id", [-F.col("z"), F.col("r"), F.col("c")], "rank").join(sizes, "grid_id")
 
 
 def _wanted(budget: Column | float) -> Column:
@@ -35,15 +35,14 @@ def _wanted(budget: Column | float) -> Column:
 
 def top_cells(response: DataFrame, budget: float) -> DataFrame:
     """(grid_id, r, c): exactly the budgeted share of the finite cells, highest first, ties by row and column."""
-    return _ranked(response, F.row_number()).where(F.col("rank") <= _wanted(_budget(budget))).select("grid_id", "r", "c")
+    return _ranked(response).where(F.col("rank") <= _wanted(_budget(budget))).select("grid_id", "r", "c")
 
 
 def edge_mask(response: DataFrame, budget: float = 0.07) -> DataFrame:
     """(grid_id, r, c): cells at or above the value of the last budgeted one, so that all ties stay."""
-    cells = response.where(finite("z"))
-    sizes = cells.groupBy("grid_id").agg(F.count("*").alias("n"))
-    place = cells.withColumn("rank", F.rank().over(Window.partitionBy("grid_id").orderBy(F.desc("z")))).join(sizes, "grid_id")
-    return place.where(F.col("rank") <= _wanted(_budget(budget))).select("grid_id", "r", "c")
+    ranked = _ranked(response)
+    last = ranked.where(F.col("rank") == _wanted(_budget(budget))).select("grid_id", F.col("z").alias("_least"))
+    return ranked.join(last, "grid_id").where(F.col("z") >= F.col("_least")).select("grid_id", "r", "c")
 
 
 def recall_curve(response: DataFrame, truth: DataFrame, budgets: Sequence[float] = (0.01, 0.02, 0.05, 0.1, 0.2), tolerance: float = 1) -> DataFrame:
@@ -51,7 +50,7 @@ def recall_curve(response: DataFrame, truth: DataFrame, budgets: Sequence[float]
 
     A truth cell is hit from the best rank in its disk on, so one join serves all budgets.
     """
-    ranked = _ranked(response, F.row_number())
+    ranked = _ranked(response)
     reach = dilate(ranked.select("grid_id", "r", "c", "rank"), tolerance, keep=["rank"])
     best = reach.groupBy("grid_id", "r", "c").agg(F.min("rank").alias("rank"))
     cells = truth.select("grid_id", "r", "c").distinct().join(ranked.select("grid_id", "r", "c", "n"), ["grid_id", "r", "c"])

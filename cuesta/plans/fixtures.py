@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 FX_DEM = """
-SELECT 'g0' AS grid_id, CAST(a.v AS INT) AS r, CAST(b.v AS INT) AS c,
+SELECT CASE WHEN a.v >= 0 THEN 'g0' END AS grid_id, CAST(a.v AS INT) AS r, CAST(b.v AS INT) AS c,
  CASE WHEN (a.v*7+b.v*3)%97=0 THEN CAST('NaN' AS DOUBLE)
   ELSE CAST(200+1.5*(47-a.v)+2*abs(b.v-24)+0.25*coalesce(q.b,0) AS DOUBLE) END AS z
 FROM (SELECT DISTINCT l_partkey%48 AS v FROM lineitem) a CROSS JOIN (SELECT DISTINCT l_partkey%48 AS v FROM lineitem) b LEFT JOIN
