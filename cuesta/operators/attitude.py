@@ -67,42 +67,114 @@ def _attitudes(tensors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return dip, np.degrees(np.arctan2(normal[..., 0], normal[..., 1])) % 360
 
 
-def monte_carlo(points: np.ndarray, sigma_z: float, n_mc: int = 200, seed: int = 0, correlation_length: float | None = 500.0) -> tuple[float, float]:
-    """(dip, dip direction) uncertainty in degrees from noise of the heights and a random tilt common to the trace.
-
-    Noise moves heights only, so of a sample's scatter matrix only the row and column of z are made anew.
+class _Noise:
+    """The seeded draws for traces of n samples: heights' noise, centred, and the tilts.  Every trace has the same seed, so
+    those of one length share them.  Rows are drawn in blocks of bounded size; ``blocks`` yields (rows, noise)."""
+
+    LARGEST = 1 << 22
+
+    def __init__(self, n: int, sigma_z: float, n_mc: int, seed: int, length: float | None):
+        self.n, self.sigma, self.n_mc, self.seed = n, sigma_z, n_mc, seed
+        self.kept = [*self._drawn()] if n * n_mc <= self.LARGEST else None
+        rng = self.rng if self.kept is not None else None
+        if rng is None:
+            for _ in self._drawn():
+                pass
+            rng = self.rng
+        self.tilt = rng.normal(0.0, sigma_z / length, (n_mc, 2)) if length and length > 0 else np.zeros((n_mc, 2))
+
+    def _drawn(self):
+        self.rng = np.random.default_rng(self.seed)
+        step = max(1, self.LARGEST // self.n)
+        for lo in range(0, self.n_mc, step):
+            hi = min(self.n_mc, lo + step)
+            z = self.rng.normal(0.0, self.sigma, (hi - lo, self.n))
+            yield slice(lo, hi), z - z.mean(axis=1, keepdims=True)
+
+    def blocks(self):
+        return self.kept if self.kept is not None else self._drawn()
+
+
+def _perturbed(points: np.ndarray, noise: _Noise) -> tuple[np.ndarray, np.ndarray]:
+    """(dip, dip direction) uncertainties in degrees of m traces of n samples, points[m, n, 3].
+
+    Noise moves heights only, so of a sample's scatter matrix only the row and column of z are made anew, from the
+    products of the noise with the coordinates.
     """
-    rng = np.random.default_rng(seed)
-    z = rng.normal(0.0, sigma_z, (n_mc, len(points)))
-    centred = points - points.mean(axis=0)
-    if correlation_length and correlation_length > 0:
-        tilt = rng.normal(0.0, sigma_z / correlation_length, (n_mc, 2))
-        z += tilt @ centred[:, :2].T
-    z += centred[:, 2]
-    z -= z.mean(axis=1, keepdims=True)
-    scatter = np.empty((n_mc, 3, 3))
-    scatter[:, :2, :2] = centred[:, :2].T @ centred[:, :2]
-    scatter[:, 2, :2] = scatter[:, :2, 2] = z @ centred[:, :2]
-    scatter[:, 2, 2] = np.einsum("ij,ij->i", z, z)
+    centred = points - points.mean(axis=1, keepdims=True)
+    flat = np.swapaxes(centred, 1, 2) @ centred  # the unperturbed scatter matrices
+    m = len(points)
+    scatter = np.empty((m, noise.n_mc, 3, 3))
+    scatter[..., :2, :2] = flat[:, None, :2, :2]
+    tilt = noise.tilt
+    for rows, z in noise.blocks():
+        along, t = z @ centred, tilt[rows]
+        by_tilt = t @ flat[:, :2, :2]
+        scatter[:, rows, 2, :2] = along[..., :2] + by_tilt + flat[:, None, 2, :2]
+        own = np.einsum("ij,ij->i", z, z) + 2 * (along[..., 2] + (along[..., :2] * t).sum(axis=-1))
+        scatter[:, rows, 2, 2] = own + (by_tilt * t).sum(axis=-1) + 2 * flat[:, 2, :2] @ t.T + flat[:, None, 2, 2]
+    scatter[..., :2, 2] = scatter[..., 2, :2]
     dip, direction = _attitudes(scatter)
     a = np.radians(direction)
-    r = min(1.0, float(np.hypot(np.sin(a).mean(), np.cos(a).mean())))
-    return float(dip.std()), float(np.degrees(np.sqrt(max(0.0, -2 * np.log(max(r, 1e-12))))))
+    r = np.minimum(1.0, np.hypot(np.sin(a).mean(axis=1), np.cos(a).mean(axis=1)))
+    return dip.std(axis=1), np.degrees(np.sqrt(np.maximum(0.0, -2 * np.log(np.maximum(r, 1e-12)))))
+
+
+def monte_carlo(points: np.ndarray, sigma_z: float, n_mc: int = 200, seed: int = 0, correlation_length: float | None = 500.0) -> tuple[float, float]:
+    """(dip, dip direction) uncertainty in degrees from noise of the heights and a random tilt common to the trace."""
+    dip, direction = _perturbed(points[None], _Noise(len(points), sigma_z, n_mc, seed, correlation_length))
+    return float(dip[0]), float(direction[0])
+
+
+#: Traces of one length that are perturbed together, and lengths whose noise a task keeps.
+TOGETHER, LENGTHS_KEPT = 256, 64
 
 
 def uncertainties(samples: DataFrame, sigma_z: float = 2.0, n_mc: int = 200, seed: int = 0, correlation_length: float | None = 500.0) -> DataFrame:
-    """(trace_id, dip_uncertainty, dip_direction_uncertainty): a seeded Monte Carlo kernel for each trace."""
-
-    def kernel(trace: pa.Table) -> pa.Table:
-        seq, k = (trace.column(c).to_numpy() for c in ("seq", "k"))
-        p = np.column_stack([trace.column(c).to_numpy() for c in ("x", "y", "z")]).astype(float)[np.lexsort((k, seq))]
-        if len(p) < 3 or sigma_z <= 0:
-            out = (float("nan"), float("nan"))
-        else:
-            out = monte_carlo(p, sigma_z, n_mc, seed, correlation_length)
-        return pa.table({"trace_id": trace.column("trace_id").slice(0, 1), "dip_uncertainty": [out[0]], "dip_direction_uncertainty": [out[1]]})
-
-    return samples.select("trace_id", "seq", "k", "x", "y", "z").groupBy("trace_id").applyInArrow(kernel, "trace_id long, dip_uncertainty double, dip_direction_uncertainty double")
+    """(trace_id, dip_uncertainty, dip_direction_uncertainty): a seeded Monte Carlo of every trace; NaN below three samples.
+
+    Samples are dealt and sorted by trace; a task takes the whole traces of a batch, those of one length at once.
+    """
+
+    def run(batches):
+        noise: dict[int, _Noise] = {}
+
+        def solved(ids: np.ndarray, xyz: np.ndarray):
+            first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+            n = np.diff(np.append(first, len(ids)))
+            dip, direction = np.full(len(first), np.nan), np.full(len(first), np.nan)
+            for size in np.unique(n[(n >= 3) & (sigma_z > 0)]).tolist():
+                if size not in noise:
+                    while len(noise) >= LENGTHS_KEPT:
+                        noise.pop(next(iter(noise)))
+                    noise[size] = _Noise(size, sigma_z, n_mc, seed, correlation_length)
+                mine = np.flatnonzero(n == size)
+                step = max(1, min(TOGETHER, _Noise.LARGEST // size))
+                for part in (mine[i : i + step] for i in range(0, len(mine), step)):
+                    dip[part], direction[part] = _perturbed(xyz[first[part][:, None] + np.arange(size)], noise[size])
+            return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(dip), pa.array(direction)], names=["trace_id", "dip_uncertainty", "dip_direction_uncertainty"])
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            xyz = np.column_stack([batch.column(i).to_numpy() for i in range(1, 4)])
+            cut = int(np.searchsorted(ids, ids[-1]))  # where the last trace, which may go on, begins
+            if cut:
+                whole = [*held, (ids[:cut], xyz[:cut])]
+                yield solved(np.concatenate([w[0] for w in whole]), np.concatenate([w[1] for w in whole]))
+                held = []
+            elif held and held[-1][0][-1] != ids[0]:
+                yield solved(np.concatenate([w[0] for w in held]), np.concatenate([w[1] for w in held]))
+                held = []
+            held.append((ids[cut:], xyz[cut:]))
+        if held:
+            yield solved(np.concatenate([w[0] for w in held]), np.concatenate([w[1] for w in held]))
+
+    cells = samples.select(F.col("trace_id").cast("long").alias("trace_id"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z")), "seq", "k")
+    dealt = cells.repartition("trace_id").sortWithinPartitions("trace_id", "seq", "k").drop("seq", "k")
+    return dealt.mapInArrow(run, "trace_id long, dip_uncertainty double, dip_direction_uncertainty double")
 
 
 def reliable(conditioning: float = 1e-2, map_conditioning: float = 1e-3) -> Column:

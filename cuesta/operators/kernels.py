@@ -26,7 +26,7 @@ def _dense(grid: pd.DataFrame, value: str) -> tuple[np.ndarray, int, int]:
     return out, r0, c0
 
 
-def flooded(z: np.ndarray, around: np.ndarray, epsilon: float) -> np.ndarray:
+def levels(z: np.ndarray, around: np.ndarray, epsilon: float) -> np.ndarray:
     """Levels of a tile's cells, inf at nodata: a flood in order of height from the tile's shores and from the levels around it.
 
     z has a halo of one cell; a cell beside nodata, or beside no cell, is a shore and keeps its height.  A level is the
@@ -40,14 +40,14 @@ def flooded(z: np.ndarray, around: np.ndarray, epsilon: float) -> np.ndarray:
     level[1:-1, 1:-1] = np.where((shore & ~hole)[1:-1, 1:-1], z[1:-1, 1:-1], np.inf)
     queue = [(level[r, c], r, c) for r, c in zip(*np.nonzero(np.isfinite(level)), strict=True)]
     heapq.heapify(queue)
-    last = z.shape[0] - 1
+    low, right = z.shape[0] - 1, z.shape[1] - 1
     while queue:
         now, r, c = heapq.heappop(queue)
         if now > level[r, c]:
             continue
         for i, j in SQUARE:
             a, b = r + i, c + j
-            if 0 < a < last and 0 < b < last and not hole[a, b]:
+            if 0 < a < low and 0 < b < right and not hole[a, b]:
                 up = max(z[a, b], now + epsilon)
                 if up < level[a, b]:
                     level[a, b] = up
@@ -55,6 +55,12 @@ def flooded(z: np.ndarray, around: np.ndarray, epsilon: float) -> np.ndarray:
     return level[1:-1, 1:-1]
 
 
+def flooded(z: np.ndarray, epsilon: float = 1e-4) -> np.ndarray:
+    """A whole array raised so that every finite cell drains to its edge or to nodata."""
+    wide = np.pad(z, 1, constant_values=np.nan)
+    return np.where(np.isfinite(z), levels(wide, np.full(wide.shape, np.inf), epsilon), z)
+
+
 def fill_depressions(pixels: DataFrame, epsilon: float = 1e-4, size: int = SIZE) -> DataFrame:
     """(grid_id, r, c, z) raised so that every finite cell drains to the grid's edge or to nodata.
 
@@ -65,7 +71,7 @@ def fill_depressions(pixels: DataFrame, epsilon: float = 1e-4, size: int = SIZE)
         return {"z": np.where(np.isfinite(of["z"][1:-1, 1:-1]), state, of["z"][1:-1, 1:-1])}
 
     tiles = settled(windows(pixels, ["z"], size))
-    return wave(tiles, ["z"], lambda of, around, place: flooded(of["z"], around, epsilon), np.inf, size, last, {"z": "double"})
+    return wave(tiles, ["z"], lambda of, around, place: levels(of["z"], around, epsilon), np.inf, size, last, {"z": "double"})
 
 
 def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesta.plans import attitudes, detection, directions, rasters, scenes, scoring, sources, terrain
+from cuesta.plans import attitudes, detection, directions, oracles, rasters, scenes, scoring, sources, terrain
 from cuesta.plans.fixtures import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,10 @@ _ALL: dict[str, tuple[Query, str | None]] = {}
 for _module in (terrain, rasters, attitudes, directions, scenes, scoring, detection, sources):
     _ALL |= _module.QUERIES
 
+#: SQL of kernels whose queries stand in modules that the SQL itself builds on.
+for _name, _sql in {"a5_simplified": oracles.A5_SIMPLIFIED, "c4_thinning": oracles.C4_THINNING, "e1_gradient": oracles.E1_GRADIENT, "e5_tensor": oracles.E5_TENSOR, "h4_filled": oracles.H4_FILLED, "l11_least_cost": oracles.L11_LEAST_COST, "x7_great_circles": oracles.X7_GREAT_CIRCLES}.items():
+    _ALL[_name] = (_ALL[_name][0], _sql)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attitudes.attitudes(spark, sf_dir)

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from cuesta.functions.numeric import finite
 from cuesta.operators import attitude, detection, directional, edges, evaluation, hydrology, kernels, normalise, regions, stencils, tracing
 from cuesta.operators.fixpoint import settled
+from cuesta.plans import oracles
 from cuesta.plans.attitudes import GT
 from cuesta.plans.compare import comparable, r
 from cuesta.plans.fixtures import tables
-from cuesta.plans.rasters import HEIGHT, MASK, WIDTH, _mask
+from cuesta.plans.rasters import HEIGHT, MASK, TILE, WIDTH, _mask
 from cuesta.plans.scoring import BUDGETS
-from cuesta.plans.terrain import N9
 
 KEYS = ["grid_id", "r", "c"]
 
@@ -38,24 +38,6 @@ def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(edges.suppressed(g).select("r", "c", "nms"))
 
 
-def _sample(sign: str) -> str:
-    x, y = f"(gx {sign} 0)", f"(gy {sign} 0)"
-    side = f"CASE WHEN {x} THEN m6 ELSE m4 END"
-    along = f"CASE WHEN {y} THEN m8 ELSE m2 END"
-    corner = f"CASE WHEN {y} THEN CASE WHEN {x} THEN m9 ELSE m7 END ELSE CASE WHEN {x} THEN m3 ELSE m1 END END"
-    return f"((1-a)*((1-b)*m5+b*({side}))+a*((1-b)*({along})+b*({corner})))"
-
-
-SUPPRESSED = (
-    f"WITH {N9}, g0 AS (SELECT r, c, ((z3+2*z6+z9)-(z1+2*z4+z7))/8 AS gx, ((z7+2*z8+z9)-(z1+2*z2+z3))/8 AS gy, isfinite(z5) AS ok FROM n9),"
-    " g AS (SELECT r, c, gx, gy, CASE WHEN ok AND isfinite(sqrt(gx*gx+gy*gy)) THEN sqrt(gx*gx+gy*gy) ELSE 0 END AS m FROM g0), w AS (SELECT p.r, p.c, p.gx, p.gy, "
-    + ", ".join(f"q{k}.m AS m{k}" for k in range(1, 10))
-    + " FROM g p "
-    + " ".join(f"JOIN g q{3 * (i + 1) + j + 2} ON q{3 * (i + 1) + j + 2}.r = least(greatest(p.r + ({i}), 0), 47) AND q{3 * (i + 1) + j + 2}.c = least(greatest(p.c + ({j}), 0), 47)" for i in (-1, 0, 1) for j in (-1, 0, 1))
-    + f"), u AS (SELECT *, abs(gy/(m5+1e-12)) AS a, abs(gx/(m5+1e-12)) AS b FROM w) SELECT r, c, {r(f'CASE WHEN m5 > 0 AND m5 >= {_sample(chr(62))} AND m5 >= {_sample(chr(60))} THEN m5 ELSE 0 END', 'nms')} FROM u"
-)
-
-
 def held_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hysteresis of the masked cells' heights between 230 and 260."""
     dem = _dem(spark, sf_dir)
@@ -69,11 +51,11 @@ HELD = """WITH RECURSIVE n AS (SELECT r*48+c AS v, r, c, z FROM fx_dem WHERE isf
 
 
 def canny_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.canny(_dem(spark, sf_dir)).select("r", "c")
+    return edges.canny(_dem(spark, sf_dir), size=TILE).select("r", "c")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = kernels.structure_tensor(_dem(spark, sf_dir), ["z"])
+    t = kernels.structure_tensor(_dem(spark, sf_dir), ["z"], size=TILE)
     return comparable(t.select("r", "c", *(edges.tensor_response(t, k).alias(k) for k in ("anisotropy", "coherence", "lambda1"))))
 
 
@@ -220,7 +202,7 @@ def path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windowed_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least cost within two cells of (24, 24): few enough paths to list in SQL."""
-    return comparable(kernels.cost_to_all(settled(_cost(spark, sf_dir)), (24, 24), margin=2).select("r", "c", "distance"))
+    return comparable(kernels.cost_to_all(settled(_cost(spark, sf_dir)), (24, 24), margin=2, size=TILE).select("r", "c", "distance"))
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,32 +392,32 @@ def averaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 AVERAGED = f"SELECT r, c, {r('CASE WHEN isfinite(z) THEN (z+r+c)/2 ELSE r+c END', 'mean')} FROM fx_dem"
 
 QUERIES = {
-    "e2_suppressed": (suppressed, SUPPRESSED),
+    "e2_suppressed": (suppressed, oracles.E2_SUPPRESSED),
     "e3_hysteresis": (held_edges, HELD),
-    "e4_canny": (canny_edges, None),
-    "e8_responses": (responses, None),
-    "e9_linear_response": (linear, None),
+    "e4_canny": (canny_edges, oracles.E4_CANNY),
+    "e8_responses": (responses, oracles.E8_RESPONSES),
+    "e9_linear_response": (linear, oracles.E9_LINEAR),
     "e13_classical": (classical, None),
     "b14_composite": (composite, COMPOSITE),
     "b12_averaged": (averaged, AVERAGED),
-    "c6_chains": (skeleton_chains, None),
+    "c6_chains": (skeleton_chains, oracles.C6_CHAINS),
     "a6_polylines": (polylines, None),
     "a7_extracted": (extracted, None),
     "a9_linked": (linked, None),
-    "h5_network": (network, None),
-    "h6_channels": (channels, None),
+    "h5_network": (network, oracles.H5_NETWORK),
+    "h6_channels": (channels, oracles.H6_CHANNELS),
     "h8_fractions": (fractions, FRACTIONS),
     "h12_flags": (flagged, None),
-    "h13_density": (density, None),
+    "h13_density": (density, oracles.H13_DENSITY),
     "l2_cost": (cost, COST),
     "l3_strength": (strength, None),
     "l4_trace_cost": (trace_cost, None),
-    "l6_incoherence": (incoherence, None),
+    "l6_incoherence": (incoherence, oracles.L6_INCOHERENCE),
     "l8_snap_field": (snap_field, SNAP_FIELD),
     "l9_snapped": (snapped, SNAPPED),
     "l10_graph": (graph, GRAPH),
-    "l11_windowed_cost": (windowed_cost, None),
-    "l13_path": (path, None),
+    "l11_windowed_cost": (windowed_cost, oracles.windowed(COST)),
+    "l13_path": (path, oracles.path(COST)),
     "l14_legs": (replayed, REPLAYED),
     "l14_replayed": (wired, None),
     "m7_candidates": (candidates, None),
@@ -449,7 +431,7 @@ QUERIES = {
     "q15_subsample": (picked, None),
     "q17_misses": (misses, MISSES),
     "q18_alignment_sweep": (sweep, SWEEP),
-    "q18_densities": (densities, None),
+    "q18_densities": (densities, oracles.Q18_DENSITIES),
     "q19_scorecard": (card, CARD),
     "q20_residual": (residual, RESIDUAL),
     "q21_audit": (audit, AUDIT),

@@ -11,6 +11,8 @@ from cuesta.plans.compare import comparable, r
 from cuesta.plans.fixtures import tables
 
 HEIGHT = WIDTH = 48
+#: Tiles of these queries: 4 x 4 of them.
+TILE = 12
 #: The mask of these queries: scattered cells.
 MASK = "m AS (SELECT grid_id, r, c FROM fx_dem WHERE isfinite(z) AND (CAST(z*4 AS BIGINT)*7 + r*3 + c) % 5 = 0)"
 
@@ -45,11 +47,11 @@ RING_COUNTS = f"WITH {MASK}, p AS (SELECT m.r, m.c, " + ", ".join(f"CAST(EXISTS
 
 
 def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.thin(_mask(_dem(spark, sf_dir))).select("r", "c")
+    return regions.thin(_mask(_dem(spark, sf_dir)), size=TILE, reach=3).select("r", "c")
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.components(_mask(_dem(spark, sf_dir))).select("r", "c", "label")
+    return regions.components(_mask(_dem(spark, sf_dir)), size=TILE).select("r", "c", "label")
 
 
 COMPONENTS = f"""WITH RECURSIVE {MASK}, n AS (SELECT r*48+c AS v, r, c FROM m), w(v, u) AS (SELECT v, v FROM n UNION SELECT w.v, b.v FROM w JOIN n a ON a.v = w.u JOIN n b ON abs(a.r-b.r) <= 1 AND abs(a.c-b.c) <= 1)
@@ -86,7 +88,7 @@ FLOW = f"WITH {D8} SELECT p.r, p.c, d8.dr, d8.dc, {r('((degrees(atan2(d8.dc, -d8
 
 
 def accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hydrology.flow_accumulation(hydrology.flow_directions(_dem(spark, sf_dir))).select("r", "c", "accumulation")
+    return hydrology.flow_accumulation(hydrology.flow_directions(_dem(spark, sf_dir)), size=TILE).select("r", "c", "accumulation")
 
 
 ACCUMULATION = f"""WITH RECURSIVE {D8}, w(r, c) AS (SELECT r, c FROM fx_dem WHERE isfinite(z) UNION ALL SELECT w.r + d8.dr, w.c + d8.dc FROM w JOIN d8 ON d8.r = w.r AND d8.c = w.c),
@@ -117,15 +119,15 @@ PROXIMITY = f"""WITH RECURSIVE {D8}, w(r, c) AS (SELECT r, c FROM fx_dem WHERE i
 
 
 def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(kernels.fill_depressions(_dem(spark, sf_dir)).select("r", "c", "z"))
+    return comparable(kernels.fill_depressions(_dem(spark, sf_dir), size=TILE).select("r", "c", "z"))
 
 
 def gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(kernels.gaussian_gradient(_dem(spark, sf_dir)).select("r", "c", "gx", "gy"))
+    return comparable(kernels.gaussian_gradient(_dem(spark, sf_dir), size=TILE).select("r", "c", "gx", "gy"))
 
 
 def tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(kernels.structure_tensor(_dem(spark, sf_dir), ["z"]).drop("grid_id"))
+    return comparable(kernels.structure_tensor(_dem(spark, sf_dir), ["z"], size=TILE).drop("grid_id"))
 
 
 def simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +137,7 @@ def simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def least_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least cost from the grid's centre over stretched heights."""
     p = normalise.cost_norm(_dem(spark, sf_dir), "z", finite("z"), "cost").withColumn("cost", F.col("cost") + 0.1)
-    return comparable(kernels.cost_to_all(p, (24, 24)).select("r", "c", "distance"))
+    return comparable(kernels.cost_to_all(p, (24, 24), size=TILE).select("r", "c", "distance"))
 
 
 QUERIES = {

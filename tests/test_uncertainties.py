@@ -43,4 +43,19 @@ def test_order_of_rows_and_short_traces(spark):
     out = {r.trace_id: r[1:] for r in attitude.uncertainties(samples).collect()}
     assert out[1] == pytest.approx(attitude.monte_carlo(points, 2.0), abs=1e-9)
     assert np.isnan(out[2]).all()
+    for size in ("7", "1000"):  # traces that span batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            many = samples.union(samples.where("trace_id = 1").withColumn("trace_id", samples.trace_id + 4)).union(samples.where("trace_id = 1 AND seq < 2").withColumn("trace_id", samples.trace_id + 2))
+            again = {r.trace_id: r[1:] for r in attitude.uncertainties(many).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert set(again) == {1, 2, 3, 5} and again[1] == again[5] == pytest.approx(out[1], abs=1e-12)
+        assert again[3] == pytest.approx(attitude.monte_carlo(points[:20], 2.0), abs=1e-9)
     assert not attitude.uncertainties(samples.where("false")).collect()
+
+
+def test_noise_drawn_in_blocks_is_the_same(monkeypatch):
+    whole = attitude.monte_carlo(trace(40), 2.0, 60, 7)
+    monkeypatch.setattr(attitude._Noise, "LARGEST", 500)
+    assert attitude.monte_carlo(trace(40), 2.0, 60, 7) == pytest.approx(whole, abs=1e-12)
