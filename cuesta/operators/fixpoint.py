@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares; one of our own in local mode only."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -30,7 +30,7 @@ def settled(df: DataFrame) -> DataFrame:
     with a join in every round they double their digits.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/cuesta/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cuesta/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

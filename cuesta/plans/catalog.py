@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesta.plans import attitudes, detection, directions, oracles, rasters, scenes, scoring, sources, terrain
+from cuesta.plans import attitudes, detection, directions, further, oracles, rasters, scenes, scoring, sources, terrain
 from cuesta.plans.fixtures import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _ALL: dict[str, tuple[Query, str | None]] = {}
-for _module in (terrain, rasters, attitudes, directions, scenes, scoring, detection, sources):
+for _module in (terrain, rasters, attitudes, directions, scenes, scoring, detection, sources, further):
     _ALL |= _module.QUERIES
 
 #: SQL of kernels whose queries stand in modules that the SQL itself builds on.
