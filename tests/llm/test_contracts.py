@@ -155,3 +155,11 @@ def test_awkward_rows(spark, rows, name):
         "toxicity": lambda: toxicity.digest(docs, labels, held_out("doc_id", 5, 0)),
     }[name]
     assert len(run().collect()) == len(rows)
+
+
+def test_bpe_with_little_memory(spark):
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one, two = (sorted(map(tuple, bpe.digest(docs, public_tokenizers.path(q.VOCABULARY), public_tokenizers.PATTERN, *few).collect())) for few in ((), (300, 50)))
+    assert one == two
