@@ -11,9 +11,16 @@ each node's marginals; a candidate that is no base span becomes one more span
 if its marginal for a kind is at least ``sure``, whether its document has base
 spans or not.
 
-Weights are learned from the base spans of all documents as labels: shapes,
-neighbours and skip pairs are counted in one pass, which leaves a table as
-large as the number of different shapes.  Skip edges tie each occurrence to
+Weights are learned by hiding base spans: a hidden one is shown in the looser
+shapes that its kind is also written in, and the field must tell it from the
+candidates that are neither base nor like a base span.  Pairs of like candidates
+count where both are base or neither is, so a skip edge carries a kind from a
+mention that the patterns know to those that they do not.  What a kind cannot be
+is ruled out for every candidate (``possible``): a card has 16 to 19 digits and
+passes Luhn, a phone has 8 to 15 digits, an ip four parts of at most 255, an
+email an @, spelled out or not, and a host with a dot.  All is counted in one
+pass, which leaves a table as large as the number of different shapes.
+Skip edges tie each occurrence to
 the last and to the first alike, so their number is linear in the candidates.
 
 Defined cases: null and empty texts have no spans; repeated rows give equal
@@ -44,6 +51,8 @@ _WORTH = re.compile(r"[0-9@]").search
 _CANDIDATES = re.compile(r"[0-9@]|[\[(]at[\])]").search
 
 Span = tuple[str, int, int]
+#: Pairs of like candidates of each label that are taken to have been seen agreeing, so that kinds without repeats agree too.
+ALIKE = 50.0
 
 
 def luhn(digits: str) -> bool:
@@ -88,8 +97,31 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+_EMAIL = re.compile(r"[a-z0-9._%+-]+@[a-z0-9-]+(\.[a-z0-9-]+)+").fullmatch
+_PARTS = re.compile(r"[0-9]{1,3}( ?\. ?[0-9]{1,3}){3}").fullmatch
+
+
+def possible(s: str, digits: str, address: str | None) -> tuple[bool, ...]:
+    """Which labels a candidate can have, whatever speaks for them."""
+    if address is not None:
+        return (True, _EMAIL(address) is not None, False, False, False)
+    ip = _PARTS(s) is not None and all(int(x) <= 255 for x in s.split("."))
+    return (True, False, ip, 16 <= len(digits) <= 19 and luhn(digits), 8 <= len(digits) <= 15)
+
+
+def hidden(shape: tuple[int, ...], kind: str) -> list[tuple[tuple[int, ...], int]]:
+    """Shapes that a base span of this kind would have, written in ways that the patterns do not know, with their weights
+    in hundredths.  Bare numbers are mostly something else, so they need more than their shape."""
+    if kind == "email":
+        return [(shape, 100)]
+    if kind == "phone":
+        address, digits, dots, dashes, spaces, _, bracket, word = shape
+        return [((address, n, dots, dashes, spaces, 0, bracket, word), 60) for n in (digits, max(digits - 1, 0))]
+    return [(shape, 60)]
+
+
 class Node:
-    __slots__ = ("base", "end", "key", "label", "shape", "start")
+    __slots__ = ("base", "can", "end", "key", "label", "shape", "start")
 
     def __init__(self, text: str, start: int, end: int, kind: str | None = None):
         self.start, self.end = start, end
@@ -104,6 +136,7 @@ class Node:
             s = plain  # spelled out or not, an address has one shape
         else:
             self.key = "d" + digits if len(digits) >= 7 else ""
+        self.can = possible(s, digits, plain if address else None)
         before = text[max(0, start - 12) : start].split()
         word = before[-1].strip(":=\"'").lower() if before else ""
         self.shape = (
@@ -185,13 +218,13 @@ class Field:
         unary: dict[tuple, np.ndarray] = {f: w[j] for f, j in index.items()}
         unary[()] = w[-1]
 
-        def table(t: np.ndarray) -> np.ndarray:
-            t = t + t.T + 0.5
+        def table(t: np.ndarray, least: float, alike: float = 0.0) -> np.ndarray:
+            t = t + t.T + least + alike * np.eye(len(LABELS))
             p = t / t.sum()
             m = p.sum(axis=0)
-            return np.clip(np.log(p) - np.log(np.outer(m, m)), -6, 6)
+            return np.clip(np.log(p) - np.log(np.outer(m, m)), -12, 6)
 
-        return Field(unary, table(chain), table(skip), **options)
+        return Field(unary, table(chain, 20.0), table(skip, 0.001, ALIKE), **options)
 
     def _local(self, n: Node) -> np.ndarray:
         z = self.unary.get((), np.zeros(len(LABELS))).copy()
@@ -200,6 +233,8 @@ class Field:
                 z += self.unary[f]
         if n.base:
             z[n.label] += 20  # observed
+        else:
+            z[~np.array(n.can)] = -1e3
         return z - z.max()
 
     def marginals(self, items: list[Node], skips: list[tuple[int, int]]) -> np.ndarray:
@@ -259,12 +294,21 @@ def learn(docs: DataFrame, **options) -> Field:
                 if not _CANDIDATES(text):
                     continue
                 items = nodes(text, base_spans(text))
-                shapes.update((n.shape, n.label) for n in items)
-                for n, m in zip(items, items[1:], strict=False):
-                    if m.start - n.end < 40:
+                pairs = skip_edges(items)
+                like = {i for a, b in pairs for i in (a, b) if items[a].base or items[b].base}
+                for i, n in enumerate(items):
+                    if n.base:
+                        for shape, weight in hidden(n.shape, KINDS[n.label - 1]):
+                            shapes[shape, n.label] += weight
+                    elif i not in like and not n.can[1]:  # a whole address that is spelled out speaks for itself
+                        shapes[n.shape, 0] += 100
+                told = [n.base or i not in like for i, n in enumerate(items)]
+                for i, (n, m) in enumerate(zip(items, items[1:], strict=False)):
+                    if m.start - n.end < 40 and told[i] and told[i + 1]:
                         chain[n.label, m.label] += 1
-                for a, b in skip_edges(items):
-                    skip[items[a].label, items[b].label] += 1
+                for a, b in pairs:
+                    if items[a].base == items[b].base:
+                        skip[items[a].label, items[b].label] += 1
         rows = [("shape", ",".join(map(str, s)), label, c) for (s, label), c in shapes.items()]
         for name, t in (("chain", chain), ("skip", skip)):
             rows += [(name, str(i), j, int(t[i, j])) for i, j in zip(*np.nonzero(t), strict=True)]
