@@ -12,8 +12,10 @@ is featured with the lexicon of the other half, so trees see term features as
 they will be on new text; a third of the sample, not used for the trees, fits
 the isotonic map from margin to probability.
 
-Learning uses a bounded sample of labelled rows (``max_rows``).  Null and
-empty texts are scored like an empty text; with one class only, or none, the
+Learning uses a bounded sample of labelled rows (``max_rows``), and of its terms
+the ``max_terms`` whose odds differ most surely: terms of that sample, whatever
+the corpus.  If a third of the sample, or the rest, lacks a class, the trees and
+the calibration learn from the same rows.  Null and empty texts are scored like an empty text; with one class only, or none, the
 score is that class's (0 without labels).
 """
 
