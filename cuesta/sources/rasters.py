@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuesta.functions.grid import Transform, pixels_to_world, world_cell
 from cuesta.functions.numeric import finite, nan
+from cuesta.functions.projection import from_utm
 from cuesta.operators.normalise import gdal_cells, read_cells
 from cuesta.operators.polyline import sample_bilinear
 
@@ -46,6 +47,15 @@ def aligned(source: DataFrame, source_gt: Transform, target: DataFrame, target_g
     return at.withColumn("_r", r).withColumn("_c", c).join(values, ["_r", "_c"], "left").select("grid_id", "r", "c", F.coalesce("z", nan()).alias("z"))
 
 
+def warped(source: DataFrame, source_gt: Transform, target: DataFrame, target_gt: Transform, zone: int, north: bool = True) -> DataFrame:
+    """target(grid_id, r, c), a grid in UTM metres of a zone, with z of a source grid in degrees (x is the longitude),
+    bilinear at the target's pixel centres; NaN outside."""
+    x, y = pixels_to_world("r", "c", target_gt)
+    at = target.select(F.col("grid_id").alias("_g"), F.col("r").alias("_tr"), F.col("c").alias("_tc"), x.alias("_e"), y.alias("_n"), F.lit(zone).alias("_z"), F.lit(north).alias("_north"))
+    placed = from_utm(at, "_e", "_n", "_z", "_north").withColumnsRenamed({"lon": "x", "lat": "y"})
+    return sample_bilinear(placed, source, source_gt).select(F.col("_g").alias("grid_id"), F.col("_tr").alias("r"), F.col("_tc").alias("c"), "z")
+
+
 def write_grid(pixels: DataFrame, path: str, bands: Sequence[str], nodata: float = NODATA, mode: str = "error") -> None:
     """Bands in long form under path/grid_id=.../band=..., as floats with nodata for what is not finite."""
     long = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), gdal_cells(b, nodata).alias("value")) for b in bands))).alias("_v")

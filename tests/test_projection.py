@@ -41,3 +41,16 @@ def test_a_neighbouring_zone(spark):
     p = spark.createDataFrame([(12.5, 47.0, 32)], "lon double, lat double, z int")  # a degree and a half past the zone's edge
     r = projection.from_utm(projection.to_utm(p, zone="z").drop("lon", "lat"), zone="z").first()
     assert r.lon == pytest.approx(12.5, abs=1e-9) and r.lat == pytest.approx(47.0, abs=1e-9) and r.easting > 750_000
+
+
+def test_warping_a_plane_of_degrees(spark):
+    from cuesta.sources.rasters import lattice, warped
+
+    degrees = lattice(spark, 60, 60).selectExpr("grid_id", "r", "c", "2 * (9 + (c + 0.5) / 100) - 3 * (47.6 - (r + 0.5) / 100) AS z")
+    gt = (520_000.0, 500.0, 0, 5_240_000.0, 0, -500.0)
+    out = warped(degrees, (9.0, 0.01, 0, 47.6, 0, -0.01), lattice(spark, 20, 20, "t"), gt, 32).collect()
+    back = projection.from_utm(lattice(spark, 20, 20, "t").selectExpr("r", "c", "520000 + (c + 0.5) * 500 AS easting", "5240000 - (r + 0.5) * 500 AS northing", "32 AS zone", "true AS north")).collect()
+    want = {(x.r, x.c): 2 * x.lon - 3 * x.lat for x in back}
+    assert len(out) == 400 and all(x.grid_id == "t" and x.z == pytest.approx(want[x.r, x.c], abs=1e-9) for x in out)
+    far = warped(degrees, (9.0, 0.01, 0, 47.6, 0, -0.01), lattice(spark, 1, 1, "t"), (100_000.0, 500.0, 0, 5_240_000.0, 0, -500.0), 32).first()
+    assert np.isnan(far.z)
