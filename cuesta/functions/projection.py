@@ -73,31 +73,31 @@ def to_utm(points: DataFrame, lon: str = "lon", lat: str = "lat", zone: str | No
     p = points if zone else points.withColumn("zone", utm_zone(lon))
     phi, turn = F.radians(col(lat)), F.radians(F.pmod(col(lon) - central_meridian(zone or "zone") + 180, F.lit(360.0)) - 180)
     s = F.sin(phi)
-    p = held(p, {"_t": F.sinh(F.atanh(s) - ECCENTRICITY * F.atanh(ECCENTRICITY * s)), "_c": F.cos(turn), "_s": F.sin(turn)})
-    p = held(p, {"_x": F.atan2(F.col("_t"), F.col("_c")), "_y": F.asinh(F.col("_s") / F.hypot("_t", "_c"))})
-    along, across = _sums(F.col("_x"), F.col("_y"), FORWARD)
+    p = held(p, {"_utm_t": F.sinh(F.atanh(s) - ECCENTRICITY * F.atanh(ECCENTRICITY * s)), "_utm_c": F.cos(turn), "_utm_s": F.sin(turn)})
+    p = held(p, {"_utm_x": F.atan2(F.col("_utm_t"), F.col("_utm_c")), "_utm_y": F.asinh(F.col("_utm_s") / F.hypot("_utm_t", "_utm_c"))})
+    along, across = _sums(F.col("_utm_x"), F.col("_utm_y"), FORWARD)
     north = col(lat) >= 0
-    p = p.withColumn("north", north).withColumn("easting", FALSE_EASTING + SCALE * RADIUS * (F.col("_y") + across))
-    p = p.withColumn("northing", F.when(north, 0.0).otherwise(FALSE_NORTHING) + SCALE * RADIUS * (F.col("_x") + along))
-    return p.drop("_t", "_c", "_s", "_x", "_y")
+    p = p.withColumn("north", north).withColumn("easting", FALSE_EASTING + SCALE * RADIUS * (F.col("_utm_y") + across))
+    p = p.withColumn("northing", F.when(north, 0.0).otherwise(FALSE_NORTHING) + SCALE * RADIUS * (F.col("_utm_x") + along))
+    return p.drop("_utm_t", "_utm_c", "_utm_s", "_utm_x", "_utm_y")
 
 
 def from_utm(points: DataFrame, easting: str = "easting", northing: str = "northing", zone: str = "zone", north: str = "north") -> DataFrame:
     """points with lon and lat in degrees of UTM coordinates; the latitude comes from the conformal one by three of Newton's steps."""
     _free(points, "lon", "lat")
     x = (col(northing) - F.when(col(north), 0.0).otherwise(FALSE_NORTHING)) / (SCALE * RADIUS)
-    p = held(points, {"_x": x, "_y": (col(easting) - FALSE_EASTING) / (SCALE * RADIUS)})
-    along, across = _sums(F.col("_x"), F.col("_y"), INVERSE)
-    p = held(p, {"_p": F.col("_x") - along, "_q": F.col("_y") - across})
-    p = held(p, {"_u": F.sin("_p") / F.hypot(F.sinh("_q"), F.cos("_p")), "_w": F.atan2(F.sinh("_q"), F.cos("_p"))})
+    p = held(points, {"_utm_x": x, "_utm_y": (col(easting) - FALSE_EASTING) / (SCALE * RADIUS)})
+    along, across = _sums(F.col("_utm_x"), F.col("_utm_y"), INVERSE)
+    p = held(p, {"_utm_p": F.col("_utm_x") - along, "_utm_q": F.col("_utm_y") - across})
+    p = held(p, {"_utm_u": F.sin("_utm_p") / F.hypot(F.sinh("_utm_q"), F.cos("_utm_p")), "_utm_w": F.atan2(F.sinh("_utm_q"), F.cos("_utm_p"))})
     e2 = ECCENTRICITY**2
-    p = p.withColumn("_v", F.col("_u"))
+    p = p.withColumn("_utm_v", F.col("_utm_u"))
     for _ in range(3):
-        v, h = F.col("_v"), F.sqrt(1 + F.col("_v") * F.col("_v"))
-        p = held(p, {"_h": h, "_g": F.sinh(ECCENTRICITY * F.atanh(ECCENTRICITY * v / h))})
-        here = v * F.sqrt(1 + F.col("_g") * F.col("_g")) - F.col("_g") * F.col("_h")
-        p = held(p, {"_k": here})
-        step = (F.col("_u") - F.col("_k")) / F.sqrt(1 + F.col("_k") * F.col("_k")) * (1 + (1 - e2) * v * v) / ((1 - e2) * F.col("_h"))
-        p = held(p, {"_n": v + step}).drop("_v", "_h", "_g", "_k").withColumnRenamed("_n", "_v")
-    lon = F.pmod(F.degrees(F.col("_w")) + central_meridian(zone) + 180, F.lit(360.0)) - 180
-    return p.withColumn("lon", lon).withColumn("lat", F.degrees(F.atan(F.col("_v")))).drop("_x", "_y", "_p", "_q", "_u", "_w", "_v")
+        v, h = F.col("_utm_v"), F.sqrt(1 + F.col("_utm_v") * F.col("_utm_v"))
+        p = held(p, {"_utm_h": h, "_utm_g": F.sinh(ECCENTRICITY * F.atanh(ECCENTRICITY * v / h))})
+        here = v * F.sqrt(1 + F.col("_utm_g") * F.col("_utm_g")) - F.col("_utm_g") * F.col("_utm_h")
+        p = held(p, {"_utm_k": here})
+        step = (F.col("_utm_u") - F.col("_utm_k")) / F.sqrt(1 + F.col("_utm_k") * F.col("_utm_k")) * (1 + (1 - e2) * v * v) / ((1 - e2) * F.col("_utm_h"))
+        p = held(p, {"_utm_n": v + step}).drop("_utm_v", "_utm_h", "_utm_g", "_utm_k").withColumnRenamed("_utm_n", "_utm_v")
+    lon = F.pmod(F.degrees(F.col("_utm_w")) + central_meridian(zone) + 180, F.lit(360.0)) - 180
+    return p.withColumn("lon", lon).withColumn("lat", F.degrees(F.atan(F.col("_utm_v")))).drop("_utm_x", "_utm_y", "_utm_p", "_utm_q", "_utm_u", "_utm_w", "_utm_v")
