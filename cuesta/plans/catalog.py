@@ -16,7 +16,7 @@ for _module in (terrain, rasters, attitudes, directions, scenes, scoring, detect
     _ALL |= _module.QUERIES
 
 #: SQL of kernels whose queries stand in modules that the SQL itself builds on.
-for _name, _sql in {"a5_simplified": oracles.A5_SIMPLIFIED, "c4_thinning": oracles.C4_THINNING, "e1_gradient": oracles.E1_GRADIENT, "e5_tensor": oracles.E5_TENSOR, "h4_filled": oracles.H4_FILLED, "l11_least_cost": oracles.L11_LEAST_COST, "x7_great_circles": oracles.X7_GREAT_CIRCLES}.items():
+for _name, _sql in {"a5_simplified": oracles.A5_SIMPLIFIED, "c4_thinning": oracles.C4_THINNING, "e1_gradient": oracles.E1_GRADIENT, "e5_tensor": oracles.E5_TENSOR, "h4_filled": oracles.H4_FILLED, "l11_least_cost": oracles.L11_LEAST_COST, "x7_great_circles": oracles.X7_GREAT_CIRCLES, "x12_fabrics": oracles.fabrics(directions._UNITS), "x13_fold_axes": oracles.fold_axes("id % 7 = 0", 6), "x14_fold_axes": oracles.fold_axes()}.items():
     _ALL[_name] = (_ALL[_name][0], _sql)
 
 

@@ -11,7 +11,10 @@ from cuesta.functions import angles, projection
 from cuesta.functions.numeric import finite
 from cuesta.operators import attitude, directional, polyline
 from cuesta.operators.fixpoint import shared_folder
-from cuesta.plans.compare import comparable, r
+from cuesta.plans import oracles
+from cuesta.plans.attitudes import GT, SAMPLED
+from cuesta.plans.compare import comparable, r, rounded
+from cuesta.plans.directions import _UNITS, _vectors
 from cuesta.plans.fixtures import tables
 from cuesta.sources import rasters
 
@@ -99,7 +102,21 @@ def written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WRITTEN = f"SELECT grid_id, r, c, {r('z', 'z', 3)}, isfinite(z) AS known FROM fx_dem"
 
+def axial_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(directional.axial_mean(_vectors(spark, sf_dir), "label"), 4)
+
+
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plane of every trace with eight samples or more."""
+    t = tables(spark, sf_dir)
+    fits = attitude.fit_planes(polyline.sample_trace(t["fx_vert"], t["fx_dem"], GT, 30.0), 8)
+    wide = fits.select("trace_id", F.col("n_samples").cast("long").alias("n_samples"), *(rounded(c, k).alias(c) for c, k in (("strike", 3), ("dip", 4), ("dip_direction", 3), ("conditioning", 5), ("planarity", 5), ("residual_rms", 4))))
+    return wide
+
+
 QUERIES = {
+    "m1_planes": (planes, oracles.planes(SAMPLED)),
+    "x13_axial_means": (axial_means, oracles.axial(_UNITS)),
     "p7_utm": (utm, UTM),
     "x11_poles": (poles, POLES),
     "l12_straight": (straight, STRAIGHT),

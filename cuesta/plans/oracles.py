@@ -219,3 +219,63 @@ X7_GREAT_CIRCLES = (
     " v AS (SELECT id, k, cos(t)*sin(s)+sin(t)*cos(d)*cos(s) AS x, cos(t)*cos(s)-sin(t)*cos(d)*sin(s) AS y, -sin(t)*sin(d) AS z FROM p)"
     f" SELECT id, CAST(k AS INTEGER) AS k, {r('x/sqrt(1-z)', 'u')}, {r('y/sqrt(1-z)', 'v')} FROM v"
 )
+
+
+def eigen(source: str, vectors: dict[str, str]) -> str:
+    """CTEs that end in v: source(..., xx, yy, zz, xy, xz, yz) with s1 >= s2 >= s3 and a unit vector <n>x, <n>y, <n>z for
+    each name and eigenvalue in ``vectors``: the roots by the cosine formula, a vector as the longest cross product of rows."""
+    out = (
+        f"e0 AS (SELECT *, (xx+yy+zz)/3 AS q FROM {source}), e1 AS (SELECT *, sqrt((pow(xx-q, 2)+pow(yy-q, 2)+pow(zz-q, 2)+2*(xy*xy+xz*xz+yz*yz))/6) AS p FROM e0),"
+        " e2 AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1, least(1, ((xx-q)*((yy-q)*(zz-q)-yz*yz)-xy*(xy*(zz-q)-yz*xz)+xz*(xy*yz-(yy-q)*xz))/(p*p*p)/2)))/3 ELSE 0 END AS f FROM e1),"
+        " e3 AS (SELECT *, q+2*p*cos(f) AS s1, q+2*p*cos(f+2*pi()/3) AS s3, 3*q-(q+2*p*cos(f))-(q+2*p*cos(f+2*pi()/3)) AS s2 FROM e2)"
+    )
+    last = "e3"
+    for n, s in vectors.items():
+        a, b, c = (f"xx-{s}", "xy", "xz"), ("xy", f"yy-{s}", "yz"), ("xz", "yz", f"zz-{s}")
+        crosses = []
+        for i, (u, w) in enumerate(((a, b), (a, c), (b, c))):
+            x, y, z = (f"(({u[j]})*({w[k]})-({u[k]})*({w[j]}))" for j, k in ((1, 2), (2, 0), (0, 1)))
+            crosses.append(f"{{'d': {x}*{x}+{y}*{y}+{z}*{z}, 'i': {-i}, 'x': {x}, 'y': {y}, 'z': {z}}}")
+        out += f", {n}0 AS (SELECT *, list_max([{', '.join(crosses)}]) AS {n} FROM {last}), {n}1 AS (SELECT *, {n}.x/sqrt({n}.d) AS {n}x, {n}.y/sqrt({n}.d) AS {n}y, {n}.z/sqrt({n}.d) AS {n}z FROM {n}0)"
+        last = f"{n}1"
+    return f"{out}, v AS (SELECT * FROM {last})"
+
+
+def line(n: str) -> tuple[str, str]:
+    """(trend, plunge) of the vector's line, turned down."""
+    up = f"CASE WHEN {n}z > 0 THEN -1 ELSE 1 END"
+    return f"((degrees(atan2({up}*{n}x, {up}*{n}y)) % 360) + 360) % 360", f"degrees(asin(least(1, greatest(-1, -({up}*{n}z)))))"
+
+
+_SHAPE = ("(ln(greatest(s1, 1e-12))-ln(greatest(s2, 1e-12)))/(ln(greatest(s2, 1e-12))-ln(greatest(s3, 1e-12)))", "ln(greatest(s1, 1e-12))-ln(greatest(s3, 1e-12))")
+_TENSOR = "count(*) AS n, " + ", ".join(f"avg({a}*{b}) AS {a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))
+
+
+def fabrics(units: str) -> str:
+    """units: CTEs that end in v(label, x, y, z)."""
+    body = eigen("t", {"g": "s1", "h": "s3"}).replace(", v AS (", ", w AS (")
+    return f"WITH {units}, t AS (SELECT label, {_TENSOR} FROM v GROUP BY label), {body} SELECT label, n, {r('s1', 's1', 4)}, {r('s2', 's2', 4)}, {r('s3', 's3', 4)}, {r(_SHAPE[0], 'k', 4)}, {r(_SHAPE[1], 'c', 4)}, {r(line('g')[0], 'trend1', 4)}, {r(line('g')[1], 'plunge1', 4)}, {r(line('h')[0], 'trend3', 4)}, {r(line('h')[1], 'plunge3', 4)} FROM w"
+
+
+def axial(units: str) -> str:
+    body = eigen("t", {"a": "s1"}).replace(", v AS (", ", w AS (")
+    return f"WITH {units}, t AS (SELECT label, {_TENSOR} FROM v GROUP BY label), {body} SELECT label, {r(line('a')[0], 'trend', 4)}, {r(line('a')[1], 'plunge', 4)}, {r('s1', 'concentration', 4)} FROM w"
+
+
+def fold_axes(where: str = "true", places: int = 4) -> str:
+    poles = f"o AS (SELECT region, cos(radians(90-dip))*sin(radians(strike-90)) AS x, cos(radians(90-dip))*cos(radians(strike-90)) AS y, -sin(radians(90-dip)) AS z FROM fx_att WHERE {where})"
+    body = eigen("t", {"a": "s3"})
+    fabric = f"CASE WHEN {_SHAPE[1]} < 0.3 THEN 'weak' WHEN {_SHAPE[0]} < 1 THEN 'girdle' ELSE 'cluster' END"
+    return f"WITH {poles}, t AS (SELECT region, {_TENSOR} FROM o GROUP BY region), {body} SELECT region, n, {r(line('a')[0], 'trend', places)}, {r(line('a')[1], 'plunge', places)}, {r(_SHAPE[0], 'k', places)}, {r(_SHAPE[1], 'c', places)}, {fabric} AS fabric FROM v"
+
+
+def planes(sampled: str) -> str:
+    """Strike, dip and the quality of the fits of samples v(trace_id, x, y, z) that the CTEs end in."""
+    body = eigen("t", {"a": "s3"}).replace(", v AS (", ", w AS (")
+    sums = ", ".join(f"sum((v.{a}-m.{a})*(v.{b}-m.{b})) AS {a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    up = "CASE WHEN az < 0 THEN -1 ELSE 1 END"
+    way = f"((degrees(atan2({up}*ax, {up}*ay)) % 360) + 360) % 360"
+    return (
+        f"WITH {sampled}, m AS (SELECT trace_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM v GROUP BY trace_id HAVING count(*) >= 8), t AS (SELECT trace_id, count(*) AS n, {sums} FROM v JOIN m USING (trace_id) GROUP BY trace_id), {body}"
+        f" SELECT trace_id, n AS n_samples, {r(f'((({way}) - 90) % 360 + 360) % 360', 'strike', 3)}, {r('degrees(acos(least(1, abs(az))))', 'dip', 4)}, {r(way, 'dip_direction', 3)}, {r('s2/s1', 'conditioning', 5)}, {r('greatest(s3, 0)/s2', 'planarity', 5)}, {r('sqrt(greatest(s3, 0)/n)', 'residual_rms', 4)} FROM w"
+    )
