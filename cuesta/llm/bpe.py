@@ -357,7 +357,7 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
 
 
-def _passes(docs: DataFrame, path: str, pattern: str, schema: str, per_ids, max_states: int = 400_000, max_pieces: int = 250_000) -> DataFrame:
+def _passes(docs: DataFrame, path: str, pattern: str, schema: str, per_ids, max_states: int = 400_000, max_pieces: int = 250_000, keep: bool = True) -> DataFrame:
     """Every row's columns and what per_ids(decoder, ids) adds.  The vocabulary file is broadcast (under 2 MB)."""
     raw, key = _vocabulary(path)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
@@ -367,7 +367,8 @@ def _passes(docs: DataFrame, path: str, pattern: str, schema: str, per_ids, max_
     fields = ", ".join(f"`c{i}` {t}" for i, (_, t) in enumerate(docs.dtypes))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder, decoder = _machines(parse_ranks(shared.value), pattern, key, max_states, max_pieces)
+        ranks = parse_ranks(shared.value)
+        encoder, decoder = _machines(ranks, pattern, key, max_states, max_pieces) if keep else (Encoder(ranks, pattern, max_pieces, max_states=max_states), StreamDecoder(token_table(ranks)))
         for batch in batches:
             _, offsets = text_bytes(batch.column(at))
             for lo, hi in chunks(offsets, 2 << 20):
@@ -405,11 +406,11 @@ def decode(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, decoded string").toDF(*names, "decoded")
 
 
-def digest(docs: DataFrame, path: str, pattern: str, max_states: int = 400_000, max_pieces: int = 250_000) -> DataFrame:
+def digest(docs: DataFrame, path: str, pattern: str, max_states: int = 400_000, max_pieces: int = 250_000, keep: bool = True) -> DataFrame:
     """The contract's columns for docs(doc_id, text): every text is encoded, its ids decoded, both hashed.
 
     ``max_states`` and ``max_pieces`` bound what a worker remembers of the transducer and of the words it has met:
-    fewer take less memory and more time, and change no result.
+    fewer take less memory and more time, and change no result.  Without ``keep`` a task lets go of them as it ends.
     """
     text = Text(1 + max(read_ranks(path).values()))
 
@@ -420,4 +421,4 @@ def digest(docs: DataFrame, path: str, pattern: str, max_states: int = 400_000,
         back.update(decoder.finish())
         return len(ids), hashlib.sha256(text.joined(ids)).hexdigest(), back.hexdigest()
 
-    return _passes(docs.select("doc_id", "text"), path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", per_ids, max_states, max_pieces).drop("text")
+    return _passes(docs.select("doc_id", "text"), path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", per_ids, max_states, max_pieces, keep).drop("text")

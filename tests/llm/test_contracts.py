@@ -161,5 +161,5 @@ def test_bpe_with_little_memory(spark):
     import public_tokenizers
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    one, two = (sorted(map(tuple, bpe.digest(docs, public_tokenizers.path(q.VOCABULARY), public_tokenizers.PATTERN, *few).collect())) for few in ((), (300, 50)))
+    one, two = (sorted(map(tuple, bpe.digest(docs, public_tokenizers.path(q.VOCABULARY), public_tokenizers.PATTERN, *few).collect())) for few in ((), (300, 50, False)))
     assert one == two
