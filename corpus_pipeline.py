@@ -45,11 +45,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded bytes; few states and pieces, since workers keep what they learn."""
+    """Token counts and digests of the ids and of the decoded bytes; few states and pieces, let go with the task, since later stages need the memory."""
     import public_tokenizers
 
     ship(spark)
-    return bpe.digest(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, max_states=40_000, max_pieces=50_000)
+    return bpe.digest(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, max_states=80_000, max_pieces=100_000, keep=False)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
