@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import stored
 from ._text import ALNUM, Words, chunks, run_hashes, text_bytes
 
 BROADCAST_BYTES = 2 << 20
@@ -151,7 +152,7 @@ def _scan_shuffled(docs: DataFrame, bench: DataFrame, n: int, bloom_bits: int) -
     shared = spark.sparkContext.broadcast(np.packbits(bloom))
 
     named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # docs may have columns of any name
-    keyed = named.withColumn("row", F.monotonically_increasing_id())
+    keyed = stored(named.withColumn("row", F.monotonically_increasing_id()))  # numbered once: both sides of the join read the same keys, also after a retry
     names = keyed.columns
     at, key = docs.columns.index("text"), len(docs.columns)
 
