@@ -49,7 +49,7 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     import public_tokenizers
 
     ship(spark)
-    return bpe.digest(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, max_states=80_000, max_pieces=100_000, keep=False)
+    return bpe.digest(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, max_states=40_000, max_pieces=50_000, keep=False)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
