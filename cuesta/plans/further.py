@@ -24,7 +24,7 @@ def utm(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     p = orders.selectExpr("o_orderkey AS id", "cast((o_orderkey * 37) % 3600 as double) / 10 - 180 AS a", "cast((o_custkey * 13 + o_orderkey) % 1600 as double) / 10 - 80 AS b")
     out = projection.from_utm(projection.to_utm(p, "a", "b"))
-    return comparable(out.select("id", "zone", "north", "easting", "northing", "lon", "lat"), 5)
+    return out.select("id", "zone", "north", *(rounded(c, k).alias(c) for c, k in (("easting", 2), ("northing", 2), ("lon", 5), ("lat", 5))))
 
 
 def _sums(x: str, y: str, along: bool) -> str:
@@ -36,8 +36,8 @@ _E = projection.ECCENTRICITY
 UTM = f"""WITH p AS (SELECT o_orderkey AS id, CAST((o_orderkey*37)%3600 AS DOUBLE)/10-180 AS lon, CAST((o_custkey*13+o_orderkey)%1600 AS DOUBLE)/10-80 AS lat FROM orders),
  z AS (SELECT *, CAST(floor((lon+180)/6) AS INTEGER) % 60 + 1 AS zone, sin(radians(lat)) AS s FROM p), t AS (SELECT *, sinh(atanh(s)-{_E!r}*atanh({_E!r}*s)) AS t, radians(lon-(zone*6-183)) AS l FROM z),
  x AS (SELECT *, atan2(t, cos(l)) AS x, asinh(sin(l)/sqrt(t*t+cos(l)*cos(l))) AS y FROM t)
- SELECT id, zone, lat >= 0 AS north, {r(f"500000+{projection.SCALE * projection.RADIUS!r}*(y+{_sums('x', 'y', False)})", 'easting', 5)},
- {r(f"CASE WHEN lat >= 0 THEN 0 ELSE 10000000 END+{projection.SCALE * projection.RADIUS!r}*(x+{_sums('x', 'y', True)})", 'northing', 5)}, {r('lon', 'lon', 5)}, {r('lat', 'lat', 5)} FROM x"""
+ SELECT id, zone, lat >= 0 AS north, {r(f"500000+{projection.SCALE * projection.RADIUS!r}*(y+{_sums('x', 'y', False)})", 'easting', 2)},
+ {r(f"CASE WHEN lat >= 0 THEN 0 ELSE 10000000 END+{projection.SCALE * projection.RADIUS!r}*(x+{_sums('x', 'y', True)})", 'northing', 2)}, {r('lon', 'lon', 5)}, {r('lat', 'lat', 5)} FROM x"""
 
 
 def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
