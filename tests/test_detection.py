@@ -69,6 +69,14 @@ def test_chains_split_at_junctions_and_close_loops(spark):
     assert cells[:2] == cells[-2:] and len(cells) == 10  # a loop runs on to its second cell
 
 
+def test_a_ring_may_end_where_it_began(spark):
+    ring = [(37, 33), (38, 32), (39, 33), (38, 34)]
+    rows = tracing.trace_skeleton(mask(spark, ring), overlap=False).orderBy("seq").collect()
+    assert [(x.r, x.c) for x in rows] == [*ring, ring[0]] and {x.n for x in rows} == {5}
+    line = [(0, c) for c in range(4)]
+    assert tracing.trace_skeleton(mask(spark, line), overlap=False).count() == 4
+
+
 def test_polylines_drop_short_chains_and_simplify(spark):
     cells = [(3, c) for c in range(12)] + [(9, 1), (9, 2)]
     rows = tracing.polylines_from_mask(mask(spark, cells), 5, 1.0).orderBy("seq").collect()
