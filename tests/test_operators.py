@@ -98,6 +98,21 @@ def test_simplify():
     assert kernels.simplified(points, 1.0).tolist() == [True, False, True, True, True]
 
 
+def test_simplify_measures_as_its_sql(spark):
+    x = [137.7, 206.5, 56.9, 231.5, 210.5, 365.6, 209.1, 451.9, 435.9]
+    y = [224.1, 94.5, 397.7, 79.5, 386.5, 24.8, 100.3, 252.7, 464.7]
+
+    def stay(a, b):
+        size = np.sqrt((x[b] - x[a]) ** 2 + (y[b] - y[a]) ** 2)
+        gaps = [abs((x[b] - x[a]) * (y[k] - y[a]) - (y[b] - y[a]) * (x[k] - x[a])) / size for k in range(a + 1, b)]
+        k = int(np.argmax(gaps)) if gaps else 0
+        return stay(a, a + 1 + k) | stay(a + 1 + k, b) if gaps and gaps[k] > 50 else {a, b}
+
+    rows = [(t, k + 1, x[k], y[k]) for t in (3, 1, 2) for k in range(9)]
+    got = kernels.simplify(spark.createDataFrame(rows, "trace_id long, seq int, x double, y double"), 50.0).collect()
+    assert sorted((p.trace_id, p.seq) for p in got) == [(t, k + 1) for t in (1, 2, 3) for k in sorted(stay(0, 8))]
+
+
 def test_auc_counts_ties(spark):
     s = spark.createDataFrame([(1, 1.0), (1, 2.0), (0, 1.0), (0, 3.0)], "pos int, v double")
     assert scoring.auc(s).first().auc == pytest.approx(0.5)
