@@ -142,3 +142,16 @@ def test_bilinear_is_exact_on_a_plane(spark):
     got = polyline.sample_bilinear(p, grid(spark, 2 * c - 3 * r), (0, 10, 0, 0, 0, -10)).orderBy("x").collect()
     assert math.isnan(got[0].z)
     assert got[1].z == pytest.approx(2 * 2.8 - 3 * 2.2)
+
+
+def test_stepped_knows_neighbours_without_sorting_points(spark):
+    rows = [(t, k, float(x), float(y)) for t, line in enumerate([[(0, 0), (3.3, 1), (3.3, 1), (3.4, 9.7)], [(1, 1), (1, 1.2)], [(5, 5)]]) for k, (x, y) in enumerate(line, 1)]
+    points = spark.createDataFrame(rows, "trace_id int, seq int, x double, y double")
+    got = sorted(tuple(p) for p in polyline.stepped(points, 1.0).collect())
+    dense = sorted(tuple(p) for p in polyline.densify(points, 1.0).collect())
+    assert [p[:5] for p in got] == dense
+    for t in (0, 1):
+        mine = [p for p in got if p[0] == t]
+        for i, p in enumerate(mine):
+            a, b = mine[max(i - 1, 0)], mine[min(i + 1, len(mine) - 1)]
+            assert p[5:] == (b[3] - a[3], b[4] - a[4])
