@@ -137,30 +137,31 @@ def numbered(frame: DataFrame, *order: str) -> DataFrame:
 
 
 def coded(made: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(run): runs of dictionary ids as uint32, 0 at pieces' ends and in place of other words."""
-    words = made.select("block", F.posexplode("words").alias("place", "w")).select("block", "place", "w.lang", "w.word")
-    known = words.join(dictionary.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                local = np.frombuffer(batch.column(0)[i].as_buffer(), np.int32)
-                pairs = batch.column(1)[i].values
-                code = np.zeros(int(local.max(initial=0)) + 1, np.uint32)
-                code[pairs.field(0).to_numpy() + 1] = pairs.field(1).to_numpy()
-                ids = code[local]
-                on = ids != 0
-                beside = np.zeros(len(on), bool)  # a word alone between breaks makes no phrase
-                beside[1:] |= on[:-1]
-                beside[:-1] |= on[1:]
-                ids[~beside] = 0
-                stay = ids != 0
-                stay[1:] |= ids[:-1] != 0
-                out.append(ids[stay].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["run"])
-
-    return made.select("block", "run").join(known, "block").select("run", "known").mapInArrow(run, "run binary")
+    """(run): runs of dictionary ids as uint32, 0 at pieces' ends and in place of other words.
+
+    A block meets its known words as a group of sorted rows: a task holds one block's, however many blocks it has.
+    """
+    words = made.select(F.col("block").alias("of"), F.posexplode("words").alias("place", "w")).select("of", "place", "w.lang", "w.word")
+    known = words.join(dictionary.select("lang", "word", "id"), ["lang", "word"]).select("of", "place", "id")
+
+    def run(block: pa.Table, pairs: pa.Table) -> pa.Table:
+        out = []
+        for row in block["run"]:
+            local = np.frombuffer(row.as_buffer(), np.int32)
+            code = np.zeros(int(local.max(initial=0)) + 1, np.uint32)
+            code[pairs["place"].to_numpy() + 1] = pairs["id"].to_numpy()
+            ids = code[local]
+            on = ids != 0
+            beside = np.zeros(len(on), bool)  # a word alone between breaks makes no phrase
+            beside[1:] |= on[:-1]
+            beside[:-1] |= on[1:]
+            ids[~beside] = 0
+            stay = ids != 0
+            stay[1:] |= ids[:-1] != 0
+            out.append(ids[stay].tobytes())
+        return pa.table({"run": pa.array(out, pa.binary())})
+
+    return made.select("block", "run").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, "run binary")
 
 
 def radix_order(keys: np.ndarray) -> np.ndarray:
@@ -344,11 +345,11 @@ def contained(counts: DataFrame, percent: int) -> DataFrame:
 def collocations(docs: DataFrame, words: int = 4, least: int = 30, percent: int = 80, top: int = 2000) -> DataFrame:
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     spark = docs.sparkSession
-    made = stored(blocks(docs))
+    made = stored(blocks(docs), wide=True)
     totals = made.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n"))
     every = made.select(F.explode("words").alias("w")).groupBy("w.lang", "w.word").agg(F.sum("w.n").alias("f")).where(F.col("f") >= least)
     dictionary = stored(numbered(every, "lang", "word"))
-    runs = stored(coded(made, dictionary))
+    runs = stored(coded(made, dictionary), wide=True)
     one = dictionary.select(F.unhex(F.lpad(F.hex("id"), 8, "0")).alias("key"), F.col("f").alias("a"))
     found, may = [], None
     for n in range(2, words + 1):

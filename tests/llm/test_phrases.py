@@ -87,3 +87,16 @@ def test_scores_are_exact_beyond_64_bits(spark):
     k = lambda *ids: b"".join(i.to_bytes(4, "big") for i in ids)
     counts = spark.createDataFrame([(k(1), big), (k(2), big - 2), (k(1, 2), big - 3)], "key binary, a long")
     assert [r.score for r in phrases.scored(counts).collect()] == [2_000_000 * (big - 3) // (2 * big - 2)]
+
+
+def test_a_task_reads_few_blocks_at_once(spark, monkeypatch):
+    """The blocks of a task, megabytes each, lie in row groups of a few; a reader holds a group at a time."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 1 << 17)
+    rng = np.random.default_rng(5)
+    rows = [("en", " ".join(map(str, rng.integers(0, 1_000_000, 40_000)))) for _ in range(60)]
+    made = phrases.stored(phrases.blocks(spark.createDataFrame(rows, "lang string, text string").coalesce(1)), wide=True)
+    groups = [m.row_group(i).num_rows for m in (pq.ParquetFile(p.removeprefix("file:")).metadata for p in made.inputFiles()) for i in range(m.num_row_groups)]
+    phrases.dropped(spark, made)
+    assert sum(groups) == 60 and max(groups) <= 30
