@@ -1,8 +1,10 @@
 """Analytic cases: planes, floods, paths, thin lines, thresholds."""
 
 import math
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cuesta.operators import attitude, directional, hydrology, kernels, polyline, regions, scoring
@@ -155,3 +157,23 @@ def test_stepped_knows_neighbours_without_sorting_points(spark):
         for i, p in enumerate(mine):
             a, b = mine[max(i - 1, 0)], mine[min(i + 1, len(mine) - 1)]
             assert p[5:] == (b[3] - a[3], b[4] - a[4])
+
+
+def test_deviations_of_dense_points_need_no_visit_to_each_pair():
+    """10,000 centres with some 45,000 neighbours each; a few of them against all pairs, dips with and without ties."""
+    rng = np.random.default_rng(4)
+    n, radius = 200_000, 500.0
+    x, y, angle = rng.uniform(0, 1600, n), np.floor(rng.uniform(0, 1600, n)), rng.uniform(0, np.pi, n)
+    dip = np.where(x < 800, np.floor(rng.uniform(0, 90, n)), rng.uniform(0, 90, n))
+    ids = np.where(np.arange(n) % 7 == 0, np.arange(n) // 2, np.arange(n))  # some ids twice
+    s, c = np.sin(angle), np.cos(angle)
+    around = pd.DataFrame({"n_id": ids, "n_x": x, "n_y": y, "n_dip": dip, "n_s": s, "n_c": c})
+    centres = pd.DataFrame({"id": ids, "x": x, "y": y, "strike": angle, "dip": dip}).iloc[:10_000]
+    begun = time.process_time()
+    got = attitude._neighbours(centres, around, radius)
+    assert time.process_time() - begun < 15  # all pairs took milliseconds a centre
+    for k in range(0, 10_000, 500):
+        at = ((x[k] - x) ** 2 + (y[k] - y) ** 2 <= radius * radius) & (ids != ids[k])
+        row = got.iloc[k]
+        assert (row.n, row.dip_mid) == (at.sum(), np.median(dip[at]))
+        assert abs(row.s - s[at].mean()) < 1e-12 and abs(row.c - c[at].mean()) < 1e-12
