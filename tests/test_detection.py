@@ -180,3 +180,11 @@ def test_windows_do_not_overlap(spark):
     got = evaluation.densest_windows(mask(spark, cells), grid(spark, np.zeros((30, 30))), 4, 2)
     (r1, c1, d1), (r2, c2, d2) = got
     assert d1 >= d2 > 0 and not (r1 - 4 <= r2 < r1 + 4 and c1 - 4 <= c2 < c1 + 4)
+
+
+def test_flags_read_the_tables_once(spark):
+    """The plan of the flags holds stored inputs: the derivation of grid and traces is not compiled into each of its stages."""
+    from cuesta.plans import catalog
+
+    out = catalog.queries()["h12_flags"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if "testdata" in f]
