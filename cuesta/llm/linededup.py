@@ -19,12 +19,14 @@ have no similarity, always stay.
    shows to be unique needs none.
 4. Within a part, postings of one word are compared by size (length filter), by
    what can still be shared after the common word (positional filter) and by
-   128-bit maps of the sets, whose differing bits are words not shared.
+   128-bit maps of the sets.  A word flips one bit, so bits that differ are words
+   not shared, and words shared hide none.
 5. The pairs left meet the same test on the wider maps, and then are verified on
    their whole sets: first the earliest candidate of each line, which settles
    most copies, then all others of the lines still open.  A part gives ``FEW`` candidates of a line at most, and
    marks a line that has more; if it is still open after those, its words are
-   joined with all postings of them, row by row, so nothing is missed.
+   joined with all postings of them in lines of a size near its own, row by row,
+   so nothing is missed.
 6. Words in more than ``HOT`` lines are joined by Spark row by row as well:
    every class against the first of the word's, then the open ones against all
    earlier ones; both are joins that a hot word does not hold in one task.
@@ -39,7 +41,7 @@ as they are, whatever their names; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,7 @@ HOT = 1 << 14
 FEW = 8
 PART = 1 << 18  # postings of a part, about
 STEP = 1 << 18  # pairs compared at once
+NEAR = 24  # bits of the map of (word, size class) that open lines ask for
 HEAD, COUNTS = -1, -2  # values of ln in rows that are no lines
 MAPS = [f"s{j}" for j in range(4)]
 
@@ -123,7 +126,7 @@ def _split(rows: DataFrame) -> DataFrame:
                         keys = [np.add.reduceat(mix64(words ^ np.uint64(c)), begins).view(np.int64) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
                         place = words >> np.uint64(40)
                         flag = np.uint64(1) << (place & np.uint64(63))
-                        maps = [np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == j, flag, np.uint64(0)), begins).view(np.int64) for j in range(4)]
+                        maps = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == j, flag, np.uint64(0)), begins).view(np.int64) for j in range(4)]
                         m, of = len(some), doc[at + some]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(rid[lo + of]), pa.array((at + some - first[of]).astype(np.int32)), pa.nulls(m, ids.type), pa.array(lid + np.arange(m)), pa.array(size[some].astype(np.int32)), *(pa.array(k) for k in keys), _binary(words.view(np.uint8).reshape(-1, 8)[:, :6], np.append(begins, bounds[-1]) * 6), *(pa.array(c) for c in maps)],
@@ -169,7 +172,7 @@ def _prefixes(batch: pa.RecordBatch, rarity: np.ndarray, percent: int) -> tuple[
     words, ends = _hashes(batch.column(3))
     place = words >> np.uint64(41)
     flag = np.uint64(1) << (place & np.uint64(63))
-    maps = [np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == j, flag, np.uint64(0)), ends[:-1]) for j in range(2)]
+    maps = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == j, flag, np.uint64(0)), ends[:-1]) for j in range(2)]
     row = np.repeat(np.arange(len(n)), n)
     keys = (row.astype(np.uint64) << np.uint64(48)) | (rarity[(words & np.uint64((1 << BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (words & M40)
     keys.sort()
@@ -314,31 +317,38 @@ def _candidates(posted: DataFrame, percent: int) -> DataFrame:
     return posted.mapInArrow(pairs, "b long, a long, more boolean")
 
 
-def _rows(lines: DataFrame, rarity: np.ndarray, wanted: np.ndarray, percent: int) -> DataFrame:
-    """Stored postings (w, k, lid, n, i, bits, more) of the words in wanted buckets, one of each class."""
+def _rows(lines: DataFrame, rarity: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], percent: int) -> DataFrame:
+    """Stored postings (w, k, lid, n, i, bits, more) where wanted(word, grade, n), one of each class."""
 
     def post(batches):
         for batch in _slices(batches):
-            word, _, lid, n, place, bits, more, k = _prefixes(batch, rarity, percent)
-            at = wanted[(word & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+            word, grade, lid, n, place, bits, more, k = _prefixes(batch, rarity, percent)
+            at = wanted(word, grade, n)
             yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (word.view(np.int64), k, lid, n, place, bits.view(np.int64), more.view(np.int64))], names=["w", "k", "lid", "n", "i", "bits", "more"])
 
     rows = lines.mapInArrow(post, "w long, k long, lid long, n int, i int, bits long, more long")
     return stored(rows.groupBy("w", "k").agg(F.min("lid").alias("lid"), F.min("n").alias("n"), F.min("i").alias("i"), F.min("bits").alias("bits"), F.min("more").alias("more")))
 
 
-def _buckets(lines: DataFrame, rarity: np.ndarray, percent: int) -> np.ndarray:
-    """Which buckets hold a prefix word of lines(lid, n, k1, words): a bit for each comes to the driver."""
+def _places(word: np.ndarray, n: np.ndarray, percent: int, step: int = 0) -> np.ndarray:
+    """The bit of a word in the size class ``step`` from that of n.  Sizes that can be similar are one class apart at most:
+    a class is a little wider than the ratio of such sizes, so that rounding moves none further."""
+    size = np.floor(np.log(n) / (1.0001 * max(np.log(100 / percent), 0.01))).astype(np.int64) + step
+    return (mix64(word ^ ((size + 1).astype(np.uint64) << np.uint64(40))) >> np.uint64(64 - NEAR)).astype(np.int64)
+
+
+def _asked(lines: DataFrame, rarity: np.ndarray, percent: int) -> np.ndarray:
+    """A map of 1 << NEAR bits, packed, of the prefix words of lines(lid, n, k1, words) in their sizes and those next to them."""
 
     def seen(batches):
         for batch in _slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_prefixes(batch, rarity, percent)[0] & np.uint64((1 << BITS) - 1)).view(np.int64))], names=["b"])
+            word, _, _, n, *_ = _prefixes(batch, rarity, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([_places(word, n, percent, step) for step in (-1, 0, 1)])))], names=["b"])
 
     bits = F.expr("bitmap_construct_agg(b & 32767)").alias("bits")
-    out = np.zeros(1 << BITS, bool)
+    out = np.zeros(1 << NEAR >> 3, np.uint8)
     for r in lines.mapInArrow(seen, "b long").groupBy(F.expr("b >> 15").alias("at")).agg(bits).collect():
-        flags = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").astype(bool)
-        out[r["at"] << 15 : (r["at"] + 1) << 15] = flags
+        out[r["at"] << 12 : (r["at"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
@@ -384,7 +394,8 @@ def _removed(split: DataFrame, percent: int) -> DataFrame:
     rarity = _rarity(split)
     words, rows = lines.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     few = stored(_candidates(_posted(text, rarity, percent, 1 + (words * (100 - percent) // 100 + rows) // PART), percent))
-    hot = _rows(text, rarity, rarity > _grade(np.array([HOT]))[0], percent)
+    top = _grade(np.array([HOT]))[0]
+    hot = _rows(text, rarity, lambda word, grade, n: grade > top, percent)
     led = _against(hot, hot.join(hot.groupBy("w").agg(F.min("lid").alias("lid")), ["w", "lid"]), percent)
 
     def whole(pairs: DataFrame) -> DataFrame:
@@ -413,7 +424,13 @@ def _removed(split: DataFrame, percent: int) -> DataFrame:
     made.append(open_)
     if open_.limit(1).count():
         left = text.join(open_, "lid", "left_semi")
-        near = _rows(text, rarity, _buckets(left, rarity, percent) & (rarity <= _grade(np.array([HOT]))[0]), percent)
+        asked = _asked(left, rarity, percent)
+
+        def close(word, grade, n):
+            at = _places(word, n, percent)
+            return (grade <= top) & ((asked[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+        near = _rows(text, rarity, close, percent)
         again = narrowed(_against(near.join(open_, "lid", "left_semi"), near, percent))
         made += [near, again]
         tail.append(again)
