@@ -8,31 +8,25 @@ text; lines by their place in the document.  Only lines without a word, which
 have no similarity, always stay.
 
 1. The text is split once, in document order.  A stored row of each line holds
-   its number ``lid`` (ascending with that order), its words as 48-bit hashes, a
-   256-bit map of them and a 128-bit key of the set.  Lines with equal keys form
-   a class, led by its first line; the others of the class are removed.
-2. Every task counts its words in ``1 << BITS`` buckets; the sums, a byte a
-   bucket on a logarithmic scale, order words by rarity.
-3. Similar sets of n and m words share one of the first n - ceil(t n) + 1 words
-   of each (prefix filter).  Postings of these words are gathered by a hash of
-   the word, as one row of arrays for each of the parts.  A word that its bucket
-   shows to be unique needs none.
-4. Within a part, postings of one word are compared by size (length filter), by
-   what can still be shared after the common word (positional filter) and by
-   128-bit maps of the sets.  A word flips one bit, so bits that differ are words
-   not shared, and words shared hide none.
-5. The pairs left meet the same test on the wider maps, and then are verified on
-   their whole sets: first the earliest candidate of each line, which settles
-   most copies, then all others of the lines still open.  A part gives ``FEW`` candidates of a line at most, and
-   marks a line that has more; if it is still open after those, its words are
-   joined with all postings of them in lines of a size near its own, row by row,
-   so nothing is missed.
-6. Words in more than ``HOT`` lines are joined by Spark row by row as well:
-   every class against the first of the word's, then the open ones against all
-   earlier ones; both are joins that a hot word does not hold in one task.
-
-The split and the arrays are NumPy over Arrow batches: in DataFrame functions
-alone this did not meet the limits of time and disk (see README).
+   its number ``lid`` (ascending with that order), its words as 59-bit hashes with
+   their lengths, and a 128-bit key of the set.  Lines with equal keys form a
+   class, led by its first line; the others of the class are removed.
+2. Similar sets of n and m words differ in at most H = (n + m)(1 - t) / (1 + t)
+   words.  Words are dealt to k > H bins by their hash, so at most H bins of a set
+   are unlike the other's, and the strongest bin that both have alike is among the
+   H + 1 strongest of each.  Strength is the length of a bin's words, then a hash:
+   common words are short, so bins of those alone are left out where there are
+   others.  The first line of a class posts a hash of each of these bins, and the
+   empty bin if fewer than H + 1 hold a word.  The sizes of two lines tell their H
+   and so the one of ``steps`` that they meet under; a line posts under each step
+   that its possible partners may meet it in.
+3. Lines of one posting are compared by 128-bit maps, of which a word flips one
+   bit, so bits that differ are words not shared; those left by their whole sets:
+   first with the earliest line of the posting, which settles most copies, then
+   the open ones with the line just before them, and those still open with all
+   others before them.  No group is cut.
+
+All of it is DataFrame functions; sets are exact up to collisions of the hashes.
 
 Defined cases: null texts stay null and empty ones empty; rows that share a
 doc_id, or have none, are documents of their own; columns other than text stay
@@ -41,405 +35,180 @@ as they are, whatever their names; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ._line_arrays import BITS, M48, _binary, _places, _prefixes  # noqa: F401  (for the tests of the form before)
 from ._spark import dropped, stored
-from ._text import NOT_SPACE, Words, chunks, mix64, text_bytes
 
-BITS = 20
-BLOCK = 1 << 12
-HOT = 1 << 14
-FEW = 8
-PART = 1 << 18  # postings of a part, about
-STEP = 1 << 18  # pairs compared at once
-NEAR = 24  # bits of the map of (word, size class) that open lines ask for
-HEAD, COUNTS = -1, -2  # values of ln in rows that are no lines
-MAPS = [f"s{j}" for j in range(4)]
+MAPS = ["s0", "s1"]
+MOST = 1 << 28  # no line has so many words
 
-M48, M40 = np.uint64((1 << 48) - 1), np.uint64((1 << 40) - 1)
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once; a column of a lower projection may be inlined and computed for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Rows of bytes; ends are the n + 1 boundaries in data."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
+def _set(line: str) -> Column:
+    """The set of a line: ascending 59-bit hashes of its words, each followed by the word's length in four bits."""
+    spaced = F.lower(line)
+    for c in "\t\v\f\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    words = F.array_remove(F.split(spaced, " "), "")
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 1).bitwiseAND(F.lit(~15)).bitwiseOR(F.least(F.length(w), F.lit(15))))))
 
-def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 48-bit hashes of a column of sets, and the boundaries of its rows."""
-    raw, ends = text_bytes(column)
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = raw.reshape(-1, 6)
-    return out.view(np.uint64).ravel(), ends // 6
 
+def steps(percent: int) -> list[tuple[int, int, int]]:
+    """(above, most, bins): sets that differ in more than above and at most most words are compared under so many bins."""
+    out, above = [], 0
+    while percent < 100 and above < MOST:
+        most = max(above + 1, round(above * 1.6))
+        out.append((above, most, (13 * (most + 1) + 9) // 10))
+        above = most
+    return out
 
-def _line_sets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes ascending within a line, boundaries) of runs of at most 65,536 of the lines at offsets."""
-    for lo in range(0, len(offsets) - 1, 1 << 16):
-        hi = min(lo + (1 << 16), len(offsets) - 1)
-        words = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], NOT_SPACE)
-        keys = (words.row.astype(np.uint64) << np.uint64(48)) | (words.hash >> np.uint64(16))
-        keys.sort()
-        if len(keys):
-            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-        yield keys & M48, np.searchsorted(keys >> np.uint64(48), np.arange(hi - lo + 1))
 
+def _postings(words: str, percent: int) -> Column:
+    """What a set posts: its strongest bins under each step that it may meet a partner in."""
 
-def _split(rows: DataFrame) -> DataFrame:
-    """The stored rows of rows(rid, doc_id, text): a head for each row, its lines with words, and each task's word counts."""
-    id_type = rows.schema["doc_id"].dataType
-    fields = [T.StructField("rid", T.LongType()), T.StructField("ln", T.IntegerType()), T.StructField("doc_id", id_type), T.StructField("lid", T.LongType())]
-    fields += [T.StructField("n", T.IntegerType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("words", T.BinaryType())]
-    fields += [T.StructField(c, T.LongType()) for c in MAPS]
-    schema = T.StructType(fields)
-
-    def split(batches):
-        counts, lid = np.zeros(1 << BITS, np.int64), TaskContext.get().partitionId() << 36
-        for batch in batches:
-            rid, ids = np.asarray(batch.column(0)), batch.column(1)
-            raw, offsets = text_bytes(pc.utf8_lower(batch.column(2)))
-            null = np.asarray(batch.column(2).is_null())
-            for lo, hi in chunks(offsets):
-                part, ends = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                breaks = np.flatnonzero(part == 10)
-                doc = np.concatenate([np.arange(hi - lo), np.searchsorted(ends[1:], breaks, side="right")])
-                starts = np.concatenate([ends[:-1], breaks + 1])
-                order = np.lexsort((starts, doc))
-                doc, starts = doc[order], starts[order]
-                first = np.searchsorted(doc, np.arange(hi - lo + 1))
-                n_lines = np.where(null[lo:hi], 0, np.diff(first))
-                yield pa.RecordBatch.from_arrays([pa.array(rid[lo:hi]), pa.array(np.full(hi - lo, HEAD, np.int32)), ids.slice(lo, hi - lo), pa.nulls(hi - lo, pa.int64()), pa.array(n_lines.astype(np.int32)), *(pa.nulls(hi - lo, t) for t in (pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4))], names=schema.names)
-                at = 0
-                for words, bounds in _line_sets(part, np.append(starts, len(part))):
-                    size = np.diff(bounds)
-                    some = np.flatnonzero(size)
-                    if len(some):
-                        begins = bounds[some]
-                        counts += np.bincount((words & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
-                        keys = [np.add.reduceat(mix64(words ^ np.uint64(c)), begins).view(np.int64) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                        place = words >> np.uint64(40)
-                        flag = np.uint64(1) << (place & np.uint64(63))
-                        maps = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == j, flag, np.uint64(0)), begins).view(np.int64) for j in range(4)]
-                        m, of = len(some), doc[at + some]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(rid[lo + of]), pa.array((at + some - first[of]).astype(np.int32)), pa.nulls(m, ids.type), pa.array(lid + np.arange(m)), pa.array(size[some].astype(np.int32)), *(pa.array(k) for k in keys), _binary(words.view(np.uint8).reshape(-1, 8)[:, :6], np.append(begins, bounds[-1]) * 6), *(pa.array(c) for c in maps)],
-                            names=schema.names,
-                        )
-                        lid += m
-                    at += len(size)
-        blocks = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, BLOCK)
-        some = np.flatnonzero(blocks.any(axis=1))
-        if len(some):
-            m = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(m, COUNTS, np.int32)), pa.nulls(m, ids.type), *(pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())), pa.array([b.tobytes() for b in blocks[some]], pa.binary()), *(pa.nulls(m, pa.int64()) for _ in MAPS)], names=schema.names)
+    def apart(both: Column) -> Column:
+        return F.floor(both * F.lit(100 - percent) / F.lit(100 + percent) + F.lit(1e-9))
 
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    return stored(rows.select("rid", "doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(split, schema))
+    def strongest(h: Column, step: Column) -> Column:
+        """The (at most) most + 1 strongest bins of hashes h that hold a word."""
 
+        def parted(b: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: (i == 1) | (F.get(b, i - 1) != F.get(b, i - 2)))
+            return _let(starts, ranked)
 
-def _rarity(split: DataFrame) -> np.ndarray:
-    """A byte for each bucket: 0 for a word in one line only, else 1 + 3 log2 of the lines."""
+        def ranked_as(part: Column) -> Column:
+            length = F.aggregate(part, F.lit(0).cast("long"), lambda sum_, x: sum_ + x.bitwiseAND(F.lit(15)))
+            return F.shiftleft(F.least(length, F.lit(16383)), 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64(part, step["bins"]), 16))
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[block] = total.get(block, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
-        graded = [_grade(c).tobytes() for c in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(graded, pa.binary())], names=["block", "grades"])
+        def ranked(starts: Column) -> Column:
+            def one(s: Column, j: Column) -> Column:
+                length = F.coalesce(F.get(starts, j + 1), F.size(h) + 1) - s
+                return _let(F.slice(h, s, length), ranked_as)
 
-    counted = split.where(F.col("ln") == COUNTS).select(F.col("rid").alias("block"), "words").repartition(16, "block")
-    out = np.zeros(1 << BITS, np.uint8)
-    for r in counted.mapInArrow(add, "block long, grades binary").collect():  # 1 << BITS bytes in all
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["grades"], np.uint8)
-    return out
+            return F.slice(F.sort_array(F.transform(starts, one), asc=False), F.lit(1), (step["most"] + 1).cast("int"))
+
+        binned = _let(step["bins"], lambda k: F.transform(h, lambda x: F.shiftright(F.shiftright(x, 31) * k, 32)))
+        return _let(binned, parted)
+
+    def under(h: Column, step: Column) -> Column:
+        def whole(best: Column) -> Column:  # with the empty bin, if that may be all that a partner shares
+            return F.when(F.size(best) <= step["most"], F.concat(best, F.array(step["bins"]))).otherwise(best)
 
+        return _let(strongest(h, step), whole)
 
-def _grade(count):
-    return np.where(count > 1, np.minimum(255, 1 + 3 * np.log2(np.maximum(count, 1))), 0).astype(np.uint8)
-
-
-def _prefixes(batch: pa.RecordBatch, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Postings of a batch of (lid, n, k1, words): word, grade, lid, n, place, two halves of a 128-bit map, k1."""
-    lid, n, k = (np.asarray(batch.column(j)) for j in range(3))
-    words, ends = _hashes(batch.column(3))
-    place = words >> np.uint64(41)
-    flag = np.uint64(1) << (place & np.uint64(63))
-    maps = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == j, flag, np.uint64(0)), ends[:-1]) for j in range(2)]
-    row = np.repeat(np.arange(len(n)), n)
-    keys = (row.astype(np.uint64) << np.uint64(48)) | (rarity[(words & np.uint64((1 << BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (words & M40)
-    keys.sort()
-    spot = np.arange(len(keys)) - ends[:-1][row]
-    grade = ((keys >> np.uint64(40)) & np.uint64(255)).astype(np.uint8)
-    lone = np.zeros(len(n), bool)
-    lone[np.unique(k, return_index=True)[1]] = True  # copies within the batch post once, by the first
-    lone &= n * 100 // percent > n  # other sizes admit equal sets only
-    keep = lone[row] & (grade > 0) & (spot < (n + (-n * percent) // 100 + 1)[row])
-    at = row[keep]
-    return keys[keep] & M40, grade[keep], lid[at], n[at], spot[keep].astype(np.int32), maps[0][at], maps[1][at], k[at]
-
-
-COLUMNS = (("w", np.uint32), ("lid", np.int64), ("n", np.int32), ("i", np.int32), ("bits", np.uint64), ("more", np.uint64), ("k", np.int64))
-
-
-def _slices(batches):
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1 << 15):
-            if batch.num_rows:
-                yield batch.slice(lo, 1 << 15)
-
-
-def _posted(lines: DataFrame, rarity: np.ndarray, percent: int, parts: int) -> DataFrame:
-    """A row (part and an array of each of COLUMNS) for every part of the words in at most HOT lines."""
-    hot = _grade(np.array([HOT]))[0]
-    schema = "part int, " + ", ".join(f"{name} binary" for name, _ in COLUMNS)
-
-    def gathered(held):
-        word, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
-        spread = mix64(word)
-        part = (spread % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        arrays = [pa.array(part[begins])]
-        for (_, kind), values in zip(COLUMNS, (spread >> np.uint64(32), *rest), strict=True):
-            flat = values.astype(kind)[order]
-            arrays.append(_binary(flat.view(np.uint8), np.append(begins, len(flat)) * flat.itemsize))
-        return pa.RecordBatch.from_arrays(arrays, names=["part", *(name for name, _ in COLUMNS)])
-
-    def post(batches):
-        held, size = [], 0
-        for batch in _slices(batches):
-            word, grade, *rest = _prefixes(batch, rarity, percent)
-            cold = grade <= hot
-            held.append([word[cold], *(c[cold] for c in rest)])
-            size += int(cold.sum())
-            if size >= PART:
-                yield gathered(held)
-                held, size = [], 0
-        if size:
-            yield gathered(held)
-
-    def merged(batches):
-        part, held = None, []
-
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([b"".join(c)], pa.binary()) for c in zip(*held, strict=True))], names=["part", *(name for name, _ in COLUMNS)])
-
-        for batch in batches:
-            for values in zip(*(batch.column(j).to_pylist() for j in range(1 + len(COLUMNS))), strict=True):
-                if held and values[0] != part:
-                    yield row()
-                    held = []
-                part = values[0]
-                held.append(values[1:])
-        if held:
-            yield row()
-
-    return lines.mapInArrow(post, schema).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merged, schema)
-
-
-def _need(n, m, percent: int):
+    n = F.size(words).cast("long")
+    least, most = apart(n + F.ceil(n * percent / F.lit(100) - F.lit(1e-9))), apart(n + F.floor(n * F.lit(100) / F.lit(percent) + F.lit(1e-9)))
+    rows = F.array(*(F.struct(F.lit(a).cast("long").alias("above"), F.lit(m).cast("long").alias("most"), F.lit(k).cast("long").alias("bins")) for a, m, k in steps(percent)))
+    ends = F.struct(least.alias("least"), most.alias("most"))
+
+    def met(r: Column) -> Column:
+        some = F.filter(rows, lambda s: (s["above"] < r["most"]) & (s["most"] >= r["least"]))
+        return F.transform(some, lambda s: F.struct(F.least(s["most"], r["most"]).alias("most"), s["bins"].alias("bins")))
+
+    return F.flatten(F.transform(_let(ends, met), lambda s: under(F.col(words), s)))
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """The stored lines with words (ln from 0) of rows(rid, doc_id, text), and for each row one of ln -1 with its doc_id and number of lines."""
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    texts = rows.select("rid", "doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
+    texts = texts.select("rid", "doc_id", F.concat(F.array(F.lit(None).cast("string")), parts).alias("parts"))
+    lines = texts.select("rid", "doc_id", (F.size("parts") - 1).alias("n_lines"), F.posexplode("parts").alias("ln", "line"))
+    head = F.col("ln") == 0
+    lines = lines.select("rid", F.when(head, F.col("doc_id")).alias("doc_id"), F.when(head, F.col("n_lines")).alias("n_lines"), (F.col("ln") - 1).alias("ln"), F.monotonically_increasing_id().alias("lid"), _set("line").alias("words"))
+    lines = lines.where((F.col("ln") < 0) | (F.size("words") > 0))
+    return stored(lines.select("*", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words", F.lit(2)).alias("k2")))
+
+
+def _first_of_class(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """The (lid, words) of first lines.  Their numbers are broadcast as a bit a line: a join would shuffle all sets."""
+    bits = classes.groupBy(F.shiftright("first", 15).alias("block")).agg(F.expr("bitmap_construct_agg(first & 32767)").alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright("lid", 3).bitwiseAND(F.lit(4095)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, F.col("lid").bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1))
+    return lines.join(F.broadcast(bits), F.shiftright("lid", 15) == F.col("block")).where(bit == 1).select("lid", "words")
+
+
+def _need(n: Column, m: Column, percent: int) -> Column:
     """Least overlap of sets of n and m words that are similar enough."""
-    return (percent * (n + m) + 99 + percent) // (100 + percent)
-
-
-def _part_pairs(arrays: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, ...]:
-    """(b, a, more): candidate pairs of a part, b being the later line; more if b has others."""
-    w, k = arrays["w"].astype(np.uint64), arrays["k"].view(np.uint64)
-    order = np.argsort((w << np.uint64(32)) | (k >> np.uint64(32)))
-    w, k = w[order], k[order]
-    begins = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (k[1:] != k[:-1])]))
-    lid = np.minimum.reduceat(arrays["lid"][order], begins)  # copies of a line: by the first
-    order, w, k = order[begins], w[begins], k[begins]
-    n, i, bits, more = (arrays[c][order] for c in ("n", "i", "bits", "more"))
-    by = (w << np.uint64(32)) | n.astype(np.uint64)
-    order = np.argsort(by)
-    by, lid, n, i, bits, more, k = by[order], lid[order], n[order].astype(np.int64), i[order].astype(np.int64), bits[order], more[order], k[order]
-    last = np.searchsorted(by, (by & ~np.uint64(0xFFFFFFFF)) | (n * 100 // percent).astype(np.uint64), side="right")
-    many = last - np.arange(len(by)) - 1
-    total = np.concatenate([[0], np.cumsum(many)])
-    found: list[tuple[np.ndarray, ...]] = []
-    size = lo = 0
-    while lo < len(by):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + STEP, side="right")) - 1)
-        one = np.repeat(np.arange(lo, hi), many[lo:hi])
-        two = np.arange(len(one)) - np.repeat(total[lo:hi] - total[lo], many[lo:hi]) + one + 1
-        need = _need(n[one], n[two], percent)
-        both = n[one] + n[two]
-        good = both - 2 * need >= np.bitwise_count(bits[one] ^ bits[two]).astype(np.int64) + np.bitwise_count(more[one] ^ more[two])
-        good &= np.minimum(n[one] - i[one], n[two] - i[two]) >= need
-        good &= k[one] != k[two]
-        x, y = lid[one[good]], lid[two[good]]
-        b, a = np.maximum(x, y), np.minimum(x, y)
-        if len(b):
-            found.append((b, a, np.zeros(len(b), bool)))
-            size += len(b)
-            if size > 2 * STEP:
-                found = [_fewest(found)]
-                size = len(found[0][0])
-        lo = hi
-    return _fewest(found) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
-
-
-def _fewest(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct pairs, the FEW earliest of each later line, marked if that line has more."""
-    b, a, more = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((a, b))
-    b, a, more = b[order], a[order], more[order]
-    new = np.concatenate([[True], (b[1:] != b[:-1]) | (a[1:] != a[:-1])])
-    head = np.concatenate([[True], b[1:] != b[:-1]])
-    marked = np.logical_or.reduceat(more, np.flatnonzero(head))
-    line = (np.cumsum(head) - 1)[new]
-    b, a = b[new], a[new]
-    begins = np.searchsorted(line, np.arange(line[-1] + 2))
-    marked |= np.diff(begins) > FEW
-    few = np.arange(len(b)) - begins[line] < FEW
-    return b[few], a[few], marked[line[few]]
-
-
-def _candidates(posted: DataFrame, percent: int) -> DataFrame:
-    """(b, a, more) of every part of posted(part, arrays)."""
-
-    def pairs(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                arrays = {name: np.frombuffer(batch.column(j + 1)[r].as_buffer(), kind) for j, (name, kind) in enumerate(COLUMNS)}
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _part_pairs(arrays, percent)], names=["b", "a", "more"])
-
-    return posted.mapInArrow(pairs, "b long, a long, more boolean")
-
-
-def _rows(lines: DataFrame, rarity: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], percent: int) -> DataFrame:
-    """Stored postings (w, k, lid, n, i, bits, more) where wanted(word, grade, n), one of each class."""
-
-    def post(batches):
-        for batch in _slices(batches):
-            word, grade, lid, n, place, bits, more, k = _prefixes(batch, rarity, percent)
-            at = wanted(word, grade, n)
-            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (word.view(np.int64), k, lid, n, place, bits.view(np.int64), more.view(np.int64))], names=["w", "k", "lid", "n", "i", "bits", "more"])
-
-    rows = lines.mapInArrow(post, "w long, k long, lid long, n int, i int, bits long, more long")
-    return stored(rows.groupBy("w", "k").agg(F.min("lid").alias("lid"), F.min("n").alias("n"), F.min("i").alias("i"), F.min("bits").alias("bits"), F.min("more").alias("more")))
-
-
-def _places(word: np.ndarray, n: np.ndarray, percent: int, step: int = 0) -> np.ndarray:
-    """The bit of a word in the size class ``step`` from that of n.  Sizes that can be similar are one class apart at most:
-    a class is a little wider than the ratio of such sizes, so that rounding moves none further."""
-    size = np.floor(np.log(n) / (1.0001 * max(np.log(100 / percent), 0.01))).astype(np.int64) + step
-    return (mix64(word ^ ((size + 1).astype(np.uint64) << np.uint64(40))) >> np.uint64(64 - NEAR)).astype(np.int64)
-
-
-def _asked(lines: DataFrame, rarity: np.ndarray, percent: int) -> np.ndarray:
-    """A map of 1 << NEAR bits, packed, of the prefix words of lines(lid, n, k1, words) in their sizes and those next to them."""
-
-    def seen(batches):
-        for batch in _slices(batches):
-            word, _, _, n, *_ = _prefixes(batch, rarity, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([_places(word, n, percent, step) for step in (-1, 0, 1)])))], names=["b"])
-
-    bits = F.expr("bitmap_construct_agg(b & 32767)").alias("bits")
-    out = np.zeros(1 << NEAR >> 3, np.uint8)
-    for r in lines.mapInArrow(seen, "b long").groupBy(F.expr("b >> 15").alias("at")).agg(bits).collect():
-        out[r["at"] << 12 : (r["at"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return F.ceil(percent * (n + m) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
-def _alike(one: str, two: str, percent: int) -> Column:
-    """The filters of _part_pairs on columns n, i, bits of two rows."""
-    a, b = F.col(f"{one}n"), F.col(f"{two}n")
-    need = F.ceil((percent * (a + b)) / F.lit(100.0 + percent) - 1e-9)
-    apart = sum((F.bit_count(F.col(f"{one}{c}").bitwiseXOR(F.col(f"{two}{c}"))) for c in ("bits", "more")), F.lit(0))
-    length = 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    return length & (F.least(a - F.col(f"{one}i"), b - F.col(f"{two}i")) >= need) & (a + b - 2 * need >= apart)
+def _maps(words: str) -> list[Column]:
+    """Maps of a set, 128 bits in all; a word flips one of them, so words shared hide none that differ."""
 
+    def one(j: int) -> Column:
+        def flip(bits: Column, x: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 5).bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(F.shiftright(x, 11).bitwiseAND(F.lit(1)) == j, bits.bitwiseXOR(bit)).otherwise(bits)
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(b) of the later lines of pairs(a, b) whose whole sets are similar enough."""
+        return F.aggregate(words, F.lit(0).cast("long"), flip)
+
+    return [one(j).alias(MAPS[j]) for j in range(len(MAPS))]
 
-    def verify(batches):
-        for batch in _slices(batches):
-            (one, ends), (two, tails) = _hashes(batch.column(1)), _hashes(batch.column(2))
-            n, m = np.diff(ends), np.diff(tails)
-            rows = np.arange(len(n), dtype=np.uint64) << np.uint64(48)
-            keys = np.concatenate([np.repeat(rows, n) | one, np.repeat(rows, m) | two])
-            keys.sort()
-            both = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array((100 + percent) * both >= percent * (n + m)))], names=["b"])
 
-    two = sets.select(F.col("lid").alias("b"), F.col("words").alias("wb"))
-    one = sets.select(F.col("lid").alias("a"), F.col("words").alias("wa"))
-    return pairs.join(two, "b").join(one, "a").select("b", "wa", "wb").mapInArrow(verify, "b long").distinct()
+def _alike(one: str, two: str, percent: int) -> Column:
+    """Whether rows of sizes and maps, their columns headed by one and two, may be similar enough."""
+    n, m = F.col(f"{one}n"), F.col(f"{two}n")
+    apart = sum((F.bit_count(F.col(f"{one}{x}").bitwiseXOR(F.col(f"{two}{x}"))) for x in MAPS), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= n + m - 2 * _need(n, m, percent))
 
 
-def _against(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
-    """Stored candidate pairs (b, a) of postings that share a word."""
-    two = earlier.select("w", *(F.col(c).alias(f"a_{c}") for c in ("lid", "n", "i", "bits", "more")))
-    pairs = later.join(two, "w").where(F.col("a_lid") < F.col("lid")).where(_alike("a_", "", percent))
-    return stored(pairs.select(F.col("lid").alias("b"), F.col("a_lid").alias("a")).distinct())
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The stored (lid) of the later lines of the stored pairs(b, a) whose whole sets are similar enough."""
+    asked = pairs.select(F.col("b").alias("lid")).union(pairs.select("a")).distinct()
+    some = stored(sets.join(asked, "lid", "left_semi"))
+    one, two = (some.select(F.col("lid").alias(c), F.col("words").alias(f"w{c}")) for c in "ab")
+    both = F.size(F.array_intersect("wa", "wb"))
+    enough = (100 + percent) * both >= percent * (F.size("wa") + F.size("wb"))
+    out = stored(pairs.join(two, "b").join(one, "a").where(enough).select(F.col("b").alias("lid")).distinct())
+    dropped(sets.sparkSession, some)
+    return out
 
 
 def _removed(split: DataFrame, percent: int) -> DataFrame:
     """The stored (rid, ln) of every line to remove; drops the table of _split."""
     spark = split.sparkSession
     lines = split.where("ln >= 0")
-    text = lines.select("lid", "n", "k1", "words")
-    rarity = _rarity(split)
-    words, rows = lines.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    few = stored(_candidates(_posted(text, rarity, percent, 1 + (words * (100 - percent) // 100 + rows) // PART), percent))
-    top = _grade(np.array([HOT]))[0]
-    hot = _rows(text, rarity, lambda word, grade, n: grade > top, percent)
-    led = _against(hot, hot.join(hot.groupBy("w").agg(F.min("lid").alias("lid")), ["w", "lid"]), percent)
-
-    def whole(pairs: DataFrame) -> DataFrame:
-        """The stored sets of the lines of pairs(a, b)."""
-        asked = pairs.select(F.col("b").alias("lid")).union(pairs.select("a")).distinct()
-        return stored(text.select("lid", "words").join(asked, "lid", "left_semi"))
-
-    def narrowed(pairs: DataFrame) -> DataFrame:
-        """The stored distinct pairs that the wide maps leave possible."""
-        one, two = (lines.select(F.col("lid").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", *MAPS))) for c in "ab")
-        apart = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in MAPS), F.lit(0))
-        both = F.col("a_n") + F.col("b_n")
-        need = F.ceil((percent * both) / F.lit(100.0 + percent) - 1e-9)
-        return stored(pairs.distinct().join(two, "b").join(one, "a").where(apart <= both - 2 * need).select("b", "a"))
-
-    pairs = narrowed(few.select("b", "a").union(led))
-    sets = whole(pairs)
-    first = stored(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, percent))
-    rest = stored(_similar(pairs.join(first, "b", "left_anti").distinct(), sets, percent))
-    gone = first.union(rest).withColumnRenamed("b", "lid")
-
-    late = narrowed(_against(hot.join(gone, "lid", "left_anti"), hot, percent))
-    made = [few, hot, led, pairs, sets, first, rest, late]
-    tail = [late]
-    open_ = stored(few.where("more").select(F.col("b").alias("lid")).distinct().join(gone, "lid", "left_anti"))
-    made.append(open_)
-    if open_.limit(1).count():
-        left = text.join(open_, "lid", "left_semi")
-        asked = _asked(left, rarity, percent)
-
-        def close(word, grade, n):
-            at = _places(word, n, percent)
-            return (grade <= top) & ((asked[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-
-        near = _rows(text, rarity, close, percent)
-        again = narrowed(_against(near.join(open_, "lid", "left_semi"), near, percent))
-        made += [near, again]
-        tail.append(again)
-    for more in tail:
-        if more.limit(1).count():
-            of = whole(more)
-            made.append(of)
-            gone = gone.union(_similar(more, of, percent).withColumnRenamed("b", "lid"))
-    stay = lines.groupBy("k1", "k2").agg(F.min("lid").alias("lid")).select("lid").join(gone, "lid", "left_anti")
+    classes = stored(lines.groupBy("k1", "k2").agg(F.min("lid").alias("first")).select("first"))
+    sets = lines.select("lid", "words")
+    leaders = _first_of_class(lines, classes)
+    posting = leaders.select("lid", F.explode(_postings("words", percent)).alias("w"))
+    by = Window.partitionBy("w").orderBy("lid")
+    met = posting.repartition("w").select("w", "lid", F.first("lid").over(by).alias("a"), F.lag("lid").over(by).alias("before"), F.lead("lid").over(by).alias("after"))
+    met = stored(met.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select("w", "lid", "a", "before"))
+    maps = stored(leaders.select("lid", F.size("words").alias("n"), *_maps("words")))
+
+    def headed(c: str) -> DataFrame:
+        return maps.select(F.col("lid").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", *MAPS)))
+
+    made = [classes, met, maps]
+
+    def settled(pairs: DataFrame) -> DataFrame:
+        """The stored (lid) of the later lines of pairs(b, a) that are similar enough."""
+        left = stored(pairs.distinct().join(headed("b"), "b").join(headed("a"), "a").where(_alike("a_", "b_", percent)).select("b", "a"))
+        made.extend([left, _similar(left, sets, percent)])
+        return made[-1]
+
+    gone = settled(met.where("a < lid").select(F.col("lid").alias("b"), "a"))
+    late = stored(met.where("before > a").join(gone, "lid", "left_anti"))
+    more = settled(late.select(F.col("lid").alias("b"), F.col("before").alias("a")))
+    open_ = stored(late.join(more, "lid", "left_anti").select("w", F.col("lid").alias("b"), "before").join(headed("b"), "b"))
+    made += [late, open_]
+    others = met.where("lid > a").join(open_.select("w").distinct(), "w", "left_semi").select("w", F.col("lid").alias("a")).join(headed("a"), "a")
+    rest = stored(others.join(open_, "w").where("a < before").where(_alike("a_", "b_", percent)).select("b", "a").distinct())
+    last = _similar(rest, sets, percent)
+    made += [rest, last]
+    gone = gone.union(more).union(last)
+    stay = classes.select(F.col("first").alias("lid")).join(gone, "lid", "left_anti")
     out = stored(lines.select("rid", "ln", "lid").join(stay, "lid", "left_anti").select("rid", "ln"))
     dropped(spark, split, *made)
     return out
@@ -460,7 +229,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 def digest(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per document: n_lines, n_removed and the removed line numbers, ascending and comma-joined."""
     split = _split(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()))
-    heads = stored(split.where(F.col("ln") == HEAD).select("rid", "doc_id", F.col("n").cast("long").alias("n_lines")))
+    heads = stored(split.where("ln = -1").select("rid", "doc_id", F.col("n_lines").cast("long").alias("n_lines")))
     gone = _removed(split, percent).groupBy("rid").agg(F.array_sort(F.collect_set("ln")).alias("gone"))
     return heads.join(gone, "rid", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed")
