@@ -93,10 +93,18 @@ def rose_bins(strikes: DataFrame, width: int = 10) -> DataFrame:
 
 
 def great_circles(planes: DataFrame, n: int = 181) -> DataFrame:
-    """(id, k, u, v): n projected points along each plane's lower half circle."""
+    """(id, k, u, v): n projected points along each plane's lower half circle.
+
+    Rows come by strike, dip and id: equal circles lie together, and a table written from
+    them holds their points by reference, where those of mixed planes are all kept in full.
+    Only planes are shuffled, not points; those of one strike and dip may share out over tasks.
+    """
     if n < 2:
         raise ValueError("a great circle needs two points")
-    p = planes.select("id", "strike", "dip", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    parts = int(planes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as few bytes of planes make many points
+    order = ["strike", "dip", "id"]
+    p = planes.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    p = p.select("id", "strike", "dip", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     a, s, d = F.col("k") * F.lit(180.0 / (n - 1)), F.radians("strike"), F.radians("dip")
     t = F.radians(a)
     x = F.cos(t) * F.sin(s) + F.sin(t) * F.cos(d) * F.cos(s)
